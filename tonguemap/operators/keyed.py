@@ -36,9 +36,8 @@ def latest_state(updates: DataFrame, ttl: str = DEFAULT.state_ttl) -> DataFrame:
     ``updates`` is (key, ts, update_id, state); ties on ``ts`` go to the higher id.
     """
     last = updates.groupBy("key").agg(F.max(F.struct("ts", "update_id", "state")).alias("u")).select("key", "u.*")
-    now = updates.agg(F.max("ts").alias("now"))
-    # one row on the right: the newest time of all
-    return last.join(F.broadcast(now), F.col("ts") >= F.col("now") - F.expr(f"INTERVAL {ttl}")).drop("now")
+    now = updates.agg(F.max("ts")).scalar()
+    return last.where(F.col("ts") >= now - F.expr(f"INTERVAL {ttl}"))
 
 
 def job_progress(steps: DataFrame) -> DataFrame:

@@ -32,6 +32,10 @@ def page_marks(pages: DataFrame) -> Column:
     )
 
 
+# "value at the smallest seq" packed into one number, which a hash aggregate can hold (a struct would make it sort)
+_CODES = 1000
+
+
 def site_facts(pages: DataFrame) -> DataFrame:
     """Everything the report needs, pre-aggregated to (site, code, strategy) in one pass over the pages.
 
@@ -49,8 +53,8 @@ def site_facts(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("marks"),
         F.bool_or("failed").alias("has_error"),
         F.bool_or("hl").alias("has_hreflang"),
-        F.min(F.when(F.col("status_code").isNotNull(), F.struct("seq", "status_code"))).alias("first_status"),
-        F.min(F.struct("seq", "spa")).alias("first_page"),
+        F.min(F.col("seq") * _CODES + F.col("status_code")).alias("first_status"),
+        F.min(F.col("seq") * 2 + F.col("spa").cast("int")).alias("first_page"),
     )
 
 
@@ -63,8 +67,8 @@ def _status_aggregates() -> list[Column]:
     return [
         F.coalesce(F.bool_or("has_error"), F.lit(False)).alias("has_error"),
         F.coalesce(F.bool_or("has_hreflang"), F.lit(False)).alias("has_hreflang"),
-        F.min("first_status")["status_code"].alias("first_status"),
-        F.coalesce(F.min("first_page")["spa"], F.lit(False)).alias("spa"),
+        (F.min("first_status") % _CODES).cast("int").alias("first_status"),
+        F.coalesce(F.min("first_page") % 2 == 1, F.lit(False)).alias("spa"),
     ]
 
 

@@ -131,9 +131,10 @@ SELECT concat('http://', host, '/'), seq, 301, NULL
 FROM (SELECT {_HOST} AS host, min(page_id) AS seq FROM {{pages}} GROUP BY {_HOST}) AS h
 """
 
-# Fetch log of language probes: what answered on each host is what its pages were found under.
+# Fetch log of language probes: some folders and names that answered on each host, or did not.
 PROBE_LOG = f"""
-SELECT concat('https://', {_HOST}, '/', regexp_extract(url, '^https?://[^/]+/([^/]+)', 1)) AS requested_url,
+SELECT concat('https://', {_HOST}, '/', CASE WHEN url LIKE '%.html' THEN 'spanish/' WHEN url LIKE '%#top' THEN 'it'
+    ELSE regexp_extract(url, '^https?://[^/]+/([^/]+)', 1) END) AS requested_url,
   CASE WHEN url LIKE 'http://%' THEN 404 WHEN url LIKE '%/' THEN 302 ELSE 200 END AS status_code
 FROM {{pages}}
 """

@@ -184,13 +184,10 @@ def page_evidence_no_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def isolation_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings of each domain on its own against its part of the batch: rows that differ, which must be none."""
+    """Findings of two halves of the domains on their own against the whole batch: rows that differ, none."""
     batch = run(spark, sf)
-    p = batch.pages
-    alone = None
-    for suffix in ("com", "net", "org"):
-        s = Scored(p.where(F.col("domain").endswith(f".{suffix}")))
-        alone = s.findings if alone is None else alone.unionByName(s.findings)
+    half = F.xxhash64("domain") < 0
+    alone = Scored(batch.pages.where(half)).findings.unionByName(Scored(batch.pages.where(~half)).findings)
     both = batch.findings.withColumn("side", F.lit(1)).unionByName(alone.withColumn("side", F.lit(-1)))
     keys = [c for c in both.columns if c != "side"]
     differ = both.groupBy(*keys).agg(F.sum("side").alias("d"), F.count(F.lit(1)).alias("n"))

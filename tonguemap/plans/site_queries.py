@@ -136,36 +136,34 @@ def status_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def probe_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return site.probe_gate(_english_facts(spark, sf))
+    return site.probe_gate(_raw_facts(spark, sf))
 
 
 @query
 def probe_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return site.probe_candidates(site.probe_gate(_english_facts(spark, sf)))
+    return site.probe_candidates(site.probe_gate(_raw_facts(spark, sf)))
 
 
 @query
 def probe_hits(spark: SparkSession, sf: str) -> DataFrame:
-    gated = site.probe_candidates(site.probe_gate(_english_facts(spark, sf)))
+    gated = site.probe_candidates(site.probe_gate(_raw_facts(spark, sf)))
     return site.probe_hits(gated, derive(spark, sf, inputs.PROBE_LOG))
 
 
 @query
 def site_report_probed(spark: SparkSession, sf: str) -> DataFrame:
-    f = stage(_english_facts(spark, sf), "site-facts")
+    f = stage(_raw_facts(spark, sf), "site-facts")
     hits = site.probe_hits(site.probe_candidates(site.probe_gate(f)), derive(spark, sf, inputs.PROBE_LOG))
     return site.site_report(site.with_probe_hits(f, hits))
 
 
-def _english_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts of the raw pages by first URL folder, so that the English part of a host is a site of its own."""
+def _raw_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of the pages as given, which have no hreflang links, so that some sites pass the gate."""
     raw = inputs.table(spark, sf, "pages").select(
         F.col("page_id").alias("seq"), F.col("url").alias("requested_url"), F.lit(200).alias("status_code"),
         F.col("html").alias("body"), F.lit(None).cast("string").alias("error"),
     )
-    p = site_pages(raw)
-    english = F.filter("web_links", lambda t: t["host"] == F.lit("none"))
-    return site.site_facts(p.withColumn("web_links", english)) if False else site.site_facts(p)
+    return site.site_facts(site_pages(raw))
 
 
 @query
