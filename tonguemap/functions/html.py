@@ -4,39 +4,43 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonguemap.functions.urls import WS, lookup_table, none_if_empty, strip
-
-# fixed values: patterns. Possessive quantifiers keep matching linear on hostile markup.
-_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_NOT_MARKUP = (
-    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-)
-_INVISIBLE = (
-    _NOT_MARKUP + r"|<noscript\b[^>]*>.*?</noscript\s*>|<svg\b[^>]*>.*?</svg\s*>"
-)
-_ANCHOR_HREF = (
-    r"""(?i)<a(?:\s++(?!href[\s=])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+"""
-    r"""\s++href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
-)
+from tonguemap.functions.urls import BLANKS, lookup_table
+
+# fixed values: patterns. Possessive quantifiers keep matching linear, and without recursion, on any markup.
+_INSIDE = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+_NOT_MARKUP = r"!--.*?--|script\b[^>]*+>.*?</script\s*+|style\b[^>]*+>.*?</style\s*+"
+_INVISIBLE = _NOT_MARKUP + r"|noscript\b[^>]*+>.*?</noscript\s*+|svg\b[^>]*+>.*?</svg\s*+"
+_APP_ROOT = r"""id\s*+=\s*+(?:"(?:root|app|__next)"|'(?:root|app|__next)'|(?:root|app|__next)(?=[\s/>]))"""
+_APP_MARK = rf"\s(?:{_APP_ROOT}|data-reactroot(?=[\s=/>])|data-require(?=[\s=/>]))"
+_SIGNAL_TAG = rf"(?:html|link|a|header|nav)(?=[\s/>]){_INSIDE}|[a-z](?=[^>]*?{_APP_MARK})[^>]*+"
+_TAGS = rf"(?is)<(?:{_NOT_MARKUP}|({_SIGNAL_TAG})|[!?/a-z][^>]*+)>"
+_NOT_TEXT = rf"(?is)<(?:{_INVISIBLE}|[!?/a-z][^>]*+)>"
+_PLAIN_BLANKS = r"[ \t\n\x0B\f\r]{2,}+|[\t\n\x0B\f\r]"
+_OTHER_BLANKS = f"[{BLANKS[5:]}]"
+_OTHER_ATTR = r"""\s++(?!{name}[\s=])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+_ATTR = rf"""(?i)^[a-z]++(?:{_OTHER_ATTR})*+\s++{{name}}\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 _ENTITY = "&([A-Za-z][A-Za-z0-9]*);"
 _NUMERIC_ENTITY = "&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
 
 
-def markup(body: Column) -> Column:
-    """Body without comments, scripts and styles, whose text only looks like tags."""
-    return F.regexp_replace(body, _NOT_MARKUP, "")
+def page_tags(body: Column) -> Column:
+    """Start tags that can carry signals, without their brackets, in document order.
 
+    One pass over the body, one match per tag. Comments, scripts and styles match as a whole, so nothing
+    inside them counts; they and all other tags give empty entries, which are left out.
+    """
+    return F.filter(F.regexp_extract_all(body, F.lit(_TAGS), F.lit(1)), lambda t: t != "")
 
-def tags(mk: Column, name: str) -> Column:
-    """All start tags of one element, in document order."""
-    return F.regexp_extract_all(mk, F.lit(rf"(?i)<{name}(?=[\s/>]){_INSIDE}>"), F.lit(0))
+
+def _named(tags: Column, name: str) -> Column:
+    return F.filter(tags, lambda t: F.lower(F.regexp_extract(t, "^[A-Za-z]+", 0)) == name)
 
 
 def _quoted_attr(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_extract(tag, _ATTR.format(name=name), 1)
 
 
 def _unquote(raw: Column) -> Column:
@@ -44,11 +48,6 @@ def _unquote(raw: Column) -> Column:
     return F.when(raw != "", bare)
 
 
-def attr(tag: Column, name: str) -> Column:
-    """Attribute value of a start tag; NULL when the attribute is absent."""
-    return decode_entities(_unquote(_quoted_attr(tag, name)))
-
-
 def decode_entities(c: Column) -> Column:
     """Decode named and numeric character references; ``&amp;`` goes last so nothing is decoded twice."""
     table = lookup_table({name: chr(cp) for name, cp in name2codepoint.items()})
@@ -81,38 +80,47 @@ def decode_entities(c: Column) -> Column:
     return F.when(c.contains("&"), F.replace(with_numbers, F.lit("&amp;"), F.lit("&"))).otherwise(c)
 
 
-def html_lang(mk: Column) -> Column:
-    """``lang`` of the html element as written; NULL when missing."""
-    tag = F.regexp_extract(mk, rf"(?i)<html(?=[\s/>]){_INSIDE}>", 0)
-    return attr(tag, "lang")
+def _attrs(tags: Column, names: list[str]) -> Column:
+    """Struct of attribute values per tag, NULL where absent; each step binds its result for the next."""
+    raw = F.transform(tags, lambda t: F.struct(*[_quoted_attr(t, n).alias(n) for n in names]))
+    bare = F.transform(raw, lambda t: F.struct(*[_unquote(t[n]).alias(n) for n in names]))
+    return F.transform(bare, lambda t: F.struct(*[decode_entities(t[n]).alias(n) for n in names]))
 
 
-def html_lang_stripped(mk: Column) -> Column:
-    return none_if_empty(strip(html_lang(mk)))
+def html_lang(tags: Column) -> Column:
+    """``lang`` of the html element as written; NULL when missing."""
+    return F.get(_attrs(F.slice(_named(tags, "html"), 1, 1), ["lang"]), F.lit(0))["lang"]
 
 
-def link_tags(mk: Column) -> Column:
+def link_tags(tags: Column) -> Column:
     """``array<struct<rel, hreflang, href>>`` of the link elements."""
-    names = ("rel", "hreflang", "href")
-    raw = F.transform(tags(mk, "link"), lambda t: F.struct(*[_quoted_attr(t, n).alias(n) for n in names]))
-    bare = F.transform(raw, lambda t: F.struct(*[_unquote(t[n]).alias(n) for n in names]))
-    return F.transform(bare, lambda t: F.struct(*[decode_entities(t[n]).alias(n) for n in names]))
+    return _attrs(_named(tags, "link"), ["rel", "hreflang", "href"])
 
 
-def anchor_hrefs(mk: Column) -> Column:
+def anchor_hrefs(tags: Column) -> Column:
     """``href`` values of the anchors in document order, anchors without one left out."""
-    raw = F.regexp_extract_all(mk, F.lit(_ANCHOR_HREF), F.lit(1))
+    raw = F.filter(F.transform(_named(tags, "a"), lambda t: _quoted_attr(t, "href")), lambda v: v != "")
     return F.transform(F.transform(raw, _unquote), decode_entities)
 
 
-def text_without_tags(body: Column) -> Column:
-    """Body without the blocks that do not render and without tags, entities still encoded."""
-    return F.regexp_replace(F.regexp_replace(body, _INVISIBLE, " "), r"<[^>]*>", " ")
-
+def with_visible_text(df: DataFrame, body: str, out: str) -> DataFrame:
+    """Add the text a reader sees: no tags or unseen blocks, entities decoded, blanks of any kind collapsed.
 
-def visible_text(untagged: Column) -> Column:
-    """Text a reader sees, from :func:`text_without_tags`: entities decoded, blanks collapsed."""
-    return strip(F.regexp_replace(decode_entities(untagged), f"{WS}+", " "))
+    One column per step: an expression with a lambda in it is never shared, so inlined steps would run twice.
+    """
+    return (
+        df.withColumn("_untagged", F.regexp_replace(body, _NOT_TEXT, " "))
+        .withColumn("_decoded", decode_entities(F.col("_untagged")))
+        # kinds of blanks that few texts hold are replaced only where there are any
+        .withColumn(
+            "_even",
+            F.when(F.col("_decoded").rlike(_OTHER_BLANKS), F.translate("_decoded", BLANKS, " " * len(BLANKS))).otherwise(
+                F.col("_decoded")
+            ),
+        )
+        .withColumn(out, F.trim(F.regexp_replace("_even", _PLAIN_BLANKS, " ")))
+        .drop("_untagged", "_decoded", "_even")
+    )
 
 
 def is_html(content_type: Column, body: Column) -> Column:
@@ -124,14 +132,13 @@ def is_html(content_type: Column, body: Column) -> Column:
     )
 
 
-def is_spa(body: Column, mk: Column) -> Column:
+def is_spa(body: Column, tags: Column) -> Column:
     """Marks of pages that build themselves in the browser, or load their navigation late."""
-    root = mk.rlike(r"""(?i)<[a-z][^>]*\s(?:id\s*=\s*(?:"(?:root|app|__next)"|'(?:root|app|__next)'|(?:root|app|__next)(?=[\s/>]))|data-reactroot(?=[\s=/>]))""")
-    lazy = mk.rlike(r"""(?i)<(?:header|nav)\s(?:[^>]*\s)?data-require(?=[\s=/>])|<[a-z][^>]*\sdata-require\s*=\s*(?:"[^"]*nav|'[^']*nav|[^\s"'>]*nav)""")
+    root = rf"(?i)\s(?:{_APP_ROOT}|data-reactroot(?=[\s=/>]))"
+    lazy = r"""(?i)^(?:header|nav)\s(?:.*\s)?data-require(?=[\s=/>])|\sdata-require\s*=\s*(?:"[^"]*nav|'[^']*nav|[^\s"'>]*nav)"""
     return (
-        root
-        | body.contains("__NEXT_DATA__")
+        body.contains("__NEXT_DATA__")
         | body.contains("__NUXT__")
         | body.contains("window.webpackChunk")
-        | lazy
+        | F.exists(tags, lambda t: t.rlike(root) | t.rlike(lazy))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonguemap import dims
@@ -17,14 +17,26 @@ def leading_tokens(text: Column, n: int) -> Column:
     return F.regexp_extract(F.lower(text), rf"^(?:[^{w}]*+[{w}]++){{0,{n}}}+", 0)
 
 
-def stop_word_hits(lead: Column, lang: str) -> Column:
-    w, words = dims.WORD_CHARS, "|".join(dims.STOP_WORDS[lang])
-    return F.regexp_count(lead, F.lit(rf"(?<![{w}])(?:{words})(?![{w}])"))
+def stop_word_tokens(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
+    """Those of the leading tokens that are a stop word of any language."""
+    tokens = F.regexp_extract_all(leading_tokens(text, cfg.max_text_tokens), F.lit(f"[{dims.WORD_CHARS}]++"), F.lit(0))
+    known = sorted({w for words in dims.STOP_WORDS.values() for w in words})
+    return F.filter(tokens, lambda t: t.isin(known))
 
 
-def hits_struct(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    lead = leading_tokens(text, cfg.max_text_tokens)
-    return F.struct(*[stop_word_hits(lead, c).alias(c) for c in dims.STOP_WORDS])
+def hits_struct(stop_tokens: Column) -> Column:
+    """Stop-word hits per language, from :func:`stop_word_tokens` kept in a column of its own."""
+    def hits(words: list[str]) -> Column:
+        return F.size(F.filter(stop_tokens, lambda t: t.isin(words)))
+
+    return F.struct(*[hits(words).alias(c) for c, words in dims.STOP_WORDS.items()])
+
+
+def with_text_language(df: DataFrame, text: str, out: str, hits: str | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Add the language of a text column, and its hits if wanted; one step per column, so none runs twice."""
+    counted = df.withColumn("_stop", stop_word_tokens(F.col(text), cfg)).withColumn("_hits", hits_struct(F.col("_stop")))
+    named = counted.withColumn(out, best_language(F.col("_hits"), F.col(text), cfg)).drop("_stop")
+    return named.withColumnRenamed("_hits", hits) if hits else named.drop("_hits")
 
 
 def best_language(hits: Column, text: Column, cfg: EngineConfig = DEFAULT) -> Column:
@@ -33,7 +45,3 @@ def best_language(hits: Column, text: Column, cfg: EngineConfig = DEFAULT) -> Co
     top = F.greatest(*[hits[c] for c in langs])
     first = reduce(lambda acc, c: acc.when(hits[c] == top, F.lit(c)), langs[1:], F.when(hits[langs[0]] == top, F.lit(langs[0])))
     return F.when((F.length(text) >= cfg.min_text_chars) & (top >= cfg.min_stop_word_hits), first)
-
-
-def text_language(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    return best_language(hits_struct(text, cfg), text, cfg)

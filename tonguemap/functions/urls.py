@@ -28,7 +28,9 @@ _SITE_CODE_PREFIX = rf"^/({_SITE_ALT})(?:[-_][a-z]{{2}})?(?:/|$)"
 _SITE_SUBDOMAIN = rf"^({_SITE_ALT})\.[^.]*\."
 _NAMES_ALT = "|".join(dims.SITE_NAMES)
 
-WS = r"[\s\x85   -     　﻿]"
+# fixed values: blanks other than the space, as text and as a character class with it
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WS = f"[ {BLANKS}]"
 
 
 def none_if_empty(c: Column) -> Column:

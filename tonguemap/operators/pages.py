@@ -32,14 +32,14 @@ def site_pages(crawl: DataFrame) -> DataFrame:
     Evidence is read from whatever body came back, error pages included.
     """
     raw = crawl.withColumn("site", urls.hostname(F.col("requested_url"))).withColumn(
-        "mk", html.markup(F.col("body"))
+        "tags", html.page_tags(F.col("body"))
     )
     pages = raw.select(
         "seq", "site", "requested_url", "status_code", "error",
-        html.html_lang(F.col("mk")).alias("html_lang"),
-        html.link_tags(F.col("mk")).alias("link_tags"),
-        html.anchor_hrefs(F.col("mk")).alias("hrefs"),
-        F.coalesce(html.is_spa(F.col("body"), F.col("mk")), F.lit(False)).alias("spa"),
+        html.html_lang(F.col("tags")).alias("html_lang"),
+        html.link_tags(F.col("tags")).alias("link_tags"),
+        html.anchor_hrefs(F.col("tags")).alias("hrefs"),
+        F.coalesce(html.is_spa(F.col("body"), F.col("tags")), F.lit(False)).alias("spa"),
     )
     return with_web_links(pages)
 
@@ -63,20 +63,19 @@ def scored_pages(crawl: DataFrame, cfg: EngineConfig = DEFAULT, keep_text: bool
         .withColumn("readable", readable)
         .where(~F.col("readable") | html.is_html(F.col("content_type"), F.col("body")))
         .withColumn("src", F.when(F.col("readable"), F.col("body")))
-        .withColumn("mk", html.markup(F.col("src")))
-        .withColumn("untagged", html.text_without_tags(F.col("src")))
+        .withColumn("tags", html.page_tags(F.col("src")))
         .withColumn("parts", urls.base_parts(F.col("page_url")))
         .withColumn("fetch_error", error_line("page"))
     )
-    signals = raw.select(
+    signals = html.with_visible_text(raw, "src", "visible_text").select(
         "seq", "domain", "requested_url", "url", "final_url", "page_url", "status_code", "error", "fetch_error",
         "parts",
-        html.html_lang_stripped(F.col("mk")).alias("html_lang"),
+        urls.none_if_empty(urls.strip(html.html_lang(F.col("tags")))).alias("html_lang"),
         F.filter(
-            html.link_tags(F.col("mk")), lambda t: F.lower(t["rel"]).contains("alternate")
+            html.link_tags(F.col("tags")), lambda t: F.lower(t["rel"]).contains("alternate")
         ).alias("alternates"),
-        html.anchor_hrefs(F.col("mk")).alias("hrefs"),
-        html.visible_text(F.col("untagged")).alias("visible_text"),
+        html.anchor_hrefs(F.col("tags")).alias("hrefs"),
+        "visible_text",
     )
     same_domain = lambda u: urls.domain_of(u) == F.col("domain")
     hreflangs = F.filter(
@@ -96,9 +95,8 @@ def scored_pages(crawl: DataFrame, cfg: EngineConfig = DEFAULT, keep_text: bool
         .withColumn("internal_links", F.filter(urls.normalize_all(F.col("hrefs"), F.col("parts")), same_domain))
         .withColumn("html_code", urls.scored_code(F.col("html_lang")))
         .withColumn("url_code", urls.scored_url_code(F.col("page_url")))
-        .withColumn("hits", text.hits_struct(F.col("visible_text"), cfg))
-        .withColumn("text_code", text.best_language(F.col("hits"), F.col("visible_text"), cfg))
         .withColumn("visible_text_length", F.length("visible_text").cast("long"))
-        .drop("parts", "alternates", "hrefs", "hits")
+        .drop("parts", "alternates", "hrefs")
     )
+    out = text.with_text_language(out, "visible_text", "text_code", cfg=cfg)
     return out if keep_text else out.drop("visible_text")

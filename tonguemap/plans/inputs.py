@@ -164,4 +164,14 @@ def derive(spark: SparkSession, sf: str, sql: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of fewer splits than cores, as of one small file; larger tables stay as they are.
+
+    Reading markup is work for the processor, so it is worth moving a few megabytes. The shuffle never
+    appears on a table that fills the cluster by itself.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonguemap import dims
 from tonguemap.config import DEFAULT
 from tonguemap.functions import html, text, urls
 from tonguemap.operators import graph, scored
@@ -280,14 +281,15 @@ def text_language_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def text_language(spark: SparkSession, sf: str) -> DataFrame:
-    docs = inputs.table(spark, sf, "documents").withColumn("hits", text.hits_struct(F.col("text")))
-    return docs.select("doc_id", "lang", text.best_language(F.col("hits"), F.col("text")).alias("detected"))
+    docs = inputs.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return text.with_text_language(docs, "text", "detected").select("doc_id", "lang", "detected")
 
 
 @query
 def stopword_hits(spark: SparkSession, sf: str) -> DataFrame:
-    docs = inputs.table(spark, sf, "documents").withColumn("hits", text.hits_struct(F.col("text")))
-    return docs.select("doc_id", *[F.col(f"hits.{c}").cast("long").alias(f"hits_{c}") for c in ("en", "es", "fr", "de", "pt")])
+    docs = inputs.table(spark, sf, "documents").select("doc_id", "text")
+    hits = text.with_text_language(docs, "text", "detected", hits="hits")
+    return hits.select("doc_id", *[F.col(f"hits.{c}").cast("long").alias(f"hits_{c}") for c in dims.STOP_WORDS])
 
 
 def _crawl_starts(spark: SparkSession, sf: str) -> DataFrame:
