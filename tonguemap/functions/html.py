@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from tonguemap.functions.urls import BLANKS, lookup_table
 
 # fixed values: patterns. Possessive quantifiers keep matching linear, and without recursion, on any markup.
-_INSIDE = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+# Inside a tag a quote opens a value only after an equals sign; elsewhere it is an ordinary character.
+_INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _NOT_MARKUP = r"!--.*?--|script\b[^>]*+>.*?</script\s*+|style\b[^>]*+>.*?</style\s*+"
 _INVISIBLE = _NOT_MARKUP + r"|noscript\b[^>]*+>.*?</noscript\s*+|svg\b[^>]*+>.*?</svg\s*+"
-_APP_ROOT = r"""id\s*+=\s*+(?:"(?:root|app|__next)"|'(?:root|app|__next)'|(?:root|app|__next)(?=[\s/>]))"""
-_APP_MARK = rf"\s(?:{_APP_ROOT}|data-reactroot(?=[\s=/>])|data-require(?=[\s=/>]))"
-_SIGNAL_TAG = rf"(?:html|link|a|header|nav)(?=[\s/>]){_INSIDE}|[a-z](?=[^>]*?{_APP_MARK})[^>]*+"
-_TAGS = rf"(?is)<(?:{_NOT_MARKUP}|({_SIGNAL_TAG})|[!?/a-z][^>]*+)>"
-_NOT_TEXT = rf"(?is)<(?:{_INVISIBLE}|[!?/a-z][^>]*+)>"
+_APP_ROOT = r"""id\s*+=\s*+(?:"(?:root|app|__next)"|'(?:root|app|__next)'|(?:root|app|__next)(?=[\s/>]|$))"""
+_APP_MARK = rf"\s(?:{_APP_ROOT}|data-reactroot(?=[\s=/>]|$)|data-require(?=[\s=/>]|$))"
+_SIGNAL_TAG = rf"(?:html|link|a|header|nav)(?=[\s/>]){_INSIDE}|[a-z](?=[^>]*?{_APP_MARK}){_INSIDE}"
+_TAGS = rf"(?is)<(?:{_NOT_MARKUP}|({_SIGNAL_TAG})|[!?/a-z]{_INSIDE})>"
+_NOT_TEXT = rf"(?is)<(?:{_INVISIBLE}|[!?/a-z]{_INSIDE})>"
 _PLAIN_BLANKS = r"[ \t\n\x0B\f\r]{2,}+|[\t\n\x0B\f\r]"
 _OTHER_BLANKS = f"[{BLANKS[5:]}]"
 _OTHER_ATTR = r"""\s++(?!{name}[\s=])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
@@ -134,8 +135,8 @@ def is_html(content_type: Column, body: Column) -> Column:
 
 def is_spa(body: Column, tags: Column) -> Column:
     """Marks of pages that build themselves in the browser, or load their navigation late."""
-    root = rf"(?i)\s(?:{_APP_ROOT}|data-reactroot(?=[\s=/>]))"
-    lazy = r"""(?i)^(?:header|nav)\s(?:.*\s)?data-require(?=[\s=/>])|\sdata-require\s*=\s*(?:"[^"]*nav|'[^']*nav|[^\s"'>]*nav)"""
+    root = rf"(?i)\s(?:{_APP_ROOT}|data-reactroot(?=[\s=/>]|$))"
+    lazy = r"""(?i)^(?:header|nav)\s(?:.*\s)?data-require(?=[\s=/>]|$)|\sdata-require\s*=\s*(?:"[^"]*nav|'[^']*nav|[^\s"'>]*nav)"""
     return (
         body.contains("__NEXT_DATA__")
         | body.contains("__NUXT__")

@@ -7,6 +7,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonguemap.functions import urls
 from tonguemap.operators import graph
@@ -63,7 +64,7 @@ def sitemap_locs(spark: SparkSession, sf: str) -> DataFrame:
     ).select("seq", "kind", "parse_error", F.col("pos").cast("long").alias("pos"), "loc")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(body: pd.Series) -> pd.Series:
     return body.map(lambda s: gzip.compress(s.encode()))
 

@@ -7,6 +7,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonguemap import dims
 from tonguemap.functions import urls
@@ -79,7 +80,7 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_payload(payload: pd.Series) -> pd.Series:
     """Text of a sitemap body: gzip content is inflated, anything else is UTF-8."""
     def one(b):
