@@ -7,6 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonguemap.functions.once import once
 from tonguemap.functions.urls import BLANKS, lookup_table
 
 # fixed values: patterns. Possessive quantifiers keep matching linear, and without recursion, on any markup.
@@ -104,6 +105,11 @@ def anchor_hrefs(tags: Column) -> Column:
     return F.transform(F.transform(raw, _unquote), decode_entities)
 
 
+@once
+def _decoded(name: str) -> Column:
+    return decode_entities(F.col(name))
+
+
 def with_visible_text(df: DataFrame, body: str, out: str) -> DataFrame:
     """Add the text a reader sees: no tags or unseen blocks, entities decoded, blanks of any kind collapsed.
 
@@ -111,7 +117,7 @@ def with_visible_text(df: DataFrame, body: str, out: str) -> DataFrame:
     """
     return (
         df.withColumn("_untagged", F.regexp_replace(body, _NOT_TEXT, " "))
-        .withColumn("_decoded", decode_entities(F.col("_untagged")))
+        .withColumn("_decoded", _decoded("_untagged"))
         # kinds of blanks that few texts hold are replaced only where there are any
         .withColumn(
             "_even",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonguemap import dims
 from tonguemap.config import DEFAULT, EngineConfig
+from tonguemap.functions.once import once
 
 
 def leading_tokens(text: Column, n: int) -> Column:
@@ -32,9 +33,14 @@ def hits_struct(stop_tokens: Column) -> Column:
     return F.struct(*[hits(words).alias(c) for c, words in dims.STOP_WORDS.items()])
 
 
+@once
+def _hits(stop_tokens: str) -> Column:
+    return hits_struct(F.col(stop_tokens))
+
+
 def with_text_language(df: DataFrame, text: str, out: str, hits: str | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Add the language of a text column, and its hits if wanted; one step per column, so none runs twice."""
-    counted = df.withColumn("_stop", stop_word_tokens(F.col(text), cfg)).withColumn("_hits", hits_struct(F.col("_stop")))
+    counted = df.withColumn("_stop", stop_word_tokens(F.col(text), cfg)).withColumn("_hits", _hits("_stop"))
     named = counted.withColumn(out, best_language(F.col("_hits"), F.col(text), cfg)).drop("_stop")
     return named.withColumnRenamed("_hits", hits) if hits else named.drop("_hits")
 

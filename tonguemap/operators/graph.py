@@ -31,17 +31,21 @@ def page_links(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return pages.select(F.col("url").alias("src"), F.posexplode(page_targets(cfg)).alias("pos", "dst"))
 
 
+def _nothing(like: DataFrame, *more: Column) -> DataFrame:
+    """Empty (domain, url, ..., rank); the optimizer drops joins with it."""
+    return like.select("domain", "url", *more, F.lit(0).cast("long").alias("rank")).where(F.lit(False))
+
+
 def bfs_scored(seeds: DataFrame, links: DataFrame, fetched: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Pages a scored crawl visits: (domain, url, depth, rank).
 
     ``fetched`` lists the URLs that count as pages: failed fetches do, landed non-HTML does not. A
     target that never landed is passed over.
     """
-    spark = seeds.sparkSession
     landed = stage(fetched.select("url").distinct(), "landed")
     edges = stage(links.select("src", "pos", "dst"), "edges")
     frontier = seeds.select("domain", "url", F.lit(0).cast("long").alias("parent"), "pos")
-    visited = spark.createDataFrame([], "domain string, url string, depth int, rank long")
+    visited = _nothing(seeds, F.lit(0).alias("depth"))
     for depth in range(cfg.max_depth + 1):
         fresh = (
             keep_first(frontier, ["domain", "url"], ["parent", "pos"])
@@ -148,10 +152,9 @@ def sitemap_expand(
     start URL included. Stopping cuts the visiting order short but never changes it, so the URL limit
     is applied to the finished order.
     """
-    spark = roots.sparkSession
     index = stage(children.select("parent", "pos", "url"), "sitemap-index")
     frontier = roots.select("domain", F.lit(0).cast("long").alias("p"), "pos", "url")
-    seen = spark.createDataFrame([], "domain string, url string, rank long")
+    seen = _nothing(roots)
     while True:
         fresh = keep_first(frontier, ["domain", "url"], ["p", "pos"]).join(
             seen.select("domain", "url"), ["domain", "url"], "left_anti"

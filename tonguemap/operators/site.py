@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonguemap import dims
 from tonguemap.config import DEFAULT, EngineConfig
 from tonguemap.functions import render, urls
+from tonguemap.functions.once import once
 from tonguemap.operators.pages import alternate_codes
 
 
@@ -15,7 +16,8 @@ def _marks(codes: Column, strategy: str) -> Column:
     return F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit(strategy).alias("strategy")))
 
 
-def page_marks(pages: DataFrame) -> Column:
+@once
+def page_marks() -> Column:
     """All (code, strategy) marks of a page as one array, so the bodies are read once."""
     own = F.filter("web_links", lambda link: link["host"].contains(F.col("site")))
     none = F.array().cast("array<string>")
@@ -47,7 +49,7 @@ def site_facts(pages: DataFrame) -> DataFrame:
         F.col("error").isNotNull().alias("failed"),
         F.coalesce(F.size(alternate_codes(F.col("link_tags"))) > 0, F.lit(False)).alias("hl"),
         "spa",
-        F.explode(F.concat(F.array(itself), page_marks(pages))).alias("m"),
+        F.explode(F.concat(F.array(itself), page_marks())).alias("m"),
     )
     return flags.groupBy("site", F.col("m.code").alias("code"), F.col("m.strategy").alias("strategy")).agg(
         F.count(F.lit(1)).alias("marks"),

@@ -9,7 +9,7 @@ from tonguemap import dims
 from tonguemap.config import DEFAULT
 from tonguemap.functions import html, text, urls
 from tonguemap.operators import graph, scored
-from tonguemap.operators.pages import scored_pages, site_pages
+from tonguemap.operators.pages import scored_fetches, scored_pages, site_pages
 from tonguemap.operators.skew import top_k
 from tonguemap.operators.stage import new_path, stage
 from tonguemap.plans import inputs
@@ -311,7 +311,7 @@ def crawl_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bfs_scored(spark: SparkSession, sf: str) -> DataFrame:
-    landed = pages(spark, sf).select("url")
+    landed = scored_fetches(derive(spark, sf, inputs.CRAWL)).select("url")
     edges = derive(spark, sf, inputs.EDGES).select(
         urls.normalize(F.col("src")).alias("src"), "pos", urls.normalize(F.col("dst")).alias("dst")
     )
