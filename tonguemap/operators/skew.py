@@ -40,19 +40,18 @@ def small_enough(df: DataFrame, max_rows: int = DEFAULT.max_broadcast_rows) -> b
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def running_count(df: DataFrame, key: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
-    """Running row count per key in ``order``, where ``bucket`` grows with that order.
+def running_count(df: DataFrame, key: list[str], bucket: str, order: list[str], out: str, total: str) -> DataFrame:
+    """Running row count per key in ``order`` and the key's total, where ``bucket`` grows with that order.
 
-    Counting runs in two levels: inside each (key, bucket), plus the total of the key's earlier
-    buckets. No task holds all rows of a key, only its list of bucket totals.
+    Counting runs in two levels: inside each (key, bucket), plus the totals of the key's earlier buckets.
+    No task holds all rows of a key, only its list of bucket totals; all rows move once, by (key, bucket).
     """
     totals = df.groupBy(*key, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*key, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    per_key = Window.partitionBy(*key)
+    before = per_key.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *key, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(per_key).alias(total)
+    )
     inner = Window.partitionBy(*key, bucket).orderBy(*order)
     ranked = df.withColumn("_rn", F.row_number().over(inner))
-    return (
-        ranked.join(offsets, [*key, bucket])
-        .withColumn(out, F.col("_rn") + F.col("_before"))
-        .drop("_rn", "_before")
-    )
+    return ranked.join(offsets, [*key, bucket]).withColumn(out, F.col("_rn") + F.col("_before")).drop("_rn", "_before")
