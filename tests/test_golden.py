@@ -1,5 +1,7 @@
 """Fixed inputs with results worked out by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,23 @@ def test_spa(spark, body, spa):
     assert df.select(html.is_spa(F.col("body"), F.col("tags")).alias("s")).first().s is spa
 
 
+@pytest.mark.parametrize("body", [
+    "<a " * 200_000, "<!-- " * 200_000, "<script>" * 100_000, '<a href="' * 100_000, "<p title='" * 100_000, "<" * 500_000,
+    "<a href=x>" * 50_000, "= " * 200_000, " " * 500_000, "&amp;" * 100_000,
+], ids=range(10))
+def test_hostile_pages_take_linear_time(spark, body):
+    df = spark.createDataFrame([(body,)], "body string").withColumn("tags", html.page_tags(F.col("body")))
+    start = time.time()
+    html.with_visible_text(df, "body", "text").select(F.size(html.anchor_hrefs(F.col("tags"))), F.length("text")).collect()
+    assert time.time() - start < 30
+
+
+def test_unclosed_comment_hides_the_rest(spark):
+    df = spark.createDataFrame([('<p>a<!-- <a href="/x">b',)], "body string").withColumn("tags", html.page_tags(F.col("body")))
+    out = html.with_visible_text(df, "body", "text").select("text", html.anchor_hrefs(F.col("tags")).alias("h")).first()
+    assert (out.text, out.h) == ("a", [])
+
+
 @pytest.mark.parametrize("body, lang", [
     ("the and of to " + "x" * 285, None),  # 299 characters
     ("the and of to " + "x" * 286, "en"),

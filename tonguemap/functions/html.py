@@ -11,15 +11,23 @@ from tonguemap.functions.once import once
 from tonguemap.functions.urls import BLANKS, lookup_table
 
 # fixed values: patterns. Possessive quantifiers keep matching linear, and without recursion, on any markup.
-# Inside a tag a quote opens a value only after an equals sign; elsewhere it is an ordinary character.
-_INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-_NOT_MARKUP = r"!--.*?--|script\b[^>]*+>.*?</script\s*+|style\b[^>]*+>.*?</style\s*+"
-_INVISIBLE = _NOT_MARKUP + r"|noscript\b[^>]*+>.*?</noscript\s*+|svg\b[^>]*+>.*?</svg\s*+"
+# Inside a tag a quote opens a value only after an equals sign; elsewhere it is an ordinary character. A tag
+# ends at the next bracket of either kind, and a block that is never closed runs to the end of the page, so
+# that no start is tried twice over the rest of it.
+_INSIDE = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+
+
+def _block(name: str) -> str:
+    return rf"{name}\b{_INSIDE}>(?:.*?</{name}\s*+>|.*+)"
+
+
+_NOT_MARKUP = rf"!--(?:.*?-->|.*+)|{_block('script')}|{_block('style')}"
+_INVISIBLE = rf"{_NOT_MARKUP}|{_block('noscript')}|{_block('svg')}"
 _APP_ROOT = r"""id\s*+=\s*+(?:"(?:root|app|__next)"|'(?:root|app|__next)'|(?:root|app|__next)(?=[\s/>]|$))"""
 _APP_MARK = rf"\s(?:{_APP_ROOT}|data-reactroot(?=[\s=/>]|$)|data-require(?=[\s=/>]|$))"
-_SIGNAL_TAG = rf"(?:html|link|a|header|nav)(?=[\s/>]){_INSIDE}|[a-z](?=[^>]*?{_APP_MARK}){_INSIDE}"
-_TAGS = rf"(?is)<(?:{_NOT_MARKUP}|({_SIGNAL_TAG})|[!?/a-z]{_INSIDE})>"
-_NOT_TEXT = rf"(?is)<(?:{_INVISIBLE}|[!?/a-z]{_INSIDE})>"
+_SIGNAL_TAG = rf"(?:html|link|a|header|nav)(?=[\s/>]){_INSIDE}|[a-z](?=[^<>]*?{_APP_MARK}){_INSIDE}"
+_TAGS = rf"(?is)<(?:{_NOT_MARKUP}|({_SIGNAL_TAG})>|[!?/a-z]{_INSIDE}>)"
+_NOT_TEXT = rf"(?is)<(?:{_INVISIBLE}|[!?/a-z]{_INSIDE}>)"
 _PLAIN_BLANKS = r"[ \t\n\x0B\f\r]{2,}+|[\t\n\x0B\f\r]"
 _OTHER_BLANKS = f"[{BLANKS[5:]}]"
 _OTHER_ATTR = r"""\s++(?!{name}[\s=])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
