@@ -28,3 +28,41 @@ def op6_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     from tonguemap.llm import bpe
 
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query
+def op2_host_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import host_rules
+
+    return host_rules.host_rules(table(spark, sf, "documents"))
+
+
+# No host of the given tables fails by most of its documents; the SQL works out the prior all the same.
+ORACLE["op2_host_rules"] = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM g) WHERE k > 1),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+    coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN n USING (doc_id)),
+d AS (SELECT *, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * len(ls) AS failed FROM d),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS k FROM f GROUP BY source),
+s AS (SELECT sum(k) / sum(n) AS mean, sum(n) AS docs, sum(k * k / n) AS squares, count(*) AS hosts FROM h),
+p AS (SELECT mean, (squares - docs * mean * mean - mean * (1 - mean) * hosts) / docs AS spread FROM s),
+q AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 2), 1e6) ELSE 1e6 END AS weight FROM p),
+v AS (SELECT source, n, weight, (k + weight * mean) / (n + weight) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT rate - 1.645 * sqrt(rate * (1 - rate) / (n + weight + 1)) > 0.5 AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+
+@query
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import mixing
+
+    return mixing.mix(table(spark, sf, "documents"))
