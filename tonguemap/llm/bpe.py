@@ -87,25 +87,31 @@ class Codec:
     def __init__(self, proto: bytes, pattern: str):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.cut = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        # numbers in tuples: unlike hundreds of thousands of lists, they cost the garbage collector nothing
+        self.known: dict[str, tuple[int, ...]] = {}
         n = self.model.get_piece_size() - 1
         back = {ord(letter): b for b, letter in _LETTERS.items()}
+        self.rank_of = range(-1, n).__getitem__
         self.bytes_of = [self.model.id_to_piece(i + 1).translate(back).encode("latin-1") for i in range(n)]
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of some texts; their new pre-tokens go to the model in one call."""
+        parts = [self.cut(t) for t in texts]
+        found = [list(map(self.known.get, p)) for p in parts]
+        gaps = [i for i, f in enumerate(found) if None in f]
+        new = list({p for i in gaps for p, ids in zip(parts[i], found[i]) if ids is None})
+        # one thread: starting a pool of them in each call would take longer than encoding
+        coded = self.model.encode([letters(p.encode()) for p in new], num_threads=1)
+        fresh = {p: tuple(map(self.rank_of, ids)) for p, ids in zip(new, coded)}
+        for i in gaps:
+            found[i] = [fresh[p] if ids is None else ids for p, ids in zip(parts[i], found[i])]
+        if len(self.known) + len(fresh) > MAX_CACHED:
+            self.known.clear()
+        self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= MAX_CACHED_LETTERS)
+        return [list(chain.from_iterable(f)) for f in found]
+
     def encode(self, text: str) -> list[int]:
-        parts = self.cut(text)
-        known = self.known
-        new = [p for p in set(parts) if p not in known]
-        for p, ids in zip(new, self.model.encode([letters(p.encode()) for p in new])):
-            known[p] = [i - 1 for i in ids]
-        out = list(chain.from_iterable(map(known.__getitem__, parts)))
-        if len(known) > MAX_CACHED:
-            known.clear()
-        elif new:
-            for p in new:
-                if len(p) > MAX_CACHED_LETTERS:
-                    del known[p]
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -134,9 +140,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            yield _with_column(batch, _lists([codec.encode(t) for t in texts]))
+            yield _with_column(batch, _lists(codec.encode_all(texts)))
 
     kept = [c for c in docs.columns if c != ids]
     given = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(ids))
