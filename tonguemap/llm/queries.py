@@ -66,3 +66,17 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     from tonguemap.llm import mixing
 
     return mixing.mix(table(spark, sf, "documents"))
+
+
+@query
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import simhash
+
+    return simhash.digests(table(spark, sf, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import toxicity
+
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
