@@ -28,7 +28,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 MAX_PASSES = 3
 WEIGHTS = 3  # sources weigh 1, 2, …, WEIGHTS, repeating
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 ROUNDS = 16
 SEED = 20_081
 
@@ -113,7 +113,9 @@ def slot_counts(targets: DataFrame, block_words: int, shard_slots: int) -> DataF
 def block_uses(counts: DataFrame) -> DataFrame:
     """How often each block is taken: (rank, block, uses), ``MAX_PASSES`` times at most."""
     numbered = running_sum(counts.withColumn("_b", F.floor(F.col("shard") / 1024)), "rank", "_b", ["shard"], "n_slots", "first")
-    slots = numbered.where(F.col("n_slots") > 0).select(
+    # a row here becomes thousands of slots, which Spark can't foresee from the size of the rows
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = numbered.repartition(tasks, "rank", "shard").where(F.col("n_slots") > 0).select(
         "rank", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n_slots") - 1)).alias("slot")
     )
     slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks"))).where(F.col("turn") < MAX_PASSES)
@@ -140,7 +142,8 @@ def pieces(sized: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS,
     start = F.greatest(F.col("first"), F.col("block") * block_words)
     end = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block_words)
     cut = cut.withColumn("at", start - F.col("first")).withColumn("n", end - start)
-    uses = block_uses(slot_counts(targets, block_words, shard_slots))
+    # written, so that its true size is known where Spark chooses the kind of join
+    uses = stage(block_uses(slot_counts(targets, block_words, shard_slots)), "uses")
     return cut.join(uses, ["rank", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0).cast("long")))
 
 
