@@ -115,3 +115,10 @@ FROM c GROUP BY conv_id
 
 
 ORACLE["op5_chat"] = _chat_sql()
+
+
+@query
+def op10_lm(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import lm
+
+    return lm.score(table(spark, sf, "documents"))
