@@ -122,3 +122,10 @@ def op10_lm(spark: SparkSession, sf: str) -> DataFrame:
     from tonguemap.llm import lm
 
     return lm.score(table(spark, sf, "documents"))
+
+
+@query
+def op3_embedding_links(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import embeddings
+
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
