@@ -129,3 +129,10 @@ def op3_embedding_links(spark: SparkSession, sf: str) -> DataFrame:
     from tonguemap.llm import embeddings
 
     return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import pii
+
+    return pii.digests(table(spark, sf, "documents"))
