@@ -43,7 +43,7 @@ def texts():
     bits = ["a@b.c", "a@b", "@", "a@b.c_d@e.f", "é", "😀", " ", "\n", "1.2.3.4", "256.1.1.1", "1.2.3.4.5", "0001.2.3.04", "+1 (269) 555-0123", "+12", "+", "(", "4 111-1", "12", ".", "-", "x@y-z.co.uk.", "%+@a.b"]
     out = ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(150)]
     out += [f"pay {c} or {c[:4]}-{c[4:8]} {c[8:]} now" for c in (card(rng) for _ in range(10))]
-    return [None, "", *out, "a" * 150_000, "1" * 150_000, "a@" * 40_000, "1.2.3." * 20_000, "é 10.0.0.1 a@b.cd " * 3_000, "+1 ( " * 20_000, "a=" * 50_000 + "1" * 20]
+    return [None, "", *out, "a" * 15_000, "1" * 15_000, "a@" * 40_000, "1.2.3." * 20_000, "é 10.0.0.1 a@b.cd " * 3_000, "+1 ( " * 20_000, "a=" * 50_000 + "1" * 20]
 
 
 def test_base_spans(spark):
@@ -66,7 +66,7 @@ def told(rng):
         rows.append(f"the client {ip} came, mail to p{i}@example.org today")
         key = f"zq{rng.randrange(10**9):09d}"
         unknown.append(key)
-        rows.append(f"the client {key}. came é twice" if i % 2 else f"so we mail to {key}, today secret={key[::-1]}x")
+        rows.append(f"the client {key}. came é twice" if i % 2 else f"so we mail to {key}, the client secret={key[::-1]}x")
         rows.append(f"see section 12.4.{i}-2024 and release v2024-{i:03d}")
     return rows, unknown
 
@@ -113,6 +113,11 @@ def test_scores_of_a_graph(spark):
     assert all(abs(r.score - score[r.value]) < 1e-6 for r in got)
 
 
+def test_time_is_linear_in_the_text(spark):
+    docs = spark.createDataFrame([(1, "a" * 2_000_000), (2, "1" * 2_000_000), (3, "x." * 1_000_000)], "doc_id long, text string")
+    assert {r.spans for r in pii.digests(docs).collect()} == {""}
+
+
 def test_redaction(spark):
     rows = ["no data", None, "", "mail a@b.cd, é 10.0.0.1 end", "+4111 1111 1111 1111 x", "a@1.2.3.4 b", "x 1.1.1.1@a.b 4111-1111-1111-1111"]
     docs = spark.createDataFrame([(i, t, None if t is None else len(t), "k") for i, t in enumerate(rows)] + [(3, rows[3], 1, "k")], "doc_id long, text string, n_chars int, s string")

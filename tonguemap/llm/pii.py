@@ -136,7 +136,7 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Array of instances: (start, end, value, patterns)."""
-    label = r"^(?:[^\x20\x09-\x0D0-9=:]*+[A-Za-z][^\x20\x09-\x0D0-9=:]*+[=:])?[^A-Za-z0-9]*+"
+    label = r"^(?:[^\x20\x09-\x0D0-9=:]++[=:])?[^A-Za-z0-9]*+"
     tail = r"[^A-Za-z0-9]++$"
 
     def described(m: Column) -> Column:
@@ -154,12 +154,12 @@ def candidates(text: Column) -> Column:
         )
 
     def patterns(x: Column) -> Column:
-        words, alone = x["words"], x["name"] == ""
+        words = x["words"]
         capitals = F.regexp_extract(x["core"], "^[A-Z]{3,}(?=[A-Z0-9])", 0)
         return F.filter(F.array(
-            F.when(~alone, F.concat(F.lit("label "), x["name"])),
-            F.when(alone & (F.size(words) > 0), F.concat(F.lit("word "), F.get(words, F.size(words) - 1))),
-            F.when(alone & (F.size(words) > 1), F.concat_ws(" ", F.lit("words"), F.get(words, F.size(words) - 2), F.get(words, F.size(words) - 1))),
+            F.when(x["name"] != "", F.concat(F.lit("label "), x["name"])),
+            F.when(F.size(words) > 0, F.concat(F.lit("word "), F.get(words, F.size(words) - 1))),
+            F.when(F.size(words) > 1, F.concat_ws(" ", F.lit("words"), F.get(words, F.size(words) - 2), F.get(words, F.size(words) - 1))),
             F.when(capitals != "", F.concat(F.lit("capitals "), F.substring(capitals, 1, 4))),
         ), F.isnotnull)
 
@@ -234,9 +234,9 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Where spans overlap, their union is replaced, named after the one that starts first.
     """
-    found = spans(docs).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.concat("base", "more").alias("s"))
-    found = found.where(F.size("s") > 0).dropDuplicates(["_id", "_h"])
-    by_start = F.sort_array(F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    found = spans(docs).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.concat("base", "more").alias("_s"))
+    found = found.where(F.size("_s") > 0).dropDuplicates(["_id", "_h"])
+    by_start = F.sort_array(F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     name = lambda s: F.element_at(F.array(*[F.lit(f"<{k}>") for k in KINDS]), s["kind"] + 1)
 
     def steps(sorted_spans: Column) -> Column:
@@ -253,9 +253,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h"))
     joined = keyed.join(found, same, "left")
-    text = F.when(F.col("s").isNull(), F.col("text")).otherwise(_let(_let(by_start, steps), rebuilt))
+    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(_let(_let(by_start, steps), rebuilt))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        n = F.when(F.col("s").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
+        n = F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
         out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
