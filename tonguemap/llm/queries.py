@@ -136,3 +136,10 @@ def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
     from tonguemap.llm import pii
 
     return pii.digests(table(spark, sf, "documents"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import suffixes
+
+    return suffixes.repeated_passages(table(spark, sf, "documents"))
