@@ -4,6 +4,7 @@ import re
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
@@ -85,7 +86,7 @@ def test_tokens(steps):
 def test_run_and_odd_rows(spark, steps, tmp_path):
     assert cp.run(spark, SF).count() == steps["bpe"].count()
     odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "x y", "en", None, 3), (None, "x y", "en", None, 3), (4, "é " * 60_000, "en", "a", 5), (5, "call a@b.cd now", "en", "b", 15), (5, "call a@b.cd now", "en", "b", 15)]
-    docs = spark.createDataFrame([(*r, 1) for r in odd], steps["given"].schema.add("rank", "int"))
+    docs = spark.createDataFrame(odd, steps["given"].schema).withColumn("rank", F.lit(1))
     for name, function in cp.STAGES:
         docs = cp.stage(function(spark, docs, SF), name)
     texts = {r.doc_id for r in docs.collect()}
