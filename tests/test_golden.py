@@ -2,9 +2,12 @@
 
 import time
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from tonguemap.config import DEFAULT
 from tonguemap.functions import html, render, text, urls
 from tonguemap.sources import crawl
 
@@ -25,6 +28,7 @@ CASES = [
         "http://a.com/enx": None, "https://es.site.com/fr/": "es", "https://it.com/": "it", "http://a.com/ES-MX/x": "es",
     }),
     (urls.normalize, {
+        "http://a.com/e\ns/\ta": "http://a.com/es/a",
         "HTTPS://A.b:443//x//y?q#f": "https://a.b/x/y", "mailto:a@b": None, "#x": None, "": None, "http://a.b": "http://a.b/",
         "http://a.b:80/x//": "http://a.b/x/", "http://a.b/x;p=1": "http://a.b/x", "ftp://a.b/": None, "/rel": None,
         " http://a.b:8080/ ": "http://a.b:8080/",
@@ -51,6 +55,7 @@ CASES = [
     (render.html_escape, {"<a href=\"x\">&'": "&lt;a href=&quot;x&quot;&gt;&amp;&#039;"}),
     (render.csv_escape, {"plain": "plain", 'a"b': '"a""b"', "a,b": '"a,b"', "a\nb": '"a\nb"'}),
     (html.decode_entities, {
+        "&apos;&NotEqualTilde;": "'\u2242\u0338", "&#0000000000000065;&#x00000000041;": "AA",
         "&amp;lt; &lt; &eacute; &#233; &#x1F600; &bogus; &amp": "&lt; < é é 😀 &bogus; &amp", "a&nbsp;b": "a b",
     }),
     (crawl.failure_label, {
@@ -138,7 +143,7 @@ def test_unclosed_comment_hides_the_rest(spark):
     ("the and of " + "x" * 300, None),  # three hits
     ("the and of to el la de que " + "x" * 300, "en"),  # tie
     ("para com nosso uma o " + "y" * 300, "pt"),
-    ("zz " * 500 + "der die das und von", None),  # beyond the first 500 words
+    ("zz " * 500 + "der die das und von", "de"),  # whole texts count
     ("thé and,OF;to.In" + " 1" * 200, "en"),
     ("théand ofto" + " 1" * 200, None),
 ])
@@ -156,3 +161,10 @@ def test_summary_lines(spark):
 def test_progress_rounds_halves_up(spark):
     df = spark.createDataFrame([(1, 8), (1, 3), (3, 3)], "d int, t int")
     assert [r.p for r in df.select(render.progress_percent(F.col("d"), F.col("t")).alias("p")).collect()] == [13, 33, 100]
+
+
+def test_text_language_of_the_first_tokens_only(spark):
+    df = spark.createDataFrame([("zz " * 500 + "der die das und von mit",)], "t string")
+    cfg = replace(DEFAULT, max_text_tokens=500)
+    assert text.with_text_language(df, "t", "lang").first().lang == "de"
+    assert text.with_text_language(df, "t", "lang", cfg=cfg).first().lang is None

@@ -4,6 +4,7 @@ import random
 from collections import deque
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from tonguemap.config import DEFAULT
@@ -67,6 +68,14 @@ def report(spark, rows, probes=None):
     return {r.domain: (r.status, r.language_count, r.languages, r.review_recommended) for r in site.site_report(facts).collect()}
 
 
+@pytest.mark.parametrize("first", [-5, -1, 0, 2**62])
+def test_site_status_with_any_page_numbers(spark, first):
+    rows = [("https://a.com/x", "<html><div id='root'></div></html>", 404), ("https://a.com/y", "<html></html>", 200)]
+    df = crawl(spark, rows).withColumn("seq", F.col("seq") - F.lit(1) + F.lit(first))
+    (got,) = site.site_report(site.site_facts(site_pages(df))).collect()
+    assert (got.status, got.review_recommended) == ("404 - Not Found", "Yes")
+
+
 def test_site_review_rules(spark):
     es = '<a href="/es/">es</a><a href="/fr/">fr</a>'
     got = report(spark, [

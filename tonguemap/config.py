@@ -15,7 +15,7 @@ class EngineConfig:
     max_links_per_page: int = 100
     # scored profile: detection
     min_text_chars: int = 300
-    max_text_tokens: int = 500
+    max_text_tokens: int | None = None  # whole texts; 500 for the published heuristic
     min_stop_word_hits: int = 4
     confidence_threshold: int = 40
     points: dict = field(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ _OTHER_BLANKS = f"[{BLANKS[5:]}]"
 _OTHER_ATTR = r"""\s++(?!{name}[\s=])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
 _ATTR = rf"""(?i)^[a-z]++(?:{_OTHER_ATTR})*+\s++{{name}}\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 _ENTITY = "&([A-Za-z][A-Za-z0-9]*);"
-_NUMERIC_ENTITY = "&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+_NUMERIC_ENTITY = "&#(0*+[0-9]{1,7}|[xX]0*+[0-9A-Fa-f]{1,6});"
 
 
 def page_tags(body: Column) -> Column:
@@ -58,9 +58,23 @@ def _unquote(raw: Column) -> Column:
     return F.when(raw != "", bare)
 
 
+HTML_NAMES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+XML_NAMES = {name: HTML_NAMES[name] for name in ("amp", "lt", "gt", "quot", "apos")}
+
+
 def decode_entities(c: Column) -> Column:
-    """Decode named and numeric character references; ``&amp;`` goes last so nothing is decoded twice."""
-    table = lookup_table({name: chr(cp) for name, cp in name2codepoint.items()})
+    """Decode the character references of HTML, named and numeric."""
+    return _references_decoded(c, HTML_NAMES)
+
+
+def decode_xml(c: Column) -> Column:
+    """Decode the five named references of XML, and numeric ones."""
+    return _references_decoded(c, XML_NAMES)
+
+
+def _references_decoded(c: Column, names: dict[str, str]) -> Column:
+    """Decode references; ``&amp;`` goes last so nothing is decoded twice."""
+    table = lookup_table(names)
 
     def named(text: Column, name: Column) -> Column:
         value = F.try_element_at(table, name)
@@ -70,7 +84,7 @@ def decode_entities(c: Column) -> Column:
 
     def numeric(text: Column, ref: Column) -> Column:
         code = F.when(
-            F.lower(ref).startswith("x"), F.conv(F.substring(ref, 2, 6), 16, 10)
+            F.lower(ref).startswith("x"), F.conv(F.regexp_replace(ref, "^[xX]0*+(?=.)", ""), 16, 10)
         ).otherwise(ref).cast("long")
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
@@ -143,7 +157,7 @@ def is_html(content_type: Column, body: Column) -> Column:
     return (
         ctype.contains("text/html")
         | ctype.contains("application/xhtml+xml")
-        | F.lower(F.substring(body, 1, 1000)).contains("<html")
+        | body.rlike("(?i)<html")
     )
 
 

@@ -18,9 +18,13 @@ def once(build: Callable) -> Callable:
 
     @functools.wraps(build)
     def get(*names: str):
-        key = (id(SparkContext._gateway), names)
-        if key not in built:
-            built[key] = build(*names)
-        return built[key]
+        # the gateway itself is held, so that no later one can be taken for it
+        gateway = SparkContext._gateway
+        if built.get("gateway") is not gateway:
+            built.clear()
+            built["gateway"] = gateway
+        if names not in built:
+            built[names] = build(*names)
+        return built[names]
 
     return get

@@ -12,14 +12,16 @@ from tonguemap.config import DEFAULT, EngineConfig
 from tonguemap.functions.once import once
 
 
-def leading_tokens(text: Column, n: int) -> Column:
-    """The text up to and including its ``n``-th word token; matching stops there."""
+def leading_tokens(text: Column, n: int | None) -> Column:
+    """The text in lower case, up to and including its ``n``-th word token if there is a limit."""
     w = dims.WORD_CHARS
+    if n is None:
+        return F.lower(text)
     return F.regexp_extract(F.lower(text), rf"^(?:[^{w}]*+[{w}]++){{0,{n}}}+", 0)
 
 
 def stop_word_tokens(text: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    """Those of the leading tokens that are a stop word of any language."""
+    """Those tokens that are a stop word of any language."""
     tokens = F.regexp_extract_all(leading_tokens(text, cfg.max_text_tokens), F.lit(f"[{dims.WORD_CHARS}]++"), F.lit(0))
     known = sorted({w for words in dims.STOP_WORDS.values() for w in words})
     return F.filter(tokens, lambda t: t.isin(known))

@@ -48,6 +48,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
 
+def unbroken(c: Column) -> Column:
+    """Without the tabs and line breaks that URLs lose wherever they are read."""
+    return F.regexp_replace(c, r"[\t\r\n]", "")
+
+
 def scheme(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, _SCHEME, 1))
 
@@ -140,7 +145,7 @@ def canonical(full: Column, keep_query: bool = False) -> Column:
 
 def normalize(url: Column, parts: Column | None = None, keep_query: bool = False) -> Column:
     """Canonical http(s) URL, or NULL for other targets (mail, phone, script, fragment only)."""
-    raw = strip(url)
+    raw = unbroken(strip(url))
     full = raw if parts is None else resolve(parts, raw)
     return F.when((url != "") & ~raw.rlike(_SKIPPED_TARGETS), canonical(full, keep_query))
 
@@ -150,7 +155,7 @@ def normalize_all(urls: Column, parts: Column) -> Column:
 
     Each ``transform`` binds its result to a lambda variable, so no step is computed twice.
     """
-    raw = F.filter(F.transform(F.filter(urls, lambda u: u != ""), strip), lambda u: ~u.rlike(_SKIPPED_TARGETS))
+    raw = F.filter(F.transform(F.filter(urls, lambda u: u != ""), lambda u: unbroken(strip(u))), lambda u: ~u.rlike(_SKIPPED_TARGETS))
     full = F.transform(raw, lambda u: resolve(parts, u))
     return F.array_distinct(F.array_compact(F.transform(full, lambda u: canonical(u))))
 
@@ -168,7 +173,7 @@ def _percent_encode(c: Column, also: str) -> Column:
 
 def web_reference(href: Column) -> Column:
     """What a browser keeps of an href before resolving it."""
-    return F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    return unbroken(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
 
 
 def web_url(full: Column) -> Column:

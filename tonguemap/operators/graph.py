@@ -26,9 +26,9 @@ def crawl_seeds(starts: DataFrame, discovered: DataFrame, cfg: EngineConfig = DE
 
 def page_links(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Link table (src, pos, dst) of the scored crawl, with the per-page link cap."""
-    from tonguemap.operators.scored import page_targets
+    from tonguemap.operators.scored import crawl_targets
 
-    return pages.select(F.col("url").alias("src"), F.posexplode(page_targets(cfg)).alias("pos", "dst"))
+    return pages.select(F.col("url").alias("src"), F.posexplode(crawl_targets(cfg)).alias("pos", "dst"))
 
 
 def _nothing(like: DataFrame, *more: Column) -> DataFrame:
@@ -85,6 +85,7 @@ def bfs_site(starts: DataFrame, targets: DataFrame, cfg: EngineConfig = DEFAULT)
     holds at most ``site_queue_cap`` entries, so its state is one short row; duplicates take up slots.
     """
     text = "array<string>"
+    targets = stage(targets.select("url", "targets"), "site-targets")  # read once per round, bodies once in all
     state = starts.select(
         "domain", F.array("url").alias("queue"), F.array().cast(text).alias("visited"),
         F.array().cast("array<boolean>").alias("landed"),

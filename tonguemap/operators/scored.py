@@ -13,22 +13,27 @@ from pyspark.sql import functions as F
 from tonguemap import dims
 from tonguemap.config import DEFAULT, EngineConfig
 from tonguemap.functions import render, urls
-from tonguemap.operators.skew import salted_join, top_k
+from tonguemap.operators.skew import top_k
 
 
-def page_targets(cfg: EngineConfig = DEFAULT) -> Column:
+def page_targets() -> Column:
+    """URLs a page names: all hreflang targets, then its internal links."""
+    return F.concat("hreflang_urls", "internal_links")
+
+
+def crawl_targets(cfg: EngineConfig = DEFAULT) -> Column:
     """URLs a page adds to the crawl: all hreflang targets, then its first internal links."""
     return F.concat("hreflang_urls", F.slice("internal_links", 1, cfg.max_links_per_page))
 
 
-def discovered_urls(pages: DataFrame, extra: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def discovered_urls(pages: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Distinct (domain, url, code): start URLs, page targets, and ``extra`` (domain, url), as of sitemaps.
 
     The distinct is keyed by the URL too, so a hot domain spreads over all tasks.
     """
     # with the start URL in front of the targets, one scan of the pages gives both
     start = F.concat(F.lit("https://"), F.col("domain"), F.lit("/"))
-    found = pages.select("domain", F.explode(F.concat(F.array(start), page_targets(cfg))).alias("url"))
+    found = pages.select("domain", F.explode(F.concat(F.array(start), page_targets())).alias("url"))
     if extra is not None:
         found = found.unionByName(extra.select("domain", "url"))
     return found.distinct().withColumn("code", urls.scored_url_code(F.col("url")))
@@ -101,7 +106,8 @@ def supplemental_gate(pages: DataFrame, trusted: DataFrame) -> DataFrame:
             "conflict"
         ),
     )
-    joined = salted_join(texts, first, ["domain", "code"], spread_by=["seq"], how="left")
+    # one row per domain and code on the right, so Spark may split a hot domain on the left
+    joined = texts.join(first, ["domain", "code"], "left")
     return joined.withColumn("counts", F.coalesce(F.col("first_seq") <= F.col("seq"), F.lit(False))).drop("first_seq")
 
 
@@ -261,18 +267,13 @@ def summary_bridge(report: DataFrame) -> DataFrame:
     )
 
 
-def within_page_budget(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The pages a crawl of each domain visits at most: its first ``max_pages`` in crawl order."""
-    return top_k(pages, ["domain"], [F.col("seq")], cfg.max_pages, "page_rank")
-
-
 def report_documents(
     findings: DataFrame, sources: DataFrame, samples: DataFrame, warning_rows: DataFrame, counts: DataFrame
 ) -> DataFrame:
     """Nested report per domain, fields in alphabetical order as the published JSON has them.
 
-    Built for crawls within the page budget, which bounds the warnings of a domain; the other lists are
-    bounded by the known codes and the sample size.
+    Lists are bounded by the known codes and the sample size. A domain can have a warning for each of its
+    pages, so the report has their number, and :func:`warnings` is a table of its own.
     """
     urls_of = samples.groupBy("domain", "code").agg(F.array_sort(F.collect_list("url")).alias("sample_urls"))
     detail = findings.join(sources, ["domain", "code"]).join(urls_of, ["domain", "code"], "left")
@@ -286,13 +287,7 @@ def report_documents(
             F.collect_list(F.struct((-F.col("confidence_percent")).alias("o"), F.col("name").alias("n"), finding.alias("f")))
         ).alias("f")
     )
-    late = (F.col("type") == "suppressed_text_only_language").alias("late")
-    warned = warning_rows.groupBy("domain").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("seq", late, F.struct("code", "language", "message", "type", "url").alias("w")))),
-            lambda x: x["w"],
-        ).alias("warnings")
-    )
+    warned = warning_rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n_warnings"))
     kinds = sorted(c for c in counts.columns if c != "domain")
     joined = counts.join(found, "domain", "left").join(warned, "domain", "left")
     findings_col = F.transform("f", lambda x: x["f"])
@@ -306,9 +301,7 @@ def report_documents(
         findings_col.alias("findings"),
         F.coalesce(F.size("f"), F.lit(0)).cast("long").alias("language_count"),
         F.coalesce(labels, none).alias("languages"),
-        "warnings",
+        F.coalesce("n_warnings", F.lit(0)).cast("long").alias("warning_count"),
     )
-    # empty lists, not NULL: the document always shows the key
-    for name in ("findings", "warnings"):
-        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
-    return out
+    # an empty list, not NULL: the document always shows the key
+    return out.withColumn("findings", F.coalesce("findings", F.array().cast(out.schema["findings"].dataType)))

@@ -34,15 +34,13 @@ def page_marks() -> Column:
     )
 
 
-# "value at the smallest seq" packed into one number, which a hash aggregate can hold (a struct would make it sort)
-_CODES = 1000
-
-
 def site_facts(pages: DataFrame) -> DataFrame:
     """Everything the report needs, pre-aggregated to (site, code, strategy) in one pass over the pages.
 
     A mark without code stands for the page itself, so sites without evidence keep their status.
     """
+    answered = F.when(F.col("status_code").isNotNull(), F.col("seq"))
+    read = F.when(F.col("spa").isNotNull(), F.col("seq"))
     itself = F.struct(F.lit(None).cast("string").alias("code"), F.lit("page").alias("strategy"))
     flags = pages.select(
         "site", "seq", "status_code",
@@ -55,8 +53,11 @@ def site_facts(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("marks"),
         F.bool_or("failed").alias("has_error"),
         F.bool_or("hl").alias("has_hreflang"),
-        F.min(F.col("seq") * _CODES + F.col("status_code")).alias("first_status"),
-        F.min(F.col("seq") * 2 + F.col("spa").cast("int")).alias("first_page"),
+        # the value at the smallest seq, and that seq, each a plain number that a hash aggregate can hold
+        F.min_by("status_code", answered).alias("first_status"),
+        F.min(answered).alias("status_seq"),
+        F.min_by("spa", read).alias("first_spa"),
+        F.min(read).alias("spa_seq"),
     )
 
 
@@ -69,8 +70,8 @@ def _status_aggregates() -> list[Column]:
     return [
         F.coalesce(F.bool_or("has_error"), F.lit(False)).alias("has_error"),
         F.coalesce(F.bool_or("has_hreflang"), F.lit(False)).alias("has_hreflang"),
-        (F.min("first_status") % _CODES).cast("int").alias("first_status"),
-        F.coalesce(F.min("first_page") % 2 == 1, F.lit(False)).alias("spa"),
+        F.min_by("first_status", "status_seq").alias("first_status"),
+        F.coalesce(F.min_by("first_spa", "spa_seq"), F.lit(False)).alias("spa"),
     ]
 
 
@@ -132,7 +133,11 @@ def probe_candidates(sites: DataFrame) -> DataFrame:
 
 def probe_hits(candidates: DataFrame, fetches: DataFrame) -> DataFrame:
     """Distinct (site, code) whose candidate URL answered with 2xx or 3xx in the fetch log."""
-    good = fetches.where(F.col("status_code").between(200, 399)).select(F.col("requested_url").alias("url")).distinct()
+    asked = sorted({path for path, _ in probe_paths()})
+    url = F.col("requested_url")
+    # few logged URLs are at such a path, which the scan can tell
+    worth = F.col("status_code").between(200, 399) & F.regexp_extract(url, "^https://[^/]+(.*)$", 1).isin(asked)
+    good = fetches.where(worth).select(url.alias("url")).distinct()
     return candidates.join(good, "url", "left_semi").select("site", "code").distinct()
 
 

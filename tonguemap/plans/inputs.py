@@ -163,15 +163,16 @@ def derive(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     return spark.sql(sql.format(**{name: "{given}"}), given=table(spark, sf, name))
 
 
+# session setting that asks for :func:`spread`
+SPREAD = "spark.tonguemap.spread"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if spark.conf.get(SPREAD, "false") == "true" else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of fewer splits than cores, as of one small file; larger tables stay as they are.
-
-    Reading markup is work for the processor, so it is worth moving a few megabytes. The shuffle never
-    appears on a table that fills the cluster by itself.
-    """
+    """Use all cores on a table of fewer splits than cores, as of one small file: for the bench only."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

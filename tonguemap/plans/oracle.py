@@ -129,8 +129,8 @@ def yes(cond):
 
 
 def words(text):
-    """First 500 word tokens."""
-    return f"regexp_extract_all(lower({text}), '[{dims.WORD_CHARS}]+')[1:500]"
+    """Word tokens."""
+    return f"regexp_extract_all(lower({text}), '[{dims.WORD_CHARS}]+')"
 
 
 def hits(tokens, lang):
@@ -360,7 +360,7 @@ FROM (SELECT seq, domain, url, min(pos) AS pos FROM {name}_all WHERE url IS NOT
 cte("ok", "SELECT *, error IS NULL AND coalesce(status_code, 0) >= 200 AND coalesce(status_code, 0) < 400 AND body <> '' AS readable FROM page", "page")
 cte("html", """
 SELECT seq, coalesce(contains(lower(content_type), 'text/html') OR contains(lower(content_type), 'application/xhtml+xml')
-  OR contains(lower(substr(body, 1, 1000)), '<html'), false) AS html FROM crawl""", "crawl")
+  OR contains(lower(body), '<html'), false) AS html FROM crawl""", "crawl")
 cte("sp", f"""
 SELECT ok.seq, domain, requested_url, {canonical('requested_url')} AS url, final_url,
   coalesce(final_url, {canonical('requested_url')}) AS page_url, status_code, error, readable,
@@ -395,7 +395,7 @@ SELECT sp.seq, sp.domain, sp.page_url, l.html_lang, {scored_code('l.html_lang')}
 FROM sp JOIN sp_lang l USING (seq) JOIN page_text t USING (seq)""", "sp", "sp_lang", "page_text")
 cte("target", """
 SELECT seq, domain, url, 0 AS part, pos FROM alt_url
-UNION ALL SELECT seq, domain, url, 1, pos FROM inner_link WHERE pos < 100""", "alt_url", "inner_link")
+UNION ALL SELECT seq, domain, url, 1, pos FROM inner_link""", "alt_url", "inner_link")
 cte("found_url", f"""
 SELECT domain, url, {scored_url('url')} AS code FROM (
   SELECT domain, url FROM target UNION SELECT domain, 'https://' || domain || '/' FROM sp)""", "target", "sp")
@@ -463,9 +463,6 @@ LEFT JOIN (SELECT domain, count(*) AS w FROM {p}warning GROUP BY domain) x ON x.
 
 
 scored_chain("s_", "codes")
-cte("budget", """
-SELECT * FROM codes WHERE seq IN (SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY domain ORDER BY seq) AS r FROM codes) WHERE r <= 100)""", "codes")
-scored_chain("b_", "budget")
 
 check("language_report", "SELECT * FROM s_report", "s_report")
 check("evidence_points", """
@@ -477,19 +474,18 @@ check("text_conflicts", "SELECT domain, seq, code FROM s_gate WHERE conflict", "
 check("warnings", "SELECT domain, seq, type, language, code, url, message FROM s_warning", "s_warning")
 check("finding_sources", "SELECT domain, code, sources FROM s_source", "s_source")
 check("finding_sample_urls", "SELECT domain, code, url, rank FROM s_sample", "s_sample")
-_COUNTS = f"""
+_COUNTED = f"""
 SELECT d.domain,
   (SELECT count(DISTINCT {host('f.url')}) FROM found_url f WHERE f.domain = d.domain) AS subdomains,
-  CAST({{sitemaps}} AS BIGINT) AS sitemaps,
+  (SELECT count(DISTINCT s.url) FROM sitemaps s WHERE s.domain = d.domain) AS sitemaps,
   (SELECT count(*) FROM found_url f WHERE f.domain = d.domain) AS urls,
   (SELECT count(DISTINCT h.hreflang) FROM hreflang h WHERE h.domain = d.domain) AS hreflang_targets,
   (SELECT count(*) FROM lang_path p WHERE p.domain = d.domain) AS candidate_language_paths,
   (SELECT count(*) FROM sp WHERE sp.domain = d.domain) AS pages,
   (SELECT count(sp.fetch_error) FROM sp WHERE sp.domain = d.domain) AS fetch_errors
 FROM (SELECT DISTINCT domain FROM sp) d"""
-check("discovery_counts", _COUNTS.format(sitemaps="(SELECT count(DISTINCT s.url) FROM sitemaps s WHERE s.domain = d.domain)"),
-      "found_url", "hreflang", "lang_path", "sp", "sitemaps")
-cte("counted", _COUNTS.format(sitemaps=0), "found_url", "hreflang", "lang_path", "sp")
+check("discovery_counts", _COUNTED, "found_url", "hreflang", "lang_path", "sp", "sitemaps")
+cte("counted", _COUNTED, "found_url", "hreflang", "lang_path", "sp", "sitemaps")
 check("discovery_csv", """
 SELECT domain, domain AS registered_domain, subdomains AS subdomain_count, urls AS url_count, sitemaps AS sitemap_count,
   coalesce((SELECT string_agg(p.path, ';' ORDER BY p.path) FROM lang_path p WHERE p.domain = c.domain), '') AS candidate_language_paths,
@@ -512,21 +508,20 @@ SELECT domain, CAST(language_count AS INT) AS "languageCount", languages, {yes(_
 check("summary_markdown", f"""
 SELECT '| ' || domain || ' | ' || language_count || ' | ' || CASE WHEN languages = '' THEN '_None over threshold_' ELSE languages END
   || ' | ' || {yes(_WARNED)} || ' |' AS line FROM s_report""", "s_report")
-check("summary_from_json", summary("b_", _WARNED), "b_report")
-check("summary_from_csv", summary("b_", _WARNED), "b_report")
+check("summary_from_json", summary("s_", _WARNED), "s_report")
+check("summary_from_csv", summary("s_", _WARNED), "s_report")
 check("report_json_roundtrip", """
-SELECT f.domain, (SELECT count(*) FROM b_warning w WHERE w.domain = f.domain) AS warnings, f.code, f.name, f.confidence_percent, f.confidence_label,
-  s.sources, (SELECT string_agg(x.url, '; ' ORDER BY x.url) FROM b_sample x WHERE x.domain = f.domain AND x.code = f.code) AS sample_urls
-FROM b_finding f JOIN b_source s USING (domain, code)""", "b_finding", "b_warning", "b_source", "b_sample")
+SELECT f.domain, (SELECT count(*) FROM s_warning w WHERE w.domain = f.domain) AS warnings, f.code, f.name, f.confidence_percent, f.confidence_label,
+  s.sources, (SELECT string_agg(x.url, '; ' ORDER BY x.url) FROM s_sample x WHERE x.domain = f.domain AND x.code = f.code) AS sample_urls
+FROM s_finding f JOIN s_source s USING (domain, code)""", "s_finding", "s_warning", "s_source", "s_sample")
 check("language_report_csv", """
 SELECT r.domain, r.language_count, replace(r.languages, '; ', ';') AS languages,
   coalesce((SELECT '[' || string_agg(to_json({'code': f.code, 'confidence_label': f.confidence_label, 'confidence_percent': f.confidence_percent, 'name': f.name,
-      'sample_urls': (SELECT list(x.url ORDER BY x.url) FROM b_sample x WHERE x.domain = f.domain AND x.code = f.code), 'sources': s.source_list}),
+      'sample_urls': (SELECT list(x.url ORDER BY x.url) FROM s_sample x WHERE x.domain = f.domain AND x.code = f.code), 'sources': s.source_list}),
       ',' ORDER BY f.confidence_percent DESC, f.name) || ']'
-    FROM b_finding f JOIN b_source s USING (domain, code) WHERE f.domain = r.domain), '[]') AS confidence_details,
-  coalesce((SELECT '[' || string_agg(to_json({'code': w.code, 'language': w.language, 'message': w.message, 'type': w.type, 'url': w.url}), ',' ORDER BY w.seq, w.o) || ']'
-    FROM b_warning w WHERE w.domain = r.domain), '[]') AS warnings
-FROM b_report r""", "b_report", "b_finding", "b_source", "b_sample", "b_warning")
+    FROM s_finding f JOIN s_source s USING (domain, code) WHERE f.domain = r.domain), '[]') AS confidence_details,
+  CAST((SELECT count(*) FROM s_warning w WHERE w.domain = r.domain) AS VARCHAR) AS warnings
+FROM s_report r""", "s_report", "s_finding", "s_source", "s_sample", "s_warning")
 check("debug_snapshot", """
 SELECT domain, 'discovered_url' AS kind, r AS position, url AS value
 FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url) AS r FROM found_url) WHERE r <= 50

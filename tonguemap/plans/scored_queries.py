@@ -27,12 +27,12 @@ def domains_of(p: DataFrame) -> DataFrame:
 
 
 class Scored:
-    """The tables of one scored run; ``pages`` is staged since all of them read it."""
+    """The tables of one scored run; those that several others read are staged."""
 
     def __init__(self, p: DataFrame):
         self.pages = stage(p, "scored-pages")
-        self.discovered = scored.discovered_urls(self.pages)
-        self.trusted = scored.trusted_evidence(self.pages, self.discovered)
+        self.discovered = stage(scored.discovered_urls(self.pages), "discovered")
+        self.trusted = stage(scored.trusted_evidence(self.pages, self.discovered), "trusted")
         self.gate = scored.supplemental_gate(self.pages, self.trusted)
         self.points = scored.evidence_points(self.trusted, self.gate)
         self.scores = scored.language_scores(self.points)
@@ -47,8 +47,8 @@ def run(spark: SparkSession, sf: str) -> Scored:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested reports of crawls within the page budget."""
-    s = Scored(scored.within_page_budget(pages(spark, sf)))
+    """Nested reports."""
+    s = run(spark, sf)
     samples = scored.finding_sample_urls(scored.finding_urls(s.pages, s.discovered, s.gate))
     return scored.report_documents(
         s.findings, scored.finding_sources(s.points, s.scores), samples, s.warnings, s.counts
@@ -103,17 +103,21 @@ def finding_sample_urls(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("domain", "code", "url", F.col("rank").cast("long").alias("rank"))
 
 
+def _sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return derive(spark, sf, inputs.SITEMAPS).select("domain", "url")
+
+
 @query
 def discovery_counts(spark: SparkSession, sf: str) -> DataFrame:
     p = stage(pages(spark, sf), "scored-pages")
-    sitemap_urls = derive(spark, sf, inputs.SITEMAPS).select("domain", "url")
-    return scored.discovery_counts(p, scored.discovered_urls(p), sitemap_urls)
+    return scored.discovery_counts(p, stage(scored.discovered_urls(p), "discovered"), _sitemap_urls(spark, sf))
 
 
 @query
 def discovery_csv(spark: SparkSession, sf: str) -> DataFrame:
     s = run(spark, sf)
-    return sinks.discovery_csv(s.counts, scored.candidate_paths(s.discovered), s.pages)
+    counts = scored.discovery_counts(s.pages, s.discovered, _sitemap_urls(spark, sf))
+    return sinks.discovery_csv(counts, scored.candidate_paths(s.discovered), s.pages)
 
 
 @query
@@ -160,7 +164,7 @@ def report_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "reports-json")
     sinks.write_json(documents(spark, sf), path)
     back = read_reports(spark, path)
-    f = back.select("domain", F.size("warnings").cast("long").alias("warnings"), F.explode("findings").alias("f"))
+    f = back.select("domain", F.col("warning_count").alias("warnings"), F.explode("findings").alias("f"))
     return f.select(
         "domain", "warnings", "f.code", "f.name", "f.confidence_percent", "f.confidence_label",
         F.array_join("f.sources", "; ").alias("sources"), F.array_join("f.sample_urls", "; ").alias("sample_urls"),

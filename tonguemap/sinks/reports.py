@@ -17,10 +17,13 @@ CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
 
 
 def language_csv(documents: DataFrame) -> DataFrame:
-    """Five flat columns per report; findings and warnings as JSON text with sorted keys."""
+    """Five flat columns per report; findings as JSON text with sorted keys, warnings as their number.
+
+    The warnings themselves, of which a domain can have one per page, are rows of their own files.
+    """
     return documents.select(
         "domain", "language_count", F.array_join("languages", ";").alias("languages"),
-        F.to_json("findings").alias("confidence_details"), F.to_json("warnings").alias("warnings"),
+        F.to_json("findings").alias("confidence_details"), F.col("warning_count").cast("string").alias("warnings"),
     )
 
 

@@ -13,7 +13,7 @@ REPORT_SCHEMA = """
     findings ARRAY<STRUCT<code: STRING, name: STRING, confidence_percent: BIGINT, confidence_label: STRING,
                           sources: ARRAY<STRING>, sample_urls: ARRAY<STRING>>>,
     warnings ARRAY<STRUCT<type: STRING, language: STRING, code: STRING, url: STRING, message: STRING>>,
-    discovery_counts MAP<STRING, BIGINT>
+    warning_count BIGINT, discovery_counts MAP<STRING, BIGINT>
 """
 
 
@@ -33,7 +33,8 @@ def summary_from_reports(reports: DataFrame) -> DataFrame:
     plain = F.filter(F.transform("languages", strip), lambda x: x != "")
     none = F.array().cast("array<string>")
     shown = F.when(F.coalesce(F.size("findings"), F.lit(0)) > 0, labels).otherwise(F.coalesce(plain, none))
-    return _summary_rows(reports.withColumn("_l", shown), F.coalesce(F.size("warnings"), F.lit(0)) > 0)
+    warned = (F.coalesce(F.size("warnings"), F.lit(0)) > 0) | (F.coalesce("warning_count", F.lit(0)) > 0)
+    return _summary_rows(reports.withColumn("_l", shown), warned)
 
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -42,9 +43,9 @@ def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def summary_from_csv(reports: DataFrame) -> DataFrame:
-    """Summary rows of the flat report; languages are counted again, ``[]`` means no warnings."""
+    """Summary rows of the flat report; languages are counted again, ``[]`` or 0 means no warnings."""
     parts = F.filter(F.transform(F.split(F.coalesce("languages", F.lit("")), ";"), strip), lambda x: x != "")
-    warned = ~strip(F.coalesce("warnings", F.lit(""))).isin("", "[]")
+    warned = ~strip(F.coalesce("warnings", F.lit(""))).isin("", "[]", "0")
     return _summary_rows(reports.withColumn("_l", parts), warned)
 
 

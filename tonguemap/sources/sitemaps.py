@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import gzip
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tonguemap import dims
 from tonguemap.functions import urls
-from tonguemap.functions.html import decode_entities
+from tonguemap.functions.html import decode_xml
 
 # fixed values: patterns
 _LOC = r"(?s)<(?:[\w.\-]+:)?loc(?:\s[^>]*)?>\s*(<!\[CDATA\[.*?\]\]>|[^<]*)"
@@ -22,7 +18,7 @@ def sitemap_lines(body: Column) -> Column:
     """Values of the ``sitemap:`` lines of a robots file, in order, first of equals kept."""
     lines = F.transform(F.split(body, r"\r\n|\r|\n"), urls.strip)
     named = F.filter(lines, lambda x: F.lower(x).startswith("sitemap:"))
-    values = F.transform(named, lambda x: urls.strip(F.substring(x, 9, 1_000_000)))
+    values = F.transform(named, lambda x: urls.strip(F.substr(x, F.lit(9))))
     return F.array_distinct(F.filter(values, lambda v: v != ""))
 
 
@@ -66,7 +62,7 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
     bare = F.transform(
         raw,
         lambda v: F.when(v.startswith("<![CDATA["), F.regexp_replace(v, r"^<!\[CDATA\[|\]\]>$", "")).otherwise(
-            decode_entities(v)
+            decode_xml(v)
         ),
     )
     locs = F.array_distinct(F.filter(F.transform(bare, urls.strip), lambda v: v != ""))
@@ -78,14 +74,3 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
         .withColumn("locs", F.when(F.coalesce(~bad, F.lit(False)), locs).otherwise(F.array().cast("array<string>")))
         .drop("_xml", "_checked")
     )
-
-
-@F.pandas_udf(T.StringType())
-def decode_payload(payload: pd.Series) -> pd.Series:
-    """Text of a sitemap body: gzip content is inflated, anything else is UTF-8."""
-    def one(b):
-        if b is None:
-            return None
-        return (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else bytes(b)).decode("utf-8", errors="replace")
-
-    return payload.map(one)
