@@ -86,6 +86,24 @@ def test_report_stream_over_several_batches(spark, arrivals):
     assert as_rows(got) == as_rows(whole)
 
 
+def test_a_stopped_stream_goes_on(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    folder, path = str(tmp_path / "pages"), str(tmp_path / "job")
+
+    def run():
+        stream = jobs.read_stream(spark, folder, pages.schema)
+        return as_rows(jobs.site_report_stream(spark.sql(inputs.CRAWL.format(pages="{given}"), given=stream), path=path))
+
+    pages.where("page_id % 3 <> 0").write.parquet(folder)
+    run()
+    pages.where("page_id % 3 = 0").write.mode("append").parquet(folder)
+    whole = site.site_report(site.site_facts(site_pages(inputs.derive(spark, SF, inputs.CRAWL))))
+    assert run() == as_rows(whole)
+    facts = spark.read.parquet(f"{path}/table").where("strategy = 'page'").groupBy("batch").agg(F.sum("marks").alias("n"))
+    by_batch = {r.batch: r.n for r in facts.collect()}
+    assert by_batch == {0: pages.where("page_id % 3 <> 0").count(), 1: pages.where("page_id % 3 = 0").count()}
+
+
 def test_a_repeated_batch_replaces_the_first_attempt(spark, tmp_path):
     write = jobs.batch_writer(str(tmp_path / "out"))
     write(spark.range(5), 0)

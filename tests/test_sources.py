@@ -104,10 +104,10 @@ def test_seeds_and_suffixes(spark):
     out = {r.input_domain: r for r in crawl.seeds(df).collect()}
     assert (out["A.com/x"].normalized_url, out["A.com/x"].registered_domain, out["A.com/x"].error) == ("https://a.com/x", "a.com", None)
     assert out[" "].error == "empty input"
-    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("q.unknown",), ("uk",)], "host string")
-    suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("com",)], "suffix string")
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("q.unknown",), ("uk",), ("a.b.c.d.e.f.g.h",), (None,)], "host string")
+    suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("com",), ("c.d.e.f.g.h",), ("g.h",)], "suffix string")
     got = {r.host: r.registered_domain for r in crawl.registered_domain_by_suffix(hosts, suffixes, "host").collect()}
-    assert got == {"a.b.co.uk": "b.co.uk", "x.com": "x.com", "q.unknown": "q.unknown", "uk": "uk"}
+    assert got == {"a.b.co.uk": "b.co.uk", "x.com": "x.com", "q.unknown": "q.unknown", "uk": "uk", "a.b.c.d.e.f.g.h": "b.c.d.e.f.g.h", None: None}
 
 
 def test_fetch_flags(spark):

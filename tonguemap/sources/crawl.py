@@ -65,25 +65,23 @@ def seeds(domains: DataFrame, domain_col: str = "input_domain") -> DataFrame:
     )
 
 
-def registered_domain_by_suffix(hosts: DataFrame, suffixes: DataFrame, host_col: str, max_labels: int = 5) -> DataFrame:
+def registered_domain_by_suffix(hosts: DataFrame, suffixes: DataFrame, host_col: str) -> DataFrame:
     """Add ``registered_domain``: the longest known public suffix plus one label.
 
-    ``suffixes`` has one column ``suffix``. One look-up per suffix length, longest first; hosts
-    without a known suffix keep their last two labels.
+    ``suffixes`` has one column ``suffix``. Each distinct host is looked up by all of its endings in one
+    join. Endings of one label are left out: with or without such a suffix, the domain is the last two
+    labels, so no join is on ``com``.
     """
-    from tonguemap.operators.skew import small_enough
-
-    dim = suffixes.select("suffix").distinct()
-    if small_enough(dim):
-        dim = F.broadcast(dim)
-    labels = F.filter(F.split(F.lower(host_col), "[.]"), lambda x: x != "")
-    out = hosts.withColumn("_labels", labels)
-    found = []
-    for n in range(max_labels, 0, -1):
-        tail = F.when(F.size("_labels") > n, F.array_join(F.slice("_labels", -n, n), "."))
-        hit = dim.select(F.col("suffix").alias(f"_s{n}"))
-        out = out.withColumn(f"_t{n}", tail).join(hit, F.col(f"_t{n}") == F.col(f"_s{n}"), "left")
-        found.append(F.when(F.col(f"_s{n}").isNotNull(), F.array_join(F.slice("_labels", -(n + 1), n + 1), ".")))
-    return out.withColumn(
-        "registered_domain", F.coalesce(*found, urls.registered_domain(F.col(host_col)))
-    ).drop("_labels", *[f"_{p}{n}" for p in "ts" for n in range(1, max_labels + 1)])
+    labels = F.filter(F.split("_host", "[.]"), lambda x: x != "")
+    ending = lambda n: F.array_join(F.slice("_labels", -n, n), ".")
+    tails = F.transform(
+        F.sequence(F.lit(2), F.size("_labels") - 1),
+        lambda n: F.struct(n.alias("n"), ending(n).alias("suffix"), ending(n + 1).alias("domain")),
+    )
+    distinct = hosts.select(F.lower(host_col).alias("_host")).distinct().withColumn("_labels", labels)
+    endings = distinct.where(F.size("_labels") > 2).select("_host", F.explode(tails).alias("t")).select("_host", "t.*")
+    known = endings.join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
+    found = known.groupBy("_host").agg(F.max_by("domain", "n").alias("_known"))
+    out = hosts.withColumn("_host", F.lower(host_col)).join(found, "_host", "left")
+    domain = F.coalesce("_known", urls.registered_domain(F.col(host_col)))
+    return out.withColumn("registered_domain", domain).select(*hosts.columns, "registered_domain")

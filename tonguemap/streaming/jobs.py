@@ -2,6 +2,7 @@
 
 Each job reads what has arrived, keeps its progress in a checkpoint and writes micro-batches to a table
 folder by batch id. Writing a batch again replaces it, so a restart after a failure gives the same table.
+Give a job a ``path`` of its own to go on from where it stopped; without one it starts from nothing.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ def batch_writer(path: str, prepare: Callable[[DataFrame], DataFrame] = lambda d
     return write
 
 
-def run_available(stream: DataFrame, name: str, mode: str, prepare: Callable = lambda df: df) -> DataFrame:
-    """Process everything that has arrived and return the written table, with its ``batch`` column."""
+def run_available(
+    stream: DataFrame, name: str, mode: str, prepare: Callable = lambda df: df, path: str | None = None
+) -> DataFrame:
+    """Process what has arrived since the last run at ``path`` and return the table of all runs, with its ``batch`` column."""
     spark = stream.sparkSession
-    out = new_path(spark, name)
+    path = path or new_path(spark, name)
+    out = f"{path}/table"
     query = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", new_path(spark, f"{name}-checkpoint"))
+        .option("checkpointLocation", f"{path}/checkpoint")
         .foreachBatch(batch_writer(out, prepare))
         .trigger(availableNow=True)
         .start()
@@ -43,13 +47,15 @@ def run_available(stream: DataFrame, name: str, mode: str, prepare: Callable = l
     return spark.read.parquet(out)
 
 
-def quota_windows_stream(submissions: DataFrame, late_by: str = "1 hour", cfg: EngineConfig = DEFAULT) -> DataFrame:
+def quota_windows_stream(
+    submissions: DataFrame, late_by: str = "1 hour", cfg: EngineConfig = DEFAULT, path: str | None = None
+) -> DataFrame:
     """Streaming quota: each batch writes the windows it changed, the last one written holds.
 
     State ends with the watermark, so it stays as small as the open windows.
     """
     changed = quota_windows(submissions.withWatermark("ts", late_by), cfg)
-    written = run_available(changed, "quota", "update")
+    written = run_available(changed, "quota", "update", path=path)
     return (
         written.groupBy("window_start", "key")
         .agg(F.max_by(F.struct("n", "rejected"), "batch").alias("v"))
@@ -66,7 +72,9 @@ def latest_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.sort_values(["ts", "update_id"]).groupby("key", as_index=False, sort=False).tail(1)
 
 
-def latest_state_stream(updates: DataFrame, ttl_seconds: int = 3600, late_by: str = "0 seconds") -> DataFrame:
+def latest_state_stream(
+    updates: DataFrame, ttl_seconds: int = 3600, late_by: str = "0 seconds", path: str | None = None
+) -> DataFrame:
     """Streaming latest state per key; a key is reported as expired ``ttl_seconds`` after its last update.
 
     Every batch reduces to the last update per key before the shuffle, so a hot key brings a few rows
@@ -97,18 +105,18 @@ def latest_state_stream(updates: DataFrame, ttl_seconds: int = 3600, late_by: st
     states = reduced.groupBy("key").applyInPandasWithState(
         keep, f"key string, {_STATE}, expired boolean", _STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
-    written = run_available(states, "latest", "update")
+    written = run_available(states, "latest", "update", path=path)
     last = written.groupBy("key").agg(F.max_by(F.struct("ts", "update_id", "state", "expired"), "batch").alias("v"))
     return last.select("key", "v.*").where(~F.col("expired")).drop("expired")
 
 
-def site_report_stream(crawl: DataFrame) -> DataFrame:
+def site_report_stream(crawl: DataFrame, path: str | None = None) -> DataFrame:
     """Site report over arriving fetches: each batch adds its few facts per site, the report sums them up.
 
     Facts merge in any order, so late pages simply add evidence.
     """
     pages = site_pages(crawl)
-    facts = run_available(pages, "site-facts", "append", prepare=site.site_facts)
+    facts = run_available(pages, "site-facts", "append", prepare=site.site_facts, path=path)
     return site.site_report(facts)
 
 
