@@ -38,7 +38,27 @@ def test_summary_files(spark, tmp_path):
 def test_debug_files_are_written_per_domain(spark, tmp_path):
     rows = spark.createDataFrame([("https://a.com", "page", 1, "x"), ("b.org/y", "page", 1, "z")], "domain string, kind string, position long, value string")
     sinks.write_debug(rows, str(tmp_path / "debug"))
-    assert sorted(p.name for p in (tmp_path / "debug").glob("slug=*")) == ["slug=a.com", "slug=b.org_y"]
+    back = spark.read.json(str(tmp_path / "debug")).orderBy("slug").collect()
+    assert [(r.slug, r.value) for r in back] == [("a.com", "x"), ("b.org_y", "z")]
+    assert len(list((tmp_path / "debug").glob("bucket=*"))) <= sinks.DEBUG_FOLDERS
+
+
+def test_published_headers(spark, tmp_path):
+    summary = spark.createDataFrame([("a.com", "2", "Thai; Urdu", "No")], "domain_name string, language_count string, languages string, review_recommended string")
+    sinks.write_summary_csv(summary.coalesce(1), str(tmp_path / "summary"))
+    (file,) = (tmp_path / "summary").glob("*.csv")
+    assert file.read_text().splitlines() == ["Domain Name,Language Count,Languages,Review Recommended", "a.com,2,Thai; Urdu,No"]
+    report = spark.createDataFrame([("b.com", "200 - OK", 1, 'say "x"', "Yes"), ("a.com", "", 0, "-", "No")], "domain string, status string, language_count long, languages string, review_recommended string")
+    sinks.write_site_csv(report, str(tmp_path / "site"))
+    lines = [x for f in sorted((tmp_path / "site").glob("*.txt")) for x in f.read_text().splitlines()]
+    assert lines == ["Domain Name,Status,Language Count,Languages,Review Recommended", 'a.com,"-",0,"-",No', 'b.com,"200 - OK",1,"say ""x""",Yes']
+
+
+def test_job_states(spark):
+    jobs_ = spark.createDataFrame([("a", 2, False), ("b", 2, False), ("c", 2, False), ("d", 2, True), ("e", 0, False)], "job_id string, total long, failed boolean")
+    steps = spark.createDataFrame([("a",), ("b",), ("b",), ("d",), ("lost",)], "job_id string")
+    got = {r.job_id: (r.done, r.progress, r.status) for r in keyed.job_states(jobs_, steps).collect()}
+    assert got == {"a": (1, 50, "running"), "b": (2, 100, "complete"), "c": (0, 0, "queued"), "d": (1, 50, "error"), "e": (0, 100, "complete")}
 
 
 def test_work_folder_is_the_one_of_the_session(spark):

@@ -40,6 +40,23 @@ def latest_state(updates: DataFrame, ttl: str = DEFAULT.state_ttl) -> DataFrame:
     return last.where(F.col("ts") >= now - F.expr(f"INTERVAL {ttl}"))
 
 
+def job_states(jobs: DataFrame, steps: DataFrame) -> DataFrame:
+    """Where each submitted job stands: (job_id, total, done, progress, status).
+
+    ``jobs`` is (job_id, total, failed) with one row per job and the number of steps it was submitted with;
+    ``steps`` has a row per finished step. A job is ``error`` when it failed, ``queued`` before its first
+    step, ``complete`` when all are done, and ``running`` between. Steps are counted before they are joined.
+    """
+    counted = steps.groupBy("job_id").agg(F.count(F.lit(1)).alias("done"))
+    joined = jobs.join(counted, "job_id", "left").withColumn("done", F.coalesce("done", F.lit(0).cast("long")))
+    status = (
+        F.when(F.col("failed"), "error").when(F.col("done") >= F.col("total"), "complete")
+        .when(F.col("done") == 0, "queued").otherwise("running")
+    )
+    share = F.when(F.col("total") > 0, render.progress_percent(F.least("done", "total"), F.col("total"))).otherwise(100)
+    return joined.select("job_id", "total", "done", share.cast("long").alias("progress"), status.alias("status"))
+
+
 def job_progress(steps: DataFrame, bucket: str = "minute") -> DataFrame:
     """Progress after every finished step of a job: (job_id, step_id, ts) in, one row per step out.
 

@@ -68,6 +68,18 @@ def job_progress(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def job_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as jobs of as many steps as they have purchases, or one more; some fail and some have not begun."""
+    events = inputs.table(spark, sf, "events")
+    user = F.col("user_id").alias("job_id")
+    submitted = events.groupBy(user).agg(
+        (F.count_if(F.col("event_type").isin("purchase")) + F.max(F.col("user_id") % 2)).alias("total"),
+        F.bool_or(F.col("user_id") % 5 == 0).alias("failed"),
+    )
+    return keyed.job_states(submitted, events.where("event_type = 'purchase' AND user_id % 4 <> 3").select(user))
+
+
 @query
 def site_report_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = inputs.table(spark, sf, "pages").schema

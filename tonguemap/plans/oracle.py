@@ -684,6 +684,11 @@ check("quota_windows", _QUOTA, "submissions")
 check("quota_windows_stream", _QUOTA, "submissions")
 check("latest_state_ttl", _LATEST)
 check("latest_state_ttl_stream", _LATEST)
+check("job_states", """
+SELECT job_id, total, done, CASE WHEN total > 0 THEN CAST(floor(100.0 * done / total + 0.5) AS BIGINT) ELSE 100 END AS progress,
+  CASE WHEN failed THEN 'error' WHEN done >= total THEN 'complete' WHEN done = 0 THEN 'queued' ELSE 'running' END AS status
+FROM (SELECT user_id AS job_id, count(*) FILTER (event_type = 'purchase') + user_id % 2 AS total,
+    count(*) FILTER (event_type = 'purchase' AND user_id % 4 <> 3) AS done, user_id % 5 = 0 AS failed FROM events GROUP BY user_id)""")
 check("job_progress", """
 SELECT user_id AS job_id, event_id AS step_id, row_number() OVER w AS done, count(*) OVER (PARTITION BY user_id) AS total,
   CAST(floor(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY user_id) + 0.5) AS BIGINT) AS progress,

@@ -113,6 +113,22 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: header lines of the two summaries
+SUMMARY_HEADER = ["Domain Name", "Language Count", "Languages", "Review Recommended"]
+SITE_HEADER = ["Domain Name", "Status", "Language Count", "Languages", "Review Recommended"]
+DEBUG_FOLDERS = 64
+
+
+def write_summary_csv(summary: DataFrame, path: str) -> None:
+    """The four-column summary under its published header."""
+    write_csv(summary.toDF(*SUMMARY_HEADER), path)
+
+
+def write_site_csv(report: DataFrame, path: str) -> None:
+    """The lines of the site CSV in order of the domain, with the header in the first file."""
+    write_lines(site_csv(report), path, "domain", head=[",".join(SITE_HEADER)])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(**CSV_OPTIONS).csv(path)
 
@@ -132,5 +148,7 @@ def write_lines(df: DataFrame, path: str, order: str, line: str = "line", head:
 
 
 def write_debug(rows: DataFrame, path: str) -> None:
-    """One folder per domain, named by its slug."""
-    rows.withColumn("slug", render.domain_slug(F.col("domain"))).write.partitionBy("slug").json(path)
+    """A fixed number of folders, whatever the number of domains; each row names its domain's slug."""
+    bucket = F.pmod(F.xxhash64("domain"), F.lit(DEBUG_FOLDERS))
+    named = rows.withColumn("slug", render.domain_slug(F.col("domain"))).withColumn("bucket", bucket)
+    named.repartition("bucket").sortWithinPartitions("slug", "kind", "position").write.partitionBy("bucket").json(path)
