@@ -32,7 +32,7 @@ from tonguemap.llm.common import slices
 
 FIRST_LETTER = 0x100  # byte b is the letter chr(0x100 + b)
 UNKNOWN = "unknown"
-MAX_CACHED = 300_000  # distinct pre-tokens a task remembers
+MAX_CACHED = 200_000  # distinct pre-tokens a task remembers
 MAX_CACHED_LETTERS = 64
 
 _LETTERS = {b: chr(FIRST_LETTER + b) for b in range(256)}
@@ -91,7 +91,7 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
         n = self.model.get_piece_size() - 1
         back = {ord(letter): b for b, letter in _LETTERS.items()}
-        self.rank_of = range(-1, n).__getitem__
+        self.rank_of = list(range(-1, n)).__getitem__  # the same objects each time
         self.bytes_of = [self.model.id_to_piece(i + 1).translate(back).encode("latin-1") for i in range(n)]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
