@@ -40,7 +40,7 @@ SPARSE = 1e-4  # of absolute weights
 MIN_DOCS = 30  # training documents that a feature must be in; fewer in samples under 100 times that
 TOXIC_SHARE = 0.1  # weight of the toxic class in the likelihood: about its share of a corpus
 START_BIAS = -5.0
-MAX_CACHED = 400_000
+MAX_CACHED = 100_000
 SEED = 1
 
 SENTENCE = re.compile(r"[.!?]+\s|\n")
