@@ -39,3 +39,16 @@ def test_query_equals_sql(spark, db, name):
     got = Counter(tuple(r[c] for c in columns) for r in df.collect())
     want = Counter(tuple(r) for r in expected.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
     assert got == want
+
+
+def test_language_report_explodes_once_and_shuffles_little(spark):
+    plan = QUERIES["language_report"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 9
+    assert plan.count("FileScan parquet") <= 7
+
+
+def test_flat_report_agrees_with_the_report(spark):
+    """Reports read all pages, so both say the same."""
+    report = {r.domain: (r.language_count, r.languages) for r in QUERIES["language_report"](spark, SF).collect()}
+    flat = {r.domain: (r.language_count, r.languages.replace(";", "; ")) for r in QUERIES["language_report_csv"](spark, SF).collect()}
+    assert report == flat
