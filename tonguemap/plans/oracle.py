@@ -592,6 +592,21 @@ _BARE_LINE = "regexp_replace(trim(value), '^,+|,+$', '', 'g')"
 check("domains_file_scan", f"""
 SELECT DISTINCT trim(string_split({_BARE_LINE}, ',')[1]) AS domain FROM domain_lines
 WHERE {_BARE_LINE} <> '' AND NOT starts_with(lower({_BARE_LINE}), 'domain')""", "domain_lines")
+cte("listed_domain", f"""
+SELECT domain, lower(regexp_extract(regexp_replace(domain, '^https?://', ''), '^[^/?#:]+')) AS host FROM (
+  SELECT trim(string_split({_BARE_LINE}, ',')[1]) AS domain FROM domain_lines
+  WHERE {_BARE_LINE} <> '' AND NOT starts_with(lower({_BARE_LINE}), 'domain')
+  UNION SELECT 'new-' || site FROM page)""", "domain_lines", "page")
+check("site_report_listed", f"""
+SELECT l.domain, coalesce(r.status, {status_text('500')}) AS status, coalesce(r.language_count, 0) AS language_count,
+  coalesce(r.languages, '-') AS languages, coalesce(r.review_recommended, 'Yes') AS review_recommended
+FROM listed_domain l LEFT JOIN report r ON r.domain = l.host""", "listed_domain", "report")
+check("language_report_listed", f"""
+SELECT l.domain, l.registered_domain, coalesce(r.language_count, 0) AS language_count, coalesce(r.languages, '') AS languages,
+  coalesce(r.warning_count, 0) AS warning_count,
+  {yes("coalesce(r.warning_count, 0) > 0 OR coalesce(r.language_count, 0) = 0")} AS review_recommended
+FROM (SELECT domain, {domain("'http://' || host")} AS registered_domain FROM listed_domain) l
+LEFT JOIN s_report r ON r.domain = l.registered_domain""", "listed_domain", "s_report")
 cte("token", """
 SELECT seq, unnest(t) AS token, unnest(range(len(t))) AS pos
 FROM (SELECT seq, regexp_split_to_array(replace(value, ',', ' '), '\\s+') AS t FROM domain_cells)""", "domain_cells")

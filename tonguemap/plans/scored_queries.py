@@ -9,6 +9,7 @@ from tonguemap import dims
 from tonguemap.config import DEFAULT
 from tonguemap.functions import html, text, urls
 from tonguemap.operators import graph, scored
+from tonguemap.operators.listed import language_report_listed as language_reports_listed
 from tonguemap.operators.pages import scored_fetches, scored_pages, site_pages
 from tonguemap.operators.skew import top_k
 from tonguemap.operators.stage import new_path, stage
@@ -60,6 +61,14 @@ def language_report(spark: SparkSession, sf: str) -> DataFrame:
     return run(spark, sf).report.withColumn("languages", F.array_join("languages", "; "))
 
 
+@query
+def language_report_listed(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.plans.site_queries import listed
+
+    out = language_reports_listed(listed(spark, sf), run(spark, sf).report)
+    return out.withColumn("languages", F.array_join("languages", "; "))
+
+
 @query
 def evidence_points(spark: SparkSession, sf: str) -> DataFrame:
     return run(spark, sf).points

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tonguemap.functions import html, render, urls
 from tonguemap.operators import graph, site
+from tonguemap.operators.listed import site_report_listed as site_reports_listed
 from tonguemap.operators.pages import site_pages
 from tonguemap.operators.stage import stage
 from tonguemap.plans import inputs
 from tonguemap.plans.inputs import derive
 from tonguemap.plans.registry import query
 from tonguemap.sinks import reports as sinks
+from tonguemap.sources import domains
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,6 +37,18 @@ def site_report(spark: SparkSession, sf: str) -> DataFrame:
     return site.site_report(facts(spark, sf))
 
 
+def listed(spark: SparkSession, sf: str) -> DataFrame:
+    """The domain list: what the lines name, and for each host one that was never fetched."""
+    lines = derive(spark, sf, inputs.DOMAIN_LINES).select("seq", "value")
+    unknown = pages(spark, sf).select("seq", F.concat(F.lit("new-"), "site").alias("value"))
+    return domains.domains_from_lines(lines, unknown).select("domain")
+
+
+@query
+def site_report_listed(spark: SparkSession, sf: str) -> DataFrame:
+    return site_reports_listed(listed(spark, sf), site_report(spark, sf))
+
+
 @query
 def site_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return site.site_evidence(facts(spark, sf))
