@@ -1,6 +1,7 @@
 """Written files and streams."""
 
 import json
+import os
 from dataclasses import replace
 
 import pytest
@@ -65,6 +66,16 @@ def test_work_folder_is_the_one_of_the_session(spark):
     assert stage.work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_staged_tables_are_dropped_at_the_end_of_a_scope(spark):
+    kept = stage.stage(spark.range(3), "kept")
+    with stage.dropping_staged(spark):
+        inner = stage.stage(spark.range(5), "inner")
+        assert inner.count() == 5
+        (path,) = {p.rsplit("/", 1)[0] for p in inner.inputFiles()}
+    assert kept.count() == 3
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def as_rows(df):
     return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
 

@@ -2,16 +2,35 @@
 
 A table that several jobs read is written once and read back. Unlike a cached or locally
 checkpointed one it survives lost executors, keeps column pruning and push-down, and cuts lineage.
+A job that has written its result inside :func:`dropping_staged` leaves none of them behind.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_open: list[list[str]] = []  # paths of the scopes that are running, innermost last
+
+
+@contextmanager
+def dropping_staged(spark: SparkSession) -> Iterator[None]:
+    """Drop what is staged inside, at the end: results must be written before it ends."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _open.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The session's shared folder; local sessions without one get a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -25,7 +44,10 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark).rstrip('/')}/tonguemap/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{work_dir(spark).rstrip('/')}/tonguemap/{name}-{uuid.uuid4().hex[:12]}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
