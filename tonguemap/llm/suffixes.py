@@ -104,7 +104,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 64):
         starts, cells = [], []
-        for text, matched in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for text, matched in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = Words(text)
             at = window_starts(np.array(matched, np.int64), words.n)
             starts.append(at.astype(np.int32))
@@ -112,7 +112,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = [len(x) for x in starts]
         of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
         flat = [pa.array(np.concatenate(x)) for x in (starts, cells)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *flat], names=["row", "doc_id", "start", "cell"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *flat], names=["row", "start", "cell"])
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -122,19 +122,21 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     given = docs.select(key, F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("t"))
     suffixes = stage(given.select("row", "t").mapInArrow(_suffixes, "row long, place int, head long"), "suffixes")
     ends = [F.min("row").alias("first"), F.max("row").alias("last")]
-    runs = suffixes.groupBy("head").agg(*ends).where("first < last").select("head")
+    # written, so that the next join has nothing above its shuffles and Spark may split a hot beginning
+    runs = stage(suffixes.groupBy("head").agg(*ends).where("first < last").select("head"), "runs")
     matched = suffixes.join(runs, "head").groupBy("row").agg(F.collect_list("place").alias("places"))
-    kind = given.schema["doc_id"].dataType.simpleString()
-    over = given.join(matched, "row").select("row", "doc_id", "t", "places")
-    cells = stage(over.mapInArrow(_cells, f"row long, doc_id {kind}, start int, cell long"), "cells")
-    same = cells.groupBy("cell").agg(*ends, F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("first < last")
-    found = cells.join(same.select("cell", "low", "high"), "cell")
-    other = F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
-    found = found.select("row", "doc_id", "start", other.alias("other")).groupBy("row", "doc_id", "start").agg(F.min("other").alias("other"))
+    over = given.join(matched, "row").select("row", "t", "places")
+    cells = stage(over.mapInArrow(_cells, "row long, start int, cell long"), "cells")
+    same = stage(cells.groupBy("cell").agg(*ends).where("first < last"), "same")
+    other = F.when(F.col("first") != F.col("row"), F.col("first")).otherwise(F.col("last")).alias("other")
+    found = cells.join(same, "cell").select("row", "start", other).groupBy("row", "start").agg(F.min("other").alias("other"))
     # the windows of one document only, so partitions here are as small as a document
     along = Window.partitionBy("row").orderBy("start")
     new = F.col("start") > F.coalesce(F.lag("start").over(along) + CELL, F.lit(-1))
     parts = found.withColumn("new", F.when(new, 1).otherwise(0)).withColumn("part", F.sum("new").over(along))
-    return parts.groupBy("row", "doc_id", "part").agg(
-        F.min("start").alias("start_word"), (F.max("start") + CELL).alias("end_word"), F.min("other").alias("other_doc_id")
-    ).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id")
+    passages = parts.groupBy("row", "part").agg(
+        F.min("start").alias("start_word"), (F.max("start") + CELL).alias("end_word"), F.min("other").alias("other"))
+    ids = stage(given.select("row", "doc_id").distinct(), "ids")
+    others = ids.select(F.col("row").alias("other"), F.col("doc_id").alias("other_doc_id"))
+    return passages.join(ids, "row").join(others, "other").select(
+        "doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id")
