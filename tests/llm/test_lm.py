@@ -98,3 +98,13 @@ def test_no_rows_and_no_training(spark, rows):
     first = next(i for i, _ in rows if held(i))
     only = lm.score(docs.where(f"doc_id = {first}")).collect()
     assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in only] == [(0, 0, 0.0, 0.0)]
+
+
+def test_large_corpora_keep_what_is_seen_twice(spark):
+    ids = iter(i for i in range(1000) if not held(i))
+    said = ["one two three four"] * 2 + ["one two three five", *["six seven"] * 3, "x y " * 1_300_000]
+    rows = [(next(ids), t) for t in said] + [(next(i for i in range(1000) if held(i)), "zero one two three four")]
+    brute = Brute([t for i, t in rows if not held(i)], 2)
+    for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.n_tokens < 1000:
+            assert r.score == pytest.approx(brute.score(dict(rows)[r.doc_id]), rel=1e-9)

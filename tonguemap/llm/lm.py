@@ -1,15 +1,21 @@
 """Language model scores of texts by a weighted backoff automaton.
 
-Counts come from all training texts. Unigrams of every word are a distributed table. Words, word pairs
-and word triples that make up at least ``SHARE`` of the training tokens become the states and arcs of an
-automaton: a state is a history of up to two words, an arc reads a word and adds its log probability,
-and a failure arc drops the oldest word of the history and adds its backoff weight. Each text is read
-once from left to right; the state carries the history.
-
-There are at most 1 / SHARE words, pairs and triples of such a share, whatever the size of the corpus,
-so the automaton's broadcast has a proven bound. All rarer words lead to the empty history; their
-unigram probabilities are looked up by a join of the rare words of each text with the table of counts,
-and added: sums of logarithms can be completed afterwards.
+A state is a history of up to two words, an arc reads a word and adds its log probability, and a failure
+arc drops the oldest word of the history and adds its backoff weight. All words have arcs, and all pairs
+and triples that training texts hold ``LEAST`` times or more, a floor that is the same at every size.
+Nothing of the model is gathered on the driver or broadcast.
+
+Texts are read once into chunks of some ``CHUNK`` tokens: word hashes and the words by number. What a
+chunk needs of the corpus it asks for by 64-bit hashes: each chunk sends its distinct keys with its own
+counts or sums, cut by the leading bits of the key, to the tasks that hold these keys, which add them up
+and send the totals back (``_exchange``). A key comes once from a chunk at most, so none is hot. One of the
+chunks that ask for a key is told that it owns it, and adds its arc to the sums of its history.
+
+1. Counts of words and pairs.
+2. Counts of triples both pairs of which are kept (others can't reach the floor), and per word what its
+   arcs take, and what the empty history gives to the same words.
+3. The same per kept pair as a history.
+4. Each chunk has the arcs and backoff weights of all its histories, and reads its texts.
 
 Probabilities: unigrams are (c + 0.1) / (N + 0.1 (V + 1)), where the one in V + 1 is a word never seen.
 Longer histories give (c - D) / c(history) to the words of their arcs, and what is left to the shorter
@@ -23,12 +29,12 @@ are read as a stream of words; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,198 +42,244 @@ from tonguemap.llm.common import fold, slices, utf8
 from tonguemap.operators.stage import stage
 
 FOLDS = 10  # one in so many texts is held out
-SHARE = 1e-6
-LEAST = 2  # and at least so many occurrences
+SHARE = 0.0  # of the training tokens that a kept n-gram makes up; callers may ask for some
+LEAST = 2  # occurrences of a kept pair or triple
 DISCOUNT = 0.6
 PSEUDO = 0.1
 END = b""  # no word is empty
-BITS = 21  # of a word's number
-FLUSH = 400_000  # entries that a task counts before it hands them on
+CHUNK = 1_000_000  # tokens
+ROWS = "chunk long, kind int, bucket int, types long, blob binary"
+TEXTS, WORD, PAIR, AFTER_WORD, TRIPLE, AFTER_PAIR = range(6)  # kinds of rows
 
+_END, _BEGIN = 0, 1  # numbers in every chunk
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
 
-    def out() -> pa.RecordBatch:
-        columns = [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "c"])
-
-    for batch in slices(batches):
-        for text in batch.column(0).to_pylist():
-            seen.update(text.lower().split())
-        seen[END] += batch.num_rows
-        if len(seen) > FLUSH:
-            yield out()
-            seen.clear()
-    if seen:
-        yield out()
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, those of numbers byte by byte of their places."""
+    out = []
+    for x in arrays:
+        raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+        part = pa.compress(raw, codec="zstd", asbytes=True)
+        head = f"{x.dtype.str},{len(x)},{len(part)};".encode()
+        out += [head, part]
+    return b"".join(out)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all texts of the binary column ``t``, with the end of each as the empty word."""
-    return texts.select("t").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        stop = blob.index(b";", at)
+        kind, n, size = blob[at:stop].decode().split(",")
+        dtype, n, at = np.dtype(kind), int(n), stop + 1
+        raw = pa.decompress(blob[at : at + int(size)], n * dtype.itemsize, codec="zstd", asbytes=True)
+        planes = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
+        at += int(size)
+    return out
 
 
-class Vocabulary:
-    """Numbers of the frequent words; the end of a text is among them."""
+class _Numbers(dict):
+    """Numbers of words in the order they come in."""
 
-    def __init__(self, words: list[bytes], counts: list[int], tokens: int, types: int):
-        self.words, self.counts, self.tokens, self.types = words, np.array(counts, np.int64), tokens, types
-        self.number = {w: i for i, w in enumerate(words)}
-        self.end, self.begin = self.number[END], len(words)
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-    def log_base(self) -> np.ndarray:
-        return np.log10((self.counts + PSEUDO) / (self.tokens + PSEUDO * (self.types + 1)))
 
-    def ids(self, text: bytes) -> np.ndarray:
-        """Begin, the words (-1: rare) and the end."""
-        words = text.lower().split()
-        out = np.empty(len(words) + 2, np.int64)
-        out[0], out[-1] = self.begin, self.end
-        out[1:-1] = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        return out
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first, made = TaskContext.get().partitionId() << 32, 0
+    names = ["chunk", "tokens", "ids", "blob"]
+    ids, texts, train = [], [], []
+    numbers = _Numbers({END: _END, None: _BEGIN})
 
+    def out() -> pa.RecordBatch:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w or b"", w is None) for w in numbers), np.uint64, len(numbers))
+        sizes = np.fromiter(map(len, texts), np.int32, len(texts))
+        used = np.concatenate(train)
+        blob = _pack(hashes, np.concatenate(texts), sizes, used.view(np.uint8))
+        docs = pa.concat_arrays(ids)
+        lists = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+        n = int((sizes - 1)[used].sum())
+        return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([n]), lists, pa.array([blob], pa.binary())], names=names)
+
+    held = 0
+    for batch in slices(batches, 32):
+        ids.append(batch.column(0))
+        train.append(~batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
+        for text in batch.column(1).to_pylist():
+            words = text.lower().split()
+            x = np.empty(len(words) + 2, np.int32)
+            x[0], x[-1] = _BEGIN, _END
+            x[1:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+            texts.append(x)
+            held += len(x)
+        if held > CHUNK:
+            yield out()
+            made, held = made + 1, 0
+            ids, texts, train = [], [], []
+            numbers = _Numbers({END: _END, None: _BEGIN})
+    if ids:
+        yield out()
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _A + b
+    x = (x ^ (x >> np.uint64(31))) * _B  # the order of the two counts
+    x = (x ^ (x >> np.uint64(29))) * _A
+    return x ^ (x >> np.uint64(32))
+
+
+class _Texts:
+    """The texts of a chunk, with the totals that have come back to it."""
+
+    def __init__(self, table: pa.Table, least: int, tokens: int, types: int):
+        self.chunk = table.column("chunk")[0].as_py()
+        rows: dict[int, list] = {}
+        for kind, bucket, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "blob"))):
+            rows.setdefault(kind, []).append((bucket, blob))
+        self.rows, self.least, self.tokens, self.types = rows, least, tokens, types
+        self.hashes, x, self.sizes, train = _unpack(rows[TEXTS][0][1])
+        self.at = np.flatnonzero(x != _BEGIN)  # places that are read; before each is its history
+        self.word, self.last = x[self.at], x[self.at - 1]
+        self.train = np.repeat(train.astype(np.float64), self.sizes)[self.at]
+        self.word_order = np.argsort(self.hashes)
+        keys = _mix(self.hashes[self.last], self.hashes[self.word])
+        self.pairs, one, self.pair = np.unique(keys, return_index=True, return_inverse=True)
+        self.pair_last, self.pair_word = self.last[one], self.word[one]
+
+    def totals(self, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Totals in the order of the keys that were sent, and which of them this chunk owns."""
+        parts = [_unpack(blob) for _, blob in sorted(self.rows.get(kind, []), key=lambda r: r[0])]
+        if not parts:
+            return [np.zeros(0), np.zeros(0)], np.zeros(0, bool)
+        *sums, own = (np.concatenate(p) for p in zip(*parts))
+        return sums, own.astype(bool)
+
+    def by_word(self, kind: int) -> list[np.ndarray]:
+        out = []
+        for sums in self.totals(kind)[0]:
+            x = np.zeros(len(self.hashes), sums.dtype)
+            order = self.word_order if kind == WORD else self.word_order[self.history[self.word_order] >= self.least]
+            x[order] = sums
+            out.append(x)
+        return out
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    """Key of each pair of neighbours, -1 where a word of it is rare."""
-    a, b = ids[:-1], ids[1:]
-    return np.where((a >= 0) & (b >= 0), a << BITS | b, -1)
-
-
-def place(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
-    """Index of each key among sorted ones, -1 where it is missing."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def triple_keys(ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Key of each triple both pairs of which are kept: number of the first pair, last word; -1 elsewhere."""
-    at = place(pair_keys(ids), pairs)
-    return np.where((at[:-1] >= 0) & (at[1:] >= 0), at[:-1] << BITS | np.maximum(ids[2:], 0), -1)
-
-
-def ngram_counts(texts: DataFrame, vocabulary: Vocabulary, pairs: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the pairs, or of the triples over kept pairs, that occur ``least`` times."""
-    model = texts.sparkSession.sparkContext.broadcast((vocabulary, pairs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pairs = model.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, counts = (np.concatenate(x) for x in zip(*held))
-            keys, inverse = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64)
-
-        for batch in slices(batches):
-            of = pair_keys if pairs is None else lambda x: triple_keys(x, pairs)
-            found = np.concatenate([of(vocabulary.ids(t)) for t in batch.column(0).to_pylist()])
-            held.append(np.unique(found[found >= 0], return_counts=True))
-            if sum(len(k) for k, _ in held) > FLUSH * 5:
-                held = [merged()]
-                if len(held[0][0]) > FLUSH * 3:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["k", "c"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["k", "c"])
-
-    sums = texts.select("t").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    # their counts sum to the number of tokens at most, so there are no more than tokens / least
-    rows = sums.where(F.col("c") >= least).collect()
-    rows.sort()
-    return np.array([r.k for r in rows], np.int64), np.array([r.c for r in rows], np.int64)
-
-
-class Automaton:
-    """States: 0 is the empty history, then one per word and one for the begin of a text, then one per pair."""
-
-    def __init__(self, vocabulary: Vocabulary, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]):
-        v, (k2, c2), (k3, c3) = vocabulary, pairs, triples
-        mask = (1 << BITS) - 1
-        n1 = len(v.words)
-        first_pair = n1 + 2
-        base = v.log_base()
-        self.vocabulary, self.base = v, base.tolist()
-        a2, b2 = k2 >> BITS, k2 & mask
-        seen = np.append(v.counts, v.counts[v.end])  # the begin is as frequent as the end
-        p2 = (c2 - DISCOUNT) / seen[a2]
-        back1 = self._backoff(a2, p2, 10 ** base[b2], n1 + 1)
-        i3, w3 = k3 >> BITS, k3 & mask
-        next3 = place(b2[i3] << BITS | w3, k2)  # the pair that a triple ends in; it is kept
-        p3 = (c3 - DISCOUNT) / c2[i3]
-        back2 = self._backoff(i3, p3, p2[next3], len(k2))
-        self.weight = np.concatenate([[0.0], back1, back2]).tolist()
-        self.fail = np.concatenate([np.zeros(n1 + 2, np.int64), b2 + 1]).tolist()
-        state = np.concatenate([np.zeros(n1, np.int64), a2 + 1, i3 + first_pair])
-        word = np.concatenate([np.arange(n1), b2, w3])
-        to = np.concatenate([np.arange(n1) + 1, np.arange(len(k2)) + first_pair, next3 + first_pair])
-        logp = np.concatenate([base, np.log10(p2), np.log10(p3)])
-        self.arcs = dict(zip((state << BITS | word).tolist(), zip(to.tolist(), logp.tolist())))
-
-    @staticmethod
-    def _backoff(of: np.ndarray, p: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
-        """log10 of what the arcs of each history leave, over what the shorter history gives to other words."""
-        left = 1 - np.bincount(of, p, n)
-        return np.log10(np.maximum(left, 1e-12) / np.maximum(1 - np.bincount(of, lower, n), 1e-12))
-
-    def read(self, text: bytes) -> tuple[int, int, float, float, dict[bytes, int]]:
-        """Tokens, known frequent ones, their base sum, the log10 probability so far, and the rare words."""
-        words = text.lower().split()
-        number, arcs, weight, fail, base = self.vocabulary.number, self.arcs, self.weight, self.fail, self.base
-        total = known = 0.0
-        rare: list[bytes] = []
-        state = self.vocabulary.begin + 1
-        words.append(END)
-        for word in words:
-            i = number.get(word)
-            if i is None:
-                while state:
-                    total += weight[state]
-                    state = fail[state]
-                rare.append(word)
-                continue
-            known += base[i]
-            arc = arcs.get(state << BITS | i)
-            while arc is None:
-                total += weight[state]
-                state = fail[state]
-                arc = arcs.get(state << BITS | i)
-            state, logp = arc
-            total += logp
-        frequent = len(words) - len(rare) - (self.vocabulary.counts[self.vocabulary.end] == 0)
-        return len(words), int(frequent), known, total, Counter(rare)
-
-
-_built: list = []  # the parts of the last model of this Python worker, and its automaton
-
-
-def _automaton(parts: tuple) -> Automaton:
-    """The automaton of a broadcast value, made once per Python worker."""
-    if not _built or _built[0] is not parts:
-        _built[:] = [parts, Automaton(*parts)]
-    return _built[1]
-
-
-READ = "doc_id {}, n_tokens long, n_known long, base double, total double, rare array<struct<word:binary,n:int>>"
-
-
-def _read_texts(docs: DataFrame, model) -> DataFrame:
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-    names = [c.split()[0] for c in READ.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(model.value)
-        for batch in slices(batches):
-            n, known, base, total, rare = zip(*map(automaton.read, batch.column(1).to_pylist()))
-            words = pa.array([w for r in rare for w in r], pa.binary())
-            counts = pa.array([c for r in rare for c in r.values()], pa.int32())
-            offsets = np.append(0, np.cumsum([len(r) for r in rare])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([words, counts], names=["word", "n"]))
-            columns = [batch.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(total), lists.cast(kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.mapInArrow(run, READ.format(docs.schema["doc_id"].dataType.simpleString()))
+    def load_counts(self) -> None:
+        (self.c1,) = self.by_word(WORD)
+        self.base = np.log10((self.c1 + PSEUDO) / (self.tokens + PSEUDO * (self.types + 1)))
+        self.history = self.c1.copy()
+        self.history[_BEGIN] = self.c1[_END]  # the begin is as frequent as the end
+        (self.c2, *_), self.own2 = self.totals(PAIR)
+        self.kept = self.c2 >= self.least
+        self.p2 = np.where(self.kept, (self.c2 - DISCOUNT) / np.maximum(self.history[self.pair_last], 1), 1.0)
+        before = np.append(-1, self.pair[:-1])  # the pair that ends in the last word
+        self.before = np.where(self.last == _BEGIN, -1, before)
+        self.in_pair = (self.before >= 0) & self.kept[self.before]
+        self.both = np.flatnonzero(self.in_pair & self.kept[self.pair])
+        keys = _mix(self.pairs[self.before[self.both]], self.pairs[self.pair[self.both]])
+        self.triples, one, self.triple = np.unique(keys, return_index=True, return_inverse=True)
+        self.first, self.second = self.before[self.both][one], self.pair[self.both][one]
+
+    def load_triples(self) -> None:
+        (self.c3, *_), self.own3 = self.totals(TRIPLE)
+        self.kept3 = self.c3 >= self.least
+        self.p3 = np.where(self.kept3, (self.c3 - DISCOUNT) / np.maximum(self.c2[self.first], 1), 1.0)
+
+
+def _ask_counts(t: _Texts) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    count = lambda x, n: np.bincount(x, t.train, n).astype(np.int64)
+    yield WORD, t.hashes[t.word_order], [count(t.word, len(t.hashes))[t.word_order]]
+    yield PAIR, t.pairs, [count(t.pair, len(t.pairs))]
+
+
+def _ask_triples(t: _Texts) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    t.load_counts()
+    mine, n = t.kept & t.own2, len(t.hashes)
+    taken = np.bincount(t.pair_last[mine], (t.c2 - DISCOUNT)[mine], n)
+    lower = np.bincount(t.pair_last[mine], 10 ** t.base[t.pair_word[mine]], n)
+    order = t.word_order[t.history[t.word_order] >= t.least]  # others have no arcs
+    yield AFTER_WORD, t.hashes[order], [taken[order], lower[order]]
+    yield TRIPLE, t.triples, [np.bincount(t.triple, t.train[t.both], len(t.triples)).astype(np.int64)]
+
+
+def _ask_pairs(t: _Texts) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    t.load_counts()
+    t.load_triples()
+    mine, n = t.kept3 & t.own3, len(t.pairs)
+    taken = np.bincount(t.first[mine], (t.c3 - DISCOUNT)[mine], n)
+    lower = np.bincount(t.first[mine], t.p2[t.second[mine]], n)
+    yield AFTER_PAIR, t.pairs[t.kept], [taken[t.kept], lower[t.kept]]
+
+
+def _backoff(taken: np.ndarray, whole: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 of what the arcs of each history leave, over what the shorter history gives to other words."""
+    return np.log10(np.maximum(1 - taken / np.maximum(whole, 1), 1e-12) / np.maximum(1 - lower, 1e-12))
+
+
+READ = "chunk long, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
+
+
+def _read(t: _Texts) -> pa.Table:
+    """Per text of the chunk: tokens, known ones, and the sums along its path through the automaton."""
+    t.load_counts()
+    t.load_triples()
+    after_word, after_pair = t.by_word(AFTER_WORD), t.totals(AFTER_PAIR)[0]
+    weight1 = _backoff(after_word[0], t.history, after_word[1])
+    weight2 = np.zeros(len(t.pairs))
+    weight2[t.kept] = _backoff(after_pair[0], t.c2[t.kept], after_pair[1])
+    base = t.base[t.word]
+    logp = np.where(t.kept[t.pair], np.log10(t.p2)[t.pair], weight1[t.last] + base)  # from the state of one word
+    logp += np.where(t.in_pair, weight2[t.before], 0.0)  # the failure arc of a state of two words
+    arc = t.kept3[t.triple]
+    logp[t.both[arc]] = np.log10(t.p3)[t.triple[arc]]
+    starts = np.append(0, np.cumsum(t.sizes - 1)[:-1])
+    sums = [(t.sizes - 1).astype(np.int64), np.add.reduceat((t.c1[t.word] > 0).astype(np.int64), starts)]
+    sums += [np.add.reduceat(base, starts), np.add.reduceat(logp, starts)]
+    return pa.table([pa.array([t.chunk]), *[pa.array([s]) for s in sums]], names=[c.split()[0] for c in READ.split(", ")])
+
+
+def _exchange(rows: DataFrame, ask: Callable, bits: int, model: tuple[int, int, int], name: str) -> DataFrame:
+    """The totals of the keys that ``ask`` gives for each chunk, as rows to the chunks."""
+    cuts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def send(table: pa.Table) -> pa.Table:
+        out = []
+        texts = _Texts(table, *model)
+        for kind, keys, values in ask(texts):
+            ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+            for bucket, (s, e) in enumerate(zip(ends, ends[1:])):
+                if s < e:
+                    steps = np.diff(keys[s:e], prepend=np.uint64(0))
+                    out.append((texts.chunk, kind, bucket, 0, _pack(steps, *[v[s:e] for v in values])))
+        return _table(out)
+
+    def add(table: pa.Table) -> pa.Table:
+        chunks, kind, bucket = table.column("chunk").to_pylist(), table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        sent = [_unpack(b) for b in table.column("blob").to_pylist()]
+        keys = np.concatenate([np.cumsum(s[0]) for s in sent])
+        values = [np.concatenate(v) for v in zip(*(s[1:] for s in sent))]
+        distinct, one, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        sums = [np.bincount(inverse, v, len(distinct)).astype(v.dtype) for v in values]
+        types = int((sums[0] > 0).sum()) if kind == WORD else 0
+        own = np.zeros(len(keys), np.uint8)
+        own[one] = 1
+        ends = np.cumsum([0, *(len(s[0]) for s in sent)])
+        out = []
+        for i, chunk in enumerate(chunks):
+            part = slice(ends[i], ends[i + 1])
+            blob = _pack(*[s[inverse[part]] for s in sums], own[part])
+            out.append((chunk, kind, bucket, types if i == 0 else 0, blob))
+        return _table(out)
+
+    sent = rows.groupBy("chunk").applyInArrow(send, ROWS)
+    return stage(sent.groupBy("kind", "bucket").applyInArrow(add, ROWS), name)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in ROWS.split(", ")])
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: float = SHARE) -> DataFrame:
@@ -235,32 +287,24 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", share: fl
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row.
     """
-    given = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("t"))
     held_out = fold(F.col("doc_id"), FOLDS) == 0
-    training = given.where(~held_out)
-    counts = stage(word_counts(training), "words")
-    sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, types = int(sums.n or 0), int(sums.v)
+    given = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("t")).withColumn("held", held_out)
+    kind = given.schema["doc_id"].dataType.simpleString()
+    chunks = stage(given.mapInArrow(_chunks, f"chunk long, tokens long, ids array<{kind}>, blob binary"), "chunks")
+    sums = chunks.agg(F.sum("tokens").alias("n")).first()
+    tokens = int(sums.n or 0)
     least = max(LEAST, math.ceil(share * tokens))
-    rows = counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).collect()  # at most 1 / share, and the end
-    frequent = sorted((bytes(r.word), r.c) for r in rows) or [(END, 0)]
-    vocabulary = Vocabulary([w for w, _ in frequent], [c for _, c in frequent], tokens, types)
-    pairs = ngram_counts(training, vocabulary, None, least)
-    triples = ngram_counts(training, vocabulary, pairs[0], least)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, pairs, triples))
-    # numbers of rows that are written can't change when a lost task is run again
-    read = stage(_read_texts(given, model).withColumn("row", F.monotonically_increasing_id()), "read")
-    floor = F.lit(float(tokens + PSEUDO * (types + 1)))
-    seen = F.coalesce("c", F.lit(0))
-    rare = read.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word", "left")
-    rare = rare.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10((seen + PSEUDO) / floor)).alias("more"),
-        F.sum(F.when(seen > 0, F.col("n")).otherwise(0)).alias("found"),
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    return read.drop("rare").join(rare, "row", "left").select(
-        "doc_id", held_out.alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("total") + more).alias("score"),
-    )
+    # a task adds up the keys of some buckets; their number only deals out the work
+    bits = max(4, math.ceil(math.log2(max(tokens / CHUNK, min(tokens / 2000, 1024), 1))))
+    rows = chunks.select("chunk", F.lit(TEXTS).alias("kind"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("types"), "blob")
+    counts = _exchange(rows, _ask_counts, bits, (least, tokens, 0), "counts")
+    model = (least, tokens, int(counts.agg(F.sum("types")).first()[0] or 0))
+    rows = rows.unionByName(counts)
+    rows = rows.unionByName(_exchange(rows, _ask_triples, bits, model, "triples"))
+    rows = rows.unionByName(_exchange(rows, _ask_pairs, bits, model, "pairs"))
+    read = rows.groupBy("chunk").applyInArrow(lambda t: _read(_Texts(t, *model)), READ)
+    each = F.arrays_zip("ids", "n_tokens", "n_known", "base", "score")
+    out = chunks.select("chunk", "ids").join(read, "chunk").select(F.explode(each).alias("r")).select(
+        F.col("r.ids").alias("doc_id"), "r.n_tokens", "r.n_known", F.col("r.base").alias("base_score"), "r.score")
+    return out.withColumn("held_out", held_out).withColumn("train_tokens", F.lit(tokens).cast("long")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
