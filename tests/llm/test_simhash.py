@@ -64,6 +64,15 @@ def test_documents(spark):
     assert simhash.digests(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, d), (None, d), (None, a), (None, None), (7, e), (8, e.upper()), (7, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in simhash.one_of_each_group(docs.repartition(4)).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (None, c), (None, d), (None, None), (7, e)], key=str)
+
+
 def test_links_of_dense_and_sparse_fingerprints(spark):
     rng = random.Random(4)
     values = {rng.getrandbits(64) for _ in range(60)}

@@ -140,9 +140,13 @@ def digests(docs: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The document with the smallest id of each group, with all its columns.
 
-    Rows that share an id are one document, also those without an id; one of them stays.
+    A document is what agrees in id and text: rows of unlike texts stay apart also where they share an id
+    or have none. A group keeps one without an id only if none of its rows has an id; of the texts that
+    share the smallest id, the one with the least hash stays.
     """
-    found = groups(docs, shingle=shingle, radius=radius)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    keyed = docs.withColumn("_key", key)
+    found = groups(keyed, doc_id="_key", shingle=shingle, radius=radius)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.h").alias("_h")).distinct()
+    same = F.col("_key.id").eqNullSafe(F.col("_id")) & F.col("_key.h").eqNullSafe(F.col("_h"))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["_key"]).drop("_key")
