@@ -55,6 +55,19 @@ def test_passages(spark):
     assert suffixes.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_ends_are_exact(spark):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    covered = {}
+    for r in suffixes.repeated_passages(df).collect():
+        assert r.n_words >= suffixes.MIN_WORDS
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    want = {}
+    for i, s in repeats(docs, suffixes.MIN_WORDS):
+        want.setdefault(i, set()).update(range(s, s + suffixes.MIN_WORDS))
+    assert covered == want
+
+
 def test_hashes_of_runs():
     rng = random.Random(16)
     w = [rng.choice("abc") for _ in range(400)]

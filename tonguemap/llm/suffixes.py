@@ -1,19 +1,20 @@
-"""Passages that repeat across documents, by sparse suffix arrays over words.
+"""Passages that repeat across documents, by sparse suffixes over words.
 
 A suffix is kept where the text itself says so: at the word whose hash of ``GRAM`` words is the least of
 ``WINDOW`` neighbours. Any ``WINDOW + GRAM - 1`` equal words hold such a place, at the same word of each
 copy, so suffixes of equal passages meet although only one in some twelve is kept.
 
-1. Kept suffixes are sorted by their first words. Runs of equal beginnings are found by their first and
-   last suffix, which are pre-aggregated, so a beginning that a third of all documents share is no hot
-   task; a run with suffixes of two documents is a match.
-2. Matches are extended to the left and to the right: windows of ``CELL`` words are laid over each
-   matching place, from the one that ends most to the right to the one that starts most to the left, in
-   steps of ``STEP`` words, and those that equal a window of another document are kept.
-3. Overlapping windows of a document make a passage.
+1. Kept suffixes are grouped by the hash of their first ``PREFIX`` words; a group with suffixes of two
+   documents is a match. They are not sorted, and neighbours are not compared: the least and the largest
+   document of each group are pre-aggregated, so a beginning that a third of all documents share is no
+   hot task, as it would be in a sorted table.
+2. Matches are extended to the left and to the right: all windows of ``CELL`` words that hold the first
+   ``PREFIX`` words of a matching place are laid, and those that equal a window of another document are kept.
+3. Windows of a document that overlap or touch make a passage.
 
-Every passage of ``MIN_WORDS`` words or more is found, since a window fits between its first kept place
-and the steps; what is found has ``CELL`` equal words or more. Its ends are exact to ``STEP`` - 1 words.
+A run of ``MIN_WORDS`` equal words has a kept place among its first ``WINDOW`` words, so exactly the words of
+such runs are found, and ends are exact. A passage joins the runs shared with any other documents;
+listing it per partner would grow with the square of a passage's copies.
 
 Words are compared by 64-bit hashes. Null and short texts have no passage. Rows that agree in id and text
 are one document; the same text under two ids is a repeat. Further columns are ignored. Texts of any
@@ -36,7 +37,7 @@ from tonguemap.operators.stage import stage
 MIN_WORDS = 50
 GRAM = 8
 WINDOW = 24
-STEP = 5
+STEP = 1  # every window, so that ends are exact
 CELL = MIN_WORDS - STEP + 1
 PREFIX = MIN_WORDS - WINDOW + 1  # words of a passage from its first kept place on, at least
 
