@@ -143,3 +143,33 @@ def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from tonguemap.llm import suffixes
 
     return suffixes.repeated_passages(table(spark, sf, "documents"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import alignment
+
+    return alignment.align(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import exact
+
+    return exact.duplicates(table(spark, sf, "documents"))
+
+
+ORACLE["op12_exact_dedup"] = r"""
+WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM n WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    from tonguemap.llm import whitening
+
+    return whitening.whiten(table(spark, sf, "embeddings"))
