@@ -150,7 +150,8 @@ def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
     from tonguemap.llm import alignment
 
     return alignment.align(
-        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN)
 
 
 @query
