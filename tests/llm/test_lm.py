@@ -71,13 +71,14 @@ def held(i):
     return zlib.crc32(str(i if i is not None else "").encode()) % 10 == 0
 
 
-def test_scores(spark, rows):
+def test_scores(spark, rows, monkeypatch):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
     training = [t for i, t in rows if not held(i)]
     n = sum(len(tokens(t)) for t in training)
-    for share in (lm.SHARE, 6 / n):
-        brute = Brute(training, max(2, math.ceil(share * n)))
-        got = lm.score(docs, share=share).collect()
+    for span in (lm.CHUNK, 300):  # a chunk for each task, and many of them
+        monkeypatch.setattr(lm, "CHUNK", span)
+        brute = Brute(training, lm.LEAST)
+        got = lm.score(docs).collect()
         assert len(got) == len(rows)
         want = sorted(((i, t) for i, t in rows), key=str)
         for r, (i, t) in zip(sorted(got, key=lambda r: str((r.doc_id, dict(rows).get(r.doc_id)))), sorted(want, key=lambda x: str((x[0], dict(rows).get(x[0]))))):
@@ -85,7 +86,7 @@ def test_scores(spark, rows):
             assert r.n_known == sum(w in brute.uni for w in tokens(t))
             assert r.base_score == pytest.approx(brute.base(t), rel=1e-9)
             if len(tokens(t)) < 1000:
-                assert r.score == pytest.approx(brute.score(t), rel=1e-9), (i, share)
+                assert r.score == pytest.approx(brute.score(t), rel=1e-9), (i, span)
     out = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 150]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     for h in [(), ("<begin>",), ("w1é",), next(iter(brute.three))[:2]]:
@@ -108,3 +109,24 @@ def test_large_corpora_keep_what_is_seen_twice(spark):
     for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         if r.n_tokens < 1000:
             assert r.score == pytest.approx(brute.score(dict(rows)[r.doc_id]), rel=1e-9)
+
+
+def test_rows_grow_with_the_keys(spark, monkeypatch):
+    """Chunks and parts of keys grow together, so no exchange has more rows than one for some keys."""
+    for size in (10**6, 10**9, 3 * 10**10, 10**12, 10**14):
+        m = lm.Model.of(size)
+        chunks = size / lm.WORD_BYTES / m.span
+        assert chunks * (1 << m.bits) <= 4 * max(size / lm.WORD_BYTES / lm.RUN, 16)
+        assert m.span == lm.CHUNK or m.span <= 40_000_000
+
+
+def test_texts_are_not_moved(spark, rows):
+    """Chunks and replies lie in the same buckets, so joining them needs no exchange."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lm.score(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
