@@ -17,6 +17,7 @@ def apply(spark, fn, values):
     return [r.out for r in rows.select("i", fn(F.col("v")).alias("out")).orderBy("i").collect()]
 
 
+RULES = ("com", "uk", "co.uk", "*.ck", "!www.ck", "blog.example.com", "jp", "*.kobe.jp", "!city.kobe.jp")
 CASES = [
     (urls.scored_code, {
         "es-419": "es", "en_us": "en", "pt-br": "pt", " PT-BR ": "pt", "zh-hans": None, "eng": None, "x-default": None,
@@ -34,6 +35,18 @@ CASES = [
         " http://a.b:8080/ ": "http://a.b:8080/",
     }),
     (urls.registered_domain, {"m.x.example.org": "example.org", "localhost": "localhost", "A.B.": "a.b", "x..y": "x.y"}),
+    (lambda c: urls.domain_of(c, RULES), {
+        "http://a.b.co.uk/": "b.co.uk", "http://co.uk/": "co.uk", "http://uk/": "uk", "http://b.co.uk:8080/x": "b.co.uk",
+        "http://a.b.shop.ck/": "b.shop.ck", "http://shop.ck/": "shop.ck", "http://a.www.ck/": "www.ck", "http://www.ck/": "www.ck",
+        "http://x.y.z.unknown/": "z.unknown", "http://u:p@a.x.blog.example.com./": "x.blog.example.com", "http://m.example.com/": "example.com",
+        "http://A.B.CO.UK/": "b.co.uk", "http://com:81/": "com:81",
+    }),
+    (lambda c: urls.registered_domain(c, RULES), {"www.b.co.uk": "b.co.uk", " M.www.ck ": "www.ck", "a.b.kobe.jp": "a.b.kobe.jp", "x.city.kobe.jp": "city.kobe.jp"}),
+    (lambda c: urls.web_url(urls.web_reference(c)), {
+        "http://Bücher.example/ä": "http://xn--bcher-kva.example/%C3%A4", "https://пример.испытание:443/": "https://xn--e1afmkfd.xn--80akhbyknj4f/",
+        "http:\\\\a.com\\b?c\\d": "http://a.com/b?c\\d", "http://a.com:080/": "http://a.com/", "https://a.com:0080/x": "https://a.com:80/x",
+        "http://user:pw@A.com:443/": "http://a.com:443/", "http://a.com:/": "http://a.com/", "mailto:a\\b": None,
+    }),
     (urls.candidate_path, {
         "http://h/ES_mx/a": "/es-mx/", "http://h/zh-cn": "/zh-cn/", "http://h/esp/": None, "http://h/xx": "/xx/", "http://h/a/es": None,
     }),
@@ -56,7 +69,17 @@ CASES = [
     (render.csv_escape, {"plain": "plain", 'a"b': '"a""b"', "a,b": '"a,b"', "a\nb": '"a\nb"'}),
     (html.decode_entities, {
         "&apos;&NotEqualTilde;": "'\u2242\u0338", "&#0000000000000065;&#x00000000041;": "AA",
-        "&amp;lt; &lt; &eacute; &#233; &#x1F600; &bogus; &amp": "&lt; < é é 😀 &bogus; &amp", "a&nbsp;b": "a b",
+        "&amp;lt; &lt; &eacute; &#233; &#x1F600; &bogus; &amp": "&lt; < é é 😀 &bogus; &", "a&nbsp;b": "a\xa0b",
+        # nothing is read twice, and the order of names does not matter
+        "&AMP;lt; &lt;": "&lt; <", "&num;65;&semi;": "#65;;", "&amp;#65; &#38;amp;": "&#65; &amp;",
+        "&#128;&#x9F;&#129;&#150": "€Ÿ\x81–", "&#0;&#xD800;&#x110000;&#99999999999;": "\ufffd" * 4,
+        "&lt&copy2 &notit; &notin; &ampamp; &AMP": "<©2 ¬it; ∉ &amp; &", "&": "&", "&&lt;&": "&<&", "&#;&#x;&;": "&#;&#x;&;", "plain": "plain",
+    }),
+    (html.decode_attribute, {
+        "?a=1&copy=2&reg;&lt": "?a=1&copy=2®<", "&notit;x&not x": "&notit;x¬ x", "/a?b&amp;c&#38;d": "/a?b&c&d",
+    }),
+    (html.decode_xml, {
+        "&amp;lt; &#65;&#x41; &copy; &amp &#128;": "&lt; AA &copy; &amp \x80",
     }),
     (crawl.failure_label, {
         "asyncio:TimeoutError": "timeout", "client:TooManyRedirects": "too_many_redirects",

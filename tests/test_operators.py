@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonguemap.config import DEFAULT
-from tonguemap.operators import graph, keyed, scored, site, skew
+from tonguemap.operators import discovery, graph, keyed, scored, site, stage
 from tonguemap.operators.pages import scored_pages, site_pages
+from tonguemap.operators.run import ScoredRun
 
 FETCH = "seq long, requested_url string, final_url string, status_code int, content_type string, body string, error string"
 
@@ -21,9 +22,7 @@ def crawl(spark, rows):
 
 
 def scored_run(spark, rows):
-    from tonguemap.plans.scored_queries import Scored
-
-    return Scored(scored_pages(crawl(spark, rows)))
+    return ScoredRun(scored_pages(crawl(spark, rows)))
 
 
 def test_scores_of_single_signals(spark):
@@ -190,8 +189,10 @@ def test_sitemap_limits(spark):
     )
     locs = spark.createDataFrame([(f"https://a.com/s{i}", f"https://a.com/p{i}-{k}") for i in range(6) for k in range(3)] + [("https://a.com/s1", "https://a.com/p0-0")], "sitemap string, url string")
 
+    starts = spark.createDataFrame([("a.com", "https://a.com/")], "domain string, url string")
+
     def run(**limits):
-        out = graph.sitemap_expand(roots, children, locs, replace(DEFAULT, **limits)).orderBy("rank").collect()
+        out = graph.sitemap_expand(roots, children, locs, starts, replace(DEFAULT, **limits)).orderBy("rank").collect()
         return [(r.url.split("/")[-1], r.new_urls) for r in out]
 
     assert run() == [("r", 0), ("s0", 3), ("s1", 3), ("s2", 3), ("s3", 3), ("s4", 3), ("s5", 3), ("t", 0)]
@@ -200,6 +201,70 @@ def test_sitemap_limits(spark):
     assert run(max_sitemap_urls=8) == [("r", 0), ("s0", 3), ("s1", 3), ("s2", 3)]
 
 
+def test_sitemap_rounds_grow_with_the_depth_of_the_tree(spark, monkeypatch):
+    """Many sitemaps, few rounds; what was seen is one table in each of them."""
+    written = []
+    monkeypatch.setattr(graph, "stage", lambda df, name: written.append(name) or stage.stage(df, name))
+    children = [(f"https://a.com/{i}", k, f"https://a.com/{10 * i + k}") for i in range(1, 10) for k in range(10)] + [("https://a.com/95", 0, "https://a.com/1")]
+    out = graph.sitemap_expand(
+        spark.createDataFrame([("a.com", 0, "https://a.com/1")], "domain string, pos int, url string"),
+        spark.createDataFrame(children, "parent string, pos int, url string"), spark.createDataFrame([], "sitemap string, url string"),
+        spark.createDataFrame([("a.com", "https://a.com/")], "domain string, url string"))
+    assert out.count() == 11 and written.count("sitemaps-seen") == 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sitemaps-seen") <= 3
+
+
+def discovered(spark, starts, robots=(), sitemaps=(), cfg=DEFAULT):
+    fetch = "requested_url string, body string, error string"
+    names = spark.createDataFrame([(s,) for s in starts], "domain string")
+    return discovery.discover(
+        discovery.start_urls(names, cfg), spark.createDataFrame(list(robots), fetch), spark.createDataFrame(list(sitemaps), fetch), cfg)
+
+
+def test_start_urls_and_sitemaps_are_evidence(spark):
+    """A crawl of es.a.com has the points of its start URL, and sitemaps add URLs, folders and hosts."""
+    found = discovered(
+        spark, ["https://es.a.com/", "b.com", " "],
+        [("https://es.a.com/robots.txt", "Sitemap: https://a.com/i.xml", None), ("https://b.com/robots.txt", None, "timeout")],
+        [("https://a.com/i.xml", "<sitemapindex><sitemap><loc>https://a.com/1.xml</loc></sitemap><sitemap><loc>https://a.com/2.xml</loc></sitemap>"
+          "<sitemap><loc>https://a.com/3.xml</loc></sitemap><sitemap><loc>https://other.com/4.xml</loc></sitemap></sitemapindex>", None),
+         ("https://a.com/1.xml", "<urlset><url><loc>https://a.com/fr/x</loc></url><url><loc>https://other.com/it/</loc></url></urlset>", None),
+         ("https://a.com/2.xml", "<urlset>", None), ("https://a.com/3.xml", None, "client_error: X"), ("https://b.com/unread.xml", None, "timeout")])
+    s = ScoredRun(scored_pages(crawl(spark, [("https://a.com/p", '<html lang="fr"></html>'), ("https://a.com/q", None, None, "timeout")])), found)
+    assert {(r.domain, r.code, r.score) for r in s.scores.collect()} == {("a.com", "es", 35), ("a.com", "fr", 105)}
+    assert sorted(r.url for r in s.discovered.where("domain = 'a.com'").collect()) == ["https://a.com/fr/x", "https://es.a.com/"]
+    counts = {r.domain: r for r in s.counts.collect()}
+    a, b = counts["a.com"], counts["b.com"]
+    assert (a.subdomains, a.sitemaps, a.urls, a.candidate_language_paths, a.pages, a.fetch_errors) == (2, 6, 2, 1, 2, 3)
+    assert (b.subdomains, b.sitemaps, b.urls, b.pages, b.fetch_errors) == (1, 2, 1, 0, 1)
+    assert sorted(r.line for r in s.errors.collect()) == [
+        "page: https://a.com/q: timeout", "robots: https://b.com/robots.txt: timeout", "sitemap: https://a.com/3.xml: client_error: X",
+        "sitemap_parse: https://a.com/2.xml: ParseError"]
+    assert {r.domain: list(r.languages) for r in s.report.collect()} == {"a.com": ["French (High, 100%)"], "b.com": []}
+    docs = {r.domain: r.discovery_counts.sitemaps for r in s.documents().collect()}
+    assert docs == {"a.com": 6, "b.com": 2}
+
+
+def test_public_suffixes_in_a_run(spark):
+    cfg = replace(DEFAULT, suffixes=("co.uk", "*.ck", "!www.ck"))
+    found = discovered(spark, ["a.co.uk", "https://fr.b.co.uk/", "x.shop.ck", "m.www.ck"], cfg=cfg)
+    rows = [("https://www.a.co.uk/", '<html><a href="https://b.co.uk/es/">b</a><a href="/it/">i</a></html>'), ("https://x.shop.ck/", '<html lang="de">')]
+    s = ScoredRun(scored_pages(crawl(spark, rows), cfg), found, cfg)
+    assert {r.domain for r in s.report.collect()} == {"a.co.uk", "b.co.uk", "x.shop.ck", "www.ck"}
+    assert {(r.domain, r.code, r.score) for r in s.scores.collect()} == {("a.co.uk", "it", 70), ("b.co.uk", "fr", 35), ("x.shop.ck", "de", 35)}
+
+
+def test_report_over_visited_pages(spark):
+    """Only pages within the budget count, in the order of the visits."""
+    rows = [("https://a.com/3", '<html lang="fr">'), ("https://a.com/", '<html lang="es"><a href="/2">'), ("https://a.com/2", '<html lang="es">')]
+    s = ScoredRun(scored_pages(crawl(spark, rows)), discovered(spark, ["a.com"]))
+    visits = spark.createDataFrame([("a.com", "https://a.com/", 1), ("a.com", "https://a.com/2", 2)], "domain string, url string, rank long")
+    seen = s.visited(visits)
+    assert {(r.code, r.score) for r in seen.scores.collect()} == {("es", 70)}
+    assert [(r.seq, r.url) for r in seen.pages.orderBy("seq").collect()] == [(1, "https://a.com/"), (2, "https://a.com/2")]
+
+
 def test_http_fallback(spark):
     rows = [("https://a.com", 1, None, "timeout"), ("http://a.com/", 2, 200, None), ("https://b.com/", 3, 200, None), ("http://b.com", 4, 301, None)]
     fetches = spark.createDataFrame(rows, "requested_url string, seq long, status_code int, error string")
@@ -208,15 +273,6 @@ def test_http_fallback(spark):
     assert out == {"a.com": ("http://a.com/", True), "b.com": ("https://b.com/", False), "c.com": (None, False)}
 
 
-def test_salted_join_equals_a_join(spark):
-    big = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
-    small = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k long, w string")
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        a = skew.salted_join(big, small, ["k"], ["v"], how=how)
-        b = big.join(small, "k", how)
-        assert sorted(map(tuple, a.select(sorted(a.columns)).collect()), key=str) == sorted(map(tuple, b.select(sorted(b.columns)).collect()), key=str)
-
-
 def test_running_count_and_progress(spark):
     steps = spark.range(300).select(
         F.when(F.col("id") < 200, 1).otherwise(F.col("id") % 5).alias("job_id"), F.col("id").alias("step_id"),

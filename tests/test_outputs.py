@@ -3,13 +3,16 @@
 import json
 import os
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tonguemap.config import DEFAULT
 from tonguemap.operators import keyed, site, stage
-from tonguemap.operators.pages import site_pages
+from tonguemap.operators.merged import MergedTable
+from tonguemap.operators.pages import scored_pages, site_pages
+from tonguemap.operators.run import ScoredRun
 from tonguemap.plans import inputs
 from tonguemap.plans.keyed_queries import _updates
 from tonguemap.sinks import reports as sinks
@@ -112,18 +115,120 @@ def test_state_stream_over_several_batches(spark, arrivals):
 def test_report_stream_over_several_batches(spark, arrivals):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     stream = jobs.read_stream(spark, str(arrivals / "pages"), pages.schema, files_per_trigger=1)
-    got = jobs.site_report_stream(spark.sql(inputs.CRAWL.format(pages="{given}"), given=stream))
+    got = jobs.site_report_stream(crawl_of(spark, stream))
     whole = site.site_report(site.site_facts(site_pages(inputs.derive(spark, SF, inputs.CRAWL))))
     assert as_rows(got) == as_rows(whole)
 
 
+def crawl_of(spark, stream):
+    return spark.sql(inputs.CRAWL.format(pages="{given}"), given=stream.selectExpr("page_id", f"{inputs.URL} AS url", "html"))
+
+
+FETCH = "seq long, requested_url string, final_url string, status_code int, content_type string, body string, error string"
+FRENCH = "le la de et les des " * 30
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)])
+def test_scored_report_for_any_order_of_batches(spark, tmp_path, order):
+    """A trusted page that comes late turns the warnings of the pages after it into points."""
+    pages = [
+        (1, "https://a.com/1", f"<html><body>{FRENCH}</body></html>"), (2, "https://a.com/2", f'<html lang="fr"><body>{FRENCH}<a href="/es/">'),
+        (3, "https://a.com/3", f"<html><body>{FRENCH}</body></html>"), (4, "https://b.com/4", '<html lang="en"><link rel="alternate" hreflang="de" href="/x">'),
+    ]
+    rows = [(i, url, url, 200, "text/html", body, None) for i, url, body in pages]
+    whole = ScoredRun(scored_pages(spark.createDataFrame(rows, FETCH)))
+    folder, path = str(tmp_path / "pages"), str(tmp_path / "job")
+    for i in order:
+        spark.createDataFrame([rows[i]], FETCH).coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.read_stream(spark, folder, spark.createDataFrame([], FETCH).schema)
+        got = jobs.language_report_stream(stream, path=path)
+    assert as_rows(got) == as_rows(whole.report)
+    assert {r.domain: r.warning_count for r in got.collect()} == {"a.com": 3, "b.com": 0}
+
+
+def test_job_stream_with_timeout(spark, tmp_path):
+    ts = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    submitted = [("a", 2, False, ts(0)), ("b", 1, False, ts(0)), ("c", 2, False, ts(5000)), ("d", 1, True, ts(9000)), ("e", 3, False, ts(100))]
+    steps = [("a", ts(10)), ("b", ts(20)), ("c", ts(8000)), ("lost", ts(9500)), ("e", ts(9400))]
+    folders = [str(tmp_path / n) for n in ("jobs", "steps")]
+    kinds = ["job_id string, total long, failed boolean, ts timestamp", "job_id string, ts timestamp"]
+
+    def run(rows, **more):
+        for folder, kind, new in zip(folders, kinds, rows):
+            if new:
+                spark.createDataFrame(new, kind).write.mode("append").parquet(folder)
+        streams = [jobs.read_stream(spark, f, spark.createDataFrame([], k).schema) for f, k in zip(folders, kinds)]
+        return {r.job_id: (r.done, r.status) for r in jobs.job_states_stream(*streams, path=str(tmp_path / "state"), **more).collect()}
+
+    # steps of a job may come ahead of it
+    assert run((submitted[:2], steps[2:])) == {"a": (0, "queued"), "b": (0, "queued")}
+    want = {"a": (1, "running"), "b": (1, "complete"), "c": (1, "running"), "d": (0, "error"), "e": (1, "running")}
+    assert run((submitted[2:], steps[:2])) == want
+    late = run(([], [("lost", ts(9600))]), timeout_seconds=3600)
+    assert late == want | {"a": (1, "error")}
+
+
+def test_state_stream_is_native_and_goes_on(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    folder, path = str(tmp_path / "events"), str(tmp_path / "job")
+    for part in range(3):
+        events.where(f"event_id % 3 = {part}").write.mode("append").parquet(folder)
+        got = jobs.latest_state_stream(_updates(jobs.read_stream(spark, folder, events.schema)), 86400, path)
+    assert as_rows(got) == as_rows(keyed.latest_state(_updates(events), "1 day"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def summed(df):
+    batch = [F.max("batch").alias("batch")] if "batch" in df.columns else []
+    return df.groupBy("k").agg(F.sum("n").alias("n"), *batch)
+
+
+def test_many_batches_end_in_few_files(spark, tmp_path):
+    table = MergedTable(spark, str(tmp_path / "t"), summed, every=8, files=1)
+    facts = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long").coalesce(1)
+    for batch in range(100):
+        table.append(facts, batch)
+    assert {r.k: r.n for r in summed(table.read()).collect()} == {"a": 100, "b": 200}
+    assert sum(1 for _ in (tmp_path / "t").rglob("*.parquet")) <= 2 + 2 * 8
+    assert len(list((tmp_path / "t").glob("batch=*"))) <= 16 and len(list((tmp_path / "t" / "merged").iterdir())) <= 2
+
+
+@pytest.mark.parametrize("killed", ["write", "_switch", "_delete"])
+def test_a_killed_merge_loses_nothing(spark, tmp_path, monkeypatch, killed):
+    table = MergedTable(spark, str(tmp_path / "t"), summed, every=1000)
+    facts = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long")
+    for batch in range(3):
+        table.append(facts, batch)
+    table.compact()
+    table.append(facts, 3)
+
+    def die(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        if killed == "write":
+            m.setattr(table, "merge", die)
+        else:
+            m.setattr(table, killed, die)
+        with pytest.raises(RuntimeError):
+            table.compact()
+    total = lambda: {r.k: r.n for r in summed(table.read()).collect()}
+    assert total() == {"a": 4, "b": 8}
+    table.append(facts, 4)
+    table.append(facts, 4)  # a batch that is written again
+    table.compact()
+    assert total() == {"a": 5, "b": 10}
+    table.append(facts, 4)  # also after it was merged
+    assert total() == {"a": 5, "b": 10}
+
+
 def test_a_stopped_stream_goes_on(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     folder, path = str(tmp_path / "pages"), str(tmp_path / "job")
 
     def run():
         stream = jobs.read_stream(spark, folder, pages.schema)
-        return as_rows(jobs.site_report_stream(spark.sql(inputs.CRAWL.format(pages="{given}"), given=stream), path=path))
+        return as_rows(jobs.site_report_stream(crawl_of(spark, stream), path=path))
 
     pages.where("page_id % 3 <> 0").write.parquet(folder)
     run()
@@ -136,8 +241,7 @@ def test_a_stopped_stream_goes_on(spark, tmp_path):
 
 
 def test_a_repeated_batch_replaces_the_first_attempt(spark, tmp_path):
-    write = jobs.batch_writer(str(tmp_path / "out"))
-    write(spark.range(5), 0)
-    write(spark.range(3), 0)
-    write(spark.range(2), 1)
-    assert spark.read.parquet(str(tmp_path / "out")).groupBy("batch").count().orderBy("batch").collect() == [(0, 3), (1, 2)]
+    table = MergedTable(spark, str(tmp_path / "out"))
+    for n, batch in ((5, 0), (3, 0), (2, 1)):
+        table.append(spark.range(n), batch)
+    assert table.read().groupBy("batch").count().orderBy("batch").collect() == [(0, 3), (1, 2)]

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tonguemap.functions import urls
 from tonguemap.sources import crawl, domains, reports, sitemaps
 
 
@@ -28,11 +29,24 @@ def test_robots_and_candidates(spark):
     body = "User-agent: *\nSitemap: https://a.b/s.xml\r\nSITEMAP:/x\nsitemap:\nSitemap: https://a.b/s.xml\nsitemap: http://other.c/y.xml"
     df = spark.createDataFrame([("a.b", body), ("c.d", None)], "domain string, body string")
     assert [r.sitemap for r in sitemaps.robots_sitemaps(df).orderBy("pos").collect()] == ["https://a.b/s.xml", "/x", "http://other.c/y.xml"]
-    out = [(r.domain, r.url) for r in sitemaps.sitemap_candidates(df).orderBy("domain", "pos").collect()]
-    assert out == [
-        ("a.b", "https://a.b/s.xml"), ("a.b", "https://a.b/sitemap.xml"), ("a.b", "https://a.b/sitemap_index.xml"),
-        ("c.d", "https://c.d/sitemap.xml"), ("c.d", "https://c.d/sitemap_index.xml"),
-    ]
+
+
+def test_candidates_of_start_urls(spark):
+    """Defaults are those of the host that was asked for, also without a robots file."""
+    body = "Sitemap: https://a.b/s.xml\nSitemap: /rel\nSitemap: https://other.c/y.xml\nSitemap: https://m.a.b//t.xml?x"
+    starts = spark.createDataFrame([("a.b", "https://a.b/x"), ("a.b", "http://m.a.b/"), ("c.d", "https://c.d/"), ("e.f", "https://e.f/")], "domain string, url string")
+    robots = spark.createDataFrame([
+        ("https://a.b/robots.txt", body, 200, None), ("https://a.b/robots.txt", None, None, "timeout"),
+        ("https://c.d/robots.txt", body, 404, None), ("https://e.f/robots.txt", None, None, "timeout"),
+    ], "requested_url string, body string, status_code int, error string")
+    begun = sitemaps.with_robots(starts, robots)
+    assert {r.domain: r.error for r in begun.collect()} == {"a.b": None, "c.d": None, "e.f": "timeout"}
+    out = [(r.start, r.url) for r in sitemaps.sitemap_candidates(begun).orderBy("start", "pos").collect()]
+    defaults = lambda host: [f"{host}/sitemap.xml", f"{host}/sitemap_index.xml"]
+    want = [("http://m.a.b/", u) for u in defaults("http://m.a.b")]
+    want += [("https://a.b/x", u) for u in ["https://a.b/s.xml", "https://m.a.b/t.xml", *defaults("https://a.b")]]
+    want += [("https://c.d/", u) for u in defaults("https://c.d")] + [("https://e.f/", u) for u in defaults("https://e.f")]
+    assert out == want
 
 
 def test_sitemap_documents(spark):
@@ -52,8 +66,14 @@ def test_sitemap_documents(spark):
 
 
 def test_packed_sitemaps(spark, tmp_path):
-    (tmp_path / "s.xml.gz").write_bytes(gzip.compress("<urlset>é</urlset>".encode()))
-    assert spark.read.text(str(tmp_path), wholetext=True).first().value == "<urlset>é</urlset>"
+    text = "<urlset>é</urlset>"
+    packed = gzip.compress(text.encode())
+    rows = [(1, packed), (2, text.encode()), (3, None), (4, b""), (5, packed[:12]), (6, b"\x1f\x8bnot packed"), (7, b"a\xffb"), (8, gzip.compress(b"a\xffb")), (9, b"\x1f")]
+    out = {r.i: r.body for r in sitemaps.payload_text(spark.createDataFrame(rows, "i int, payload binary"), "payload").collect()}
+    assert out == {1: text, 2: text, 3: None, 4: "", 5: None, 6: None, 7: "a\ufffdb", 8: "a\ufffdb", 9: "\x1f"}
+    (tmp_path / "s.xml.gz").write_bytes(packed)
+    assert spark.read.text(str(tmp_path), wholetext=True).first().value == text
+
 
 
 def finding(name, percent=None, label=None):
@@ -105,11 +125,27 @@ def test_seeds_and_suffixes(spark):
     assert (out["A.com/x"].normalized_url, out["A.com/x"].registered_domain, out["A.com/x"].error) == ("https://a.com/x", "a.com", None)
     assert out[" "].error == "empty input"
     hosts = spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("q.unknown",), ("uk",), ("a.b.c.d.e.f.g.h",), (None,)], "host string")
-    suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("com",), ("c.d.e.f.g.h",), ("g.h",)], "suffix string")
+    suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("com",), ("c.d.e.f.g.h",), ("g.h",)], "rule string")
     got = {r.host: r.registered_domain for r in crawl.registered_domain_by_suffix(hosts, suffixes, "host").collect()}
     assert got == {"a.b.co.uk": "b.co.uk", "x.com": "x.com", "q.unknown": "q.unknown", "uk": "uk", "a.b.c.d.e.f.g.h": "b.c.d.e.f.g.h", None: None}
 
 
+def test_suffix_rules_of_a_file(spark, tmp_path):
+    """The join and the setting read the same rules the same way."""
+    (tmp_path / "rules.dat").write_text("// ===BEGIN===\n\ncom\nco.uk  remark\n*.ck\n!www.ck\n*.kobe.jp\n!city.kobe.jp\njp\n  UK\n")
+    rules = crawl.read_suffix_rules(spark, str(tmp_path / "rules.dat"))
+    setting = crawl.suffix_rules(rules)
+    assert setting == ("!city.kobe.jp", "!www.ck", "*.ck", "*.kobe.jp", "co.uk", "com", "jp", "uk")
+    names = ["a.b.co.uk", "co.uk", "ck", "shop.ck", "a.shop.ck", "b.a.shop.ck", "www.ck", "x.www.ck", "kobe.jp", "c.kobe.jp", "a.c.kobe.jp", "z.a.c.kobe.jp",
+             "city.kobe.jp", "a.city.kobe.jp", "tokyo.jp", "x.tokyo.jp", "q.w.nowhere"]
+    hosts = spark.createDataFrame([(n,) for n in names], "host string")
+    joined = {r.host: r.registered_domain for r in crawl.registered_domain_by_suffix(hosts, rules, "host").collect()}
+    inline = {r.host: r.d for r in hosts.select("host", urls.registered_domain(F.col("host"), setting).alias("d")).collect()}
+    assert joined == inline
+    assert (joined["a.shop.ck"], joined["x.www.ck"], joined["a.city.kobe.jp"], joined["z.a.c.kobe.jp"]) == ("a.shop.ck", "www.ck", "city.kobe.jp", "a.c.kobe.jp")
+    assert (joined["shop.ck"], joined["c.kobe.jp"], joined["x.tokyo.jp"]) == ("shop.ck", "kobe.jp", "tokyo.jp")
+
+
 def test_fetch_flags(spark):
     rows = [("http://a/", "http://a", 200, None), ("http://a", "http://b", 399, None), ("http://a", None, None, "timeout"), ("http://a", "http://a", 400, None)]
     df = spark.createDataFrame(rows, "requested_url string, final_url string, status_code int, error string")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class EngineConfig:
+    # fixed values: budgets, weights and thresholds that decide results
     # scored profile: crawl budgets
     max_sitemaps: int = 50
     max_sitemap_urls: int = 5000
@@ -27,6 +28,8 @@ class EngineConfig:
     site_max_pages: int = 5
     site_queue_cap: int = 20
     max_domains_per_job: int = 50
+    # public-suffix rules (``co.uk``, ``*.ck``, ``!www.ck``); without any, a domain is the last two labels
+    suffixes: tuple[str, ...] = ()
     # keyed state
     quota_limit: int = 200
     quota_window: str = "1 hour"
@@ -35,8 +38,7 @@ class EngineConfig:
     sample_urls: int = 5
     debug_urls: int = 50
     debug_pages: int = 25
-    # physical tuning
-    join_salts: int = 16
+    # physical tuning: rows of a reference table that may be broadcast
     max_broadcast_rows: int = 200_000
 
 

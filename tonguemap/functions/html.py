@@ -32,8 +32,8 @@ _PLAIN_BLANKS = r"[ \t\n\x0B\f\r]{2,}+|[\t\n\x0B\f\r]"
 _OTHER_BLANKS = f"[{BLANKS[5:]}]"
 _OTHER_ATTR = r"""\s++(?!{name}[\s=])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
 _ATTR = rf"""(?i)^[a-z]++(?:{_OTHER_ATTR})*+\s++{{name}}\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
-_ENTITY = "&([A-Za-z][A-Za-z0-9]*);"
-_NUMERIC_ENTITY = "&#(0*+[0-9]{1,7}|[xX]0*+[0-9A-Fa-f]{1,6});"
+_NUMERIC = "#(?:[0-9]+|[xX][0-9A-Fa-f]+)"
+_NAMED = "[A-Za-z][A-Za-z0-9]*;"
 
 
 def page_tags(body: Column) -> Column:
@@ -58,57 +58,76 @@ def _unquote(raw: Column) -> Column:
     return F.when(raw != "", bare)
 
 
-HTML_NAMES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
-XML_NAMES = {name: HTML_NAMES[name] for name in ("amp", "lt", "gt", "quot", "apos")}
+# names that pages may write without a semicolon come first, as the common ones are among them
+HTML_NAMES = {name: value for name, value in sorted(html5.items(), key=lambda e: (e[0].rstrip(";") not in html5, e)) if name.endswith(";")}
+XML_NAMES = {f"{name};": HTML_NAMES[f"{name};"] for name in ("amp", "lt", "gt", "quot", "apos")}
+_BARE_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+_BARE = "|".join(_BARE_NAMES)
+# references to the numbers 128 to 159 mean the signs that Windows has there, where it has any
+_WINDOWS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
+_REPLACEMENT = "\ufffd"
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode the character references of HTML, named and numeric."""
-    return _references_decoded(c, HTML_NAMES)
+    """Decode the character references of HTML text: named, numeric, and old names without their semicolon."""
+    return _references_decoded(c, HTML_NAMES, rf"{_NUMERIC};?|{_NAMED}", f"(?:{_BARE})")
+
+
+def decode_attribute(c: Column) -> Column:
+    """As in text, but a name without its semicolon stays if it goes on like a word or an address."""
+    return _references_decoded(c, HTML_NAMES, rf"{_NUMERIC};?|{_NAMED}", f"(?:{_BARE})(?![=A-Za-z0-9])")
 
 
 def decode_xml(c: Column) -> Column:
     """Decode the five named references of XML, and numeric ones."""
-    return _references_decoded(c, XML_NAMES)
+    return _references_decoded(c, XML_NAMES, rf"{_NUMERIC};|{_NAMED}", None)
 
 
-def _references_decoded(c: Column, names: dict[str, str]) -> Column:
-    """Decode references; ``&amp;`` goes last so nothing is decoded twice."""
+def _references_decoded(c: Column, names: dict[str, str], pattern: str, bare: str | None) -> Column:
+    """Each ampersand begins one piece of the text, whose reference is replaced; what it gives is not read again."""
     table = lookup_table(names)
 
-    def named(text: Column, name: Column) -> Column:
-        value = F.try_element_at(table, name)
-        return F.when(value.isNull() | (name == "amp"), text).otherwise(
-            F.replace(text, F.concat(F.lit("&"), name, F.lit(";")), value)
-        )
-
-    def numeric(text: Column, ref: Column) -> Column:
-        code = F.when(
-            F.lower(ref).startswith("x"), F.conv(F.regexp_replace(ref, "^[xX]0*+(?=.)", ""), 16, 10)
-        ).otherwise(ref).cast("long")
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(
-            valid, F.replace(text, F.concat(F.lit("&#"), ref, F.lit(";")), char)
-        ).otherwise(text)
-
-    with_names = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(1))), c, named
-    )
-    with_numbers = F.when(
-        c.rlike(_NUMERIC_ENTITY),
-        F.aggregate(
-            F.array_distinct(F.regexp_extract_all(c, F.lit(_NUMERIC_ENTITY), F.lit(1))), with_names, numeric
-        ),
-    ).otherwise(with_names)
-    return F.when(c.contains("&"), F.replace(with_numbers, F.lit("&amp;"), F.lit("&"))).otherwise(c)
+    def numeric(ref: Column) -> Column:
+        digits = F.regexp_replace(ref, "^#[xX]?0*|;$", "")
+        base = F.when(ref.rlike("^#[xX]"), 16).otherwise(10)
+        code = F.when(F.length(digits) > 7, F.lit(0)).when(digits == "", F.lit(0)).otherwise(
+            F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits).cast("int"))
+        bound = F.transform(F.array(code), lambda n: F.when(
+            (n <= 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(_REPLACEMENT)).when(
+            n.between(128, 159) & F.lit(bare is not None), F.substring(F.lit(_WINDOWS), n - 127, F.lit(1))).otherwise(
+            F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        return F.get(bound, F.lit(0))
+
+    def found(piece: Column) -> Column:
+        """The piece, how many letters its reference has, and what that means."""
+        ref = F.regexp_extract(piece, f"^(?:{pattern})", 0)
+        known = F.when(ref.startswith("#"), numeric(ref)).when(ref != "", F.try_element_at(table, ref))
+        return F.named_struct(F.lit("piece"), piece, F.lit("ref"), ref, F.lit("value"), known)
+
+    def shorter(x: Column) -> Column:
+        """The longest old name that the piece begins with, if it has no reference with a semicolon."""
+        if bare is None:
+            return x
+        name = F.regexp_extract(x["piece"], f"^{bare}", 0)
+        other = F.transform(F.array(name), lambda n: F.named_struct(
+            F.lit("piece"), x["piece"], F.lit("ref"), n, F.lit("value"), F.when(n != "", F.try_element_at(table, F.concat(n, F.lit(";"))))))
+        return F.when(x["value"].isNotNull(), x).otherwise(F.get(other, F.lit(0)))
+
+    def replaced(x: Column) -> Column:
+        rest = F.substring(x["piece"], F.length(x["ref"]) + 1, F.length(x["piece"]))
+        return F.when(x["value"].isNull(), F.concat(F.lit("&"), x["piece"])).otherwise(F.concat(x["value"], rest))
+
+    pieces = F.split(c, "&")
+    after = F.slice(pieces, F.lit(2), F.size(pieces))
+    said = F.transform(F.transform(F.transform(after, found), shorter), replaced)
+    return F.when(c.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(said, ""))).otherwise(c)
 
 
 def _attrs(tags: Column, names: list[str]) -> Column:
     """Struct of attribute values per tag, NULL where absent; each step binds its result for the next."""
-    raw = F.transform(tags, lambda t: F.struct(*[_quoted_attr(t, n).alias(n) for n in names]))
-    bare = F.transform(raw, lambda t: F.struct(*[_unquote(t[n]).alias(n) for n in names]))
-    return F.transform(bare, lambda t: F.struct(*[decode_entities(t[n]).alias(n) for n in names]))
+    raw = F.transform(tags, lambda t: F.array(*[_quoted_attr(t, n) for n in names]))
+    decoded = F.transform(raw, lambda t: F.transform(F.transform(t, _unquote), decode_attribute))
+    return F.transform(decoded, lambda t: F.struct(*[F.get(t, F.lit(i)).alias(n) for i, n in enumerate(names)]))
 
 
 def html_lang(tags: Column) -> Column:
@@ -124,7 +143,7 @@ def link_tags(tags: Column) -> Column:
 def anchor_hrefs(tags: Column) -> Column:
     """``href`` values of the anchors in document order, anchors without one left out."""
     raw = F.filter(F.transform(_named(tags, "a"), lambda t: _quoted_attr(t, "href")), lambda v: v != "")
-    return F.transform(F.transform(raw, _unquote), decode_entities)
+    return F.transform(F.transform(raw, _unquote), decode_attribute)
 
 
 @once

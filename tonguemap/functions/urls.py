@@ -160,6 +160,12 @@ def normalize_all(urls: Column, parts: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(full, lambda u: canonical(u))))
 
 
+def start_url(value: Column) -> Column:
+    """Canonical start URL of what a domain list says; each step binds its result, so no step is worked out twice."""
+    full = F.transform(F.transform(F.array(value), ensure_scheme), unbroken)
+    return F.get(F.transform(full, lambda u: F.when(~u.rlike(_SKIPPED_TARGETS), canonical(u))), F.lit(0))
+
+
 def _percent_encode(c: Column, also: str) -> Column:
     """Percent-encode control, non-ASCII and the listed characters, byte by byte in UTF-8."""
     unsafe = rf"[\x00-\x20\x7F-\x{{10FFFF}}{also}]"
@@ -172,36 +178,94 @@ def _percent_encode(c: Column, also: str) -> Column:
 
 
 def web_reference(href: Column) -> Column:
-    """What a browser keeps of an href before resolving it."""
-    return unbroken(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
+    """What a browser keeps of an href before resolving it: blanks around it and line breaks go, and backslashes in front of
+    the query are slashes, unless the href names another scheme than that of web pages."""
+    bare = unbroken(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
+    turned = F.concat(F.replace(F.regexp_extract(bare, r"^[^?#]*", 0), F.lit("\\"), F.lit("/")), F.regexp_extract(bare, _TAIL, 1))
+    other = bare.rlike(_SCHEME) & ~bare.rlike("^(?i:https?):")
+    return F.when(bare.contains("\\") & ~F.coalesce(other, F.lit(False)), turned).otherwise(bare)
+
+
+def web_host(netloc_: Column, scheme_: Column) -> Column:
+    """Host and port as a browser writes them: no user, no default port, numbers without zeros in front, and letters beyond
+    ASCII in their ASCII form; NULL if there is no such form."""
+    given = F.transform(F.array(F.regexp_replace(netloc_, "^.*@", "")), lambda h: F.named_struct(
+        F.lit("name"), F.lower(F.regexp_replace(h, ":[0-9]*$", "")), F.lit("port"), F.regexp_replace(F.regexp_extract(h, ":([0-9]*)$", 1), "^0+(?=[0-9])", "")))
+    own_port = F.when(scheme_ == "https", F.lit("443")).otherwise(F.lit("80"))
+
+    def shown(h: Column) -> Column:
+        name = F.when(h["name"].rlike("[^\\x00-\\x7F]"), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), h["name"]))).otherwise(h["name"])
+        port = F.when((h["port"] == "") | (h["port"] == own_port), F.lit("")).otherwise(F.concat(F.lit(":"), h["port"]))
+        return F.concat(name, port)
+
+    return F.get(F.transform(given, shown), F.lit(0))
 
 
 def web_url(full: Column) -> Column:
-    """Browser-style serialisation (WHATWG) of an absolute URL; NULL unless it is http(s)."""
+    """Browser-style serialisation (WHATWG) of an absolute URL; NULL unless it is http(s) with a usable host."""
     s, p = scheme(full), _drop_dots(path(full))
-    own_port = F.when(s == "https", F.lit(":443")).otherwise(F.lit(":80"))
-    hostport = F.lower(netloc(full))
     return F.when(
         full.rlike(_HTTP_WITH_HOST),
         F.concat(
-            s, F.lit("://"),
-            F.when(hostport.endswith(own_port), F.regexp_replace(hostport, ":[0-9]+$", "")).otherwise(hostport),
+            s, F.lit("://"), web_host(netloc(full), s),
             F.when(p == "", F.lit("/")).otherwise(_percent_encode(p, '"<>`{}')),
             _percent_encode(F.regexp_extract(full, _TAIL, 1), '"<>'),
         ),
     )
 
 
-def registered_domain(host_col: Column) -> Column:
-    """Last two labels of the host, or the host itself when it has fewer."""
-    return F.regexp_replace(F.lower(strip(host_col)), r"^(?:.*\.)?([^.]+)\.+([^.]+)\.*$", "$1.$2")
+_LAST_TWO = r"^(?:.*\.)?([^.]+)\.+([^.]+)\.*$"
 
 
-def domain_of(url: Column) -> Column:
-    """Registered domain of an absolute URL."""
-    return F.regexp_replace(
-        strip_default_port(F.lower(netloc(url))), r"^(?:.*\.)?([^.]+)\.+([^.]+)\.*$", "$1.$2"
-    )
+def registered_domain(host_col: Column, rules: tuple[str, ...] = ()) -> Column:
+    """Last two labels of the host, or the host itself when it has fewer; ``rules`` as for :func:`domain_of`."""
+    return _by_rules(F.lower(strip(host_col)), rules)
+
+
+def domain_of(url: Column, rules: tuple[str, ...] = ()) -> Column:
+    """Registered domain of an absolute URL: the last two labels of its host.
+
+    With public-suffix ``rules`` it is the longest suffix that a rule names, and one label more. A rule ``*.ck``
+    names every label under ``ck``, and ``!www.ck`` takes one of them out again. A host that is a suffix
+    itself, or that no rule fits, keeps its last two labels.
+    """
+    return _by_rules(strip_default_port(F.lower(netloc(url))), rules)
+
+
+def split_rules(rules: tuple[str, ...]) -> tuple[dict[int, list[str]], dict[int, list[str]], dict[int, list[str]]]:
+    """Suffixes, suffixes of which any label more is one too, and exceptions, each by their number of labels."""
+    plain, wild, exceptions = {}, {}, {}
+    for rule in rules:
+        kind = exceptions if rule.startswith("!") else wild if rule.startswith("*.") else plain
+        name = rule.lower().removeprefix("!").removeprefix("*.").strip(".")
+        kind.setdefault(name.count(".") + 1, []).append(name)
+    return plain, wild, exceptions
+
+
+def _by_rules(host_col: Column, rules: tuple[str, ...]) -> Column:
+    if not rules:
+        return F.regexp_replace(host_col, _LAST_TWO, "$1.$2")
+    plain, wild, exceptions = split_rules(rules)
+
+    def of(host: Column) -> Column:
+        two = F.regexp_replace(host["given"], _LAST_TWO, "$1.$2")
+        ending = lambda n: F.substring_index(host["bare"], ".", -n)
+        cases = [(ending(n).isin(names), ending(n)) for n, names in sorted(exceptions.items(), reverse=True)]
+        # a list of rules of one length is a hash set in the plan
+        for n in range(max([1, *plain, *(n + 1 for n in wild)]), 0, -1):
+            known = [ending(k).isin(names) for k, names in ((n, plain.get(n)), (n - 1, wild.get(n - 1))) if names]
+            if known:
+                hit = known[0] if len(known) == 1 else known[0] | known[1]
+                cases.append((hit, F.when(host["bare"] != ending(n), ending(n + 1)).otherwise(two)))
+        out = two
+        for hit, domain in reversed(cases):
+            out = F.when(hit, domain).otherwise(out)
+        return out
+
+    # bound to lambda variables, so that the host is worked out once
+    bare = lambda h: F.regexp_replace(h, r"^.*@|^\.+|[.:]+[0-9]*$", "")
+    both = F.transform(F.array(host_col), lambda h: F.named_struct(F.lit("given"), h, F.lit("bare"), bare(h)))
+    return F.get(F.transform(both, of), F.lit(0))
 
 
 def candidate_path(url: Column) -> Column:

@@ -7,7 +7,7 @@ a written table: a lost executor repeats one level at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonguemap.config import DEFAULT, EngineConfig
@@ -17,7 +17,7 @@ from tonguemap.operators.stage import stage
 
 
 def crawl_seeds(starts: DataFrame, discovered: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Start URL at position 0, then the smallest discovered URLs; (domain, url, pos), first of equals kept."""
+    """Start URLs at position 0, then the smallest discovered URLs; (domain, url, pos), first of equals kept."""
     first = starts.select("domain", "url", F.lit(0).alias("pos"))
     known = discovered.select("domain", "url").unionByName(starts.select("domain", "url")).distinct()
     smallest = top_k(known, ["domain"], [F.col("url")], cfg.max_pages, "pos")
@@ -49,13 +49,13 @@ def bfs_scored(seeds: DataFrame, links: DataFrame, fetched: DataFrame, cfg: Engi
     for depth in range(cfg.max_depth + 1):
         fresh = (
             keep_first(frontier, ["domain", "url"], ["parent", "pos"])
-            .where(urls.domain_of(F.col("url")) == F.col("domain"))
+            .where(urls.domain_of(F.col("url"), cfg.suffixes) == F.col("domain"))
             .join(visited.select("domain", "url"), ["domain", "url"], "left_anti")
             .join(landed, "url", "left_semi")
         )
         used = visited.groupBy("domain").agg(F.count(F.lit(1)).alias("used"))
         level = (
-            top_k(fresh, ["domain"], [F.col("parent"), F.col("pos")], cfg.max_pages)
+            top_k(fresh, ["domain"], [F.col("parent"), F.col("pos"), F.col("url")], cfg.max_pages)
             .join(used, "domain", "left")
             .withColumn("rank", F.col("rank") + F.coalesce("used", F.lit(0).cast("long")))
             .where(F.col("rank") <= cfg.max_pages)
@@ -144,55 +144,60 @@ def http_fallback(domains: DataFrame, fetches: DataFrame) -> DataFrame:
 
 
 def sitemap_expand(
-    roots: DataFrame, children: DataFrame, locs: DataFrame, cfg: EngineConfig = DEFAULT
+    roots: DataFrame, children: DataFrame, locs: DataFrame, starts: DataFrame, cfg: EngineConfig = DEFAULT
 ) -> DataFrame:
     """Sitemaps a crawl reads: (domain, rank, url, new_urls).
 
     ``roots`` (domain, pos, url), ``children`` (parent, pos, url) of sitemap indexes, ``locs`` (sitemap, url)
-    of page lists. Reading stops at ``max_sitemaps``, or once ``max_sitemap_urls`` URLs are known, the
-    start URL included. Stopping cuts the visiting order short but never changes it, so the URL limit
-    is applied to the finished order.
+    of page lists, ``starts`` (domain, url). Reading stops at ``max_sitemaps``, or once ``max_sitemap_urls`` URLs are
+    known, the start URLs included. Stopping cuts the visiting order short but never changes it, so the
+    URL limit is applied to the finished order.
+
+    There is a round per level of the tree. What was seen is one table, written anew in each round: at most
+    ``max_sitemaps`` rows of a domain, whatever the number of rounds.
     """
     index = stage(children.select("parent", "pos", "url"), "sitemap-index")
     frontier = roots.select("domain", F.lit(0).cast("long").alias("p"), "pos", "url")
-    seen = _nothing(roots)
+    seen, level = _nothing(roots, F.lit(0).alias("level")), 0
     while True:
         fresh = keep_first(frontier, ["domain", "url"], ["p", "pos"]).join(
             seen.select("domain", "url"), ["domain", "url"], "left_anti"
         )
         used = seen.groupBy("domain").agg(F.count(F.lit(1)).alias("used"))
-        level = (
-            top_k(fresh, ["domain"], [F.col("p"), F.col("pos")], cfg.max_sitemaps)
+        new = (
+            top_k(fresh, ["domain"], [F.col("p"), F.col("pos"), F.col("url")], cfg.max_sitemaps)
             .join(used, "domain", "left")
             .withColumn("rank", F.col("rank") + F.coalesce("used", F.lit(0).cast("long")))
             .where(F.col("rank") <= cfg.max_sitemaps)
-            .select("domain", "url", "rank")
+            .select("domain", "url", F.lit(level).alias("level"), "rank")
         )
-        level = stage(level, "sitemap-level")
+        seen = stage(seen.unionByName(new), "sitemaps-seen")
+        new = seen.where(F.col("level") == level)
         # every further level adds a sitemap to some domain, so the limit bounds the number of rounds
-        if level.isEmpty():
+        if new.isEmpty():
             break
-        seen = seen.unionByName(level)
+        level += 1
         frontier = (
-            level.select("domain", F.col("rank").alias("p"), F.col("url").alias("parent"))
+            new.select("domain", F.col("rank").alias("p"), F.col("url").alias("parent"))
             .join(index, "parent")
-            .where(urls.domain_of(F.col("url")) == F.col("domain"))
+            .where(urls.domain_of(F.col("url"), cfg.suffixes) == F.col("domain"))
             .select("domain", "p", "pos", "url")
         )
-    start = F.concat(F.lit("https://"), F.col("domain"), F.lit("/"))
-    listed = (
-        seen.withColumnRenamed("url", "sitemap")
-        .join(locs, "sitemap")
-        .where((urls.domain_of(F.col("url")) == F.col("domain")) & (F.col("url") != start))
-    )
+    listed = listed_urls(seen, locs, cfg).join(starts.select("domain", "url"), ["domain", "url"], "left_anti")
     first = listed.groupBy("domain", "url").agg(F.min("rank").alias("rank"))
-    new = first.groupBy("domain", "rank").agg(F.count(F.lit(1)).alias("new_urls"))
-    ranked = seen.join(new, ["domain", "rank"], "left").withColumn("new_urls", F.coalesce("new_urls", F.lit(0).cast("long")))
+    counted = first.groupBy("domain", "rank").agg(F.count(F.lit(1)).alias("new_urls"))
+    begun = starts.select("domain", "url").distinct().groupBy("domain").agg(F.count(F.lit(1)).alias("begun"))
+    zero = F.lit(0).cast("long")
+    ranked = seen.join(counted, ["domain", "rank"], "left").join(begun, "domain", "left").withColumn("new_urls", F.coalesce("new_urls", zero))
     # at most max_sitemaps rows per domain, so this window is small
-    from pyspark.sql import Window
-
     before = Window.partitionBy("domain").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.lit(1) + F.coalesce(F.sum("new_urls").over(before), F.lit(0))
+    known = F.coalesce("begun", zero) + F.coalesce(F.sum("new_urls").over(before), F.lit(0))
     return ranked.withColumn("known", known).where(F.col("known") < cfg.max_sitemap_urls).select(
         "domain", "rank", "url", "new_urls"
     )
+
+
+def listed_urls(sitemaps: DataFrame, locs: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """(domain, rank, url) of the pages that the sitemaps (domain, rank, url) list on their domain."""
+    listed = sitemaps.select("domain", "rank", F.col("url").alias("sitemap")).join(locs.select("sitemap", "url"), "sitemap")
+    return listed.where(urls.domain_of(F.col("url"), cfg.suffixes) == F.col("domain")).select("domain", "rank", "url")

@@ -49,12 +49,17 @@ def job_states(jobs: DataFrame, steps: DataFrame) -> DataFrame:
     """
     counted = steps.groupBy("job_id").agg(F.count(F.lit(1)).alias("done"))
     joined = jobs.join(counted, "job_id", "left").withColumn("done", F.coalesce("done", F.lit(0).cast("long")))
+    return counted_states(joined)
+
+
+def counted_states(jobs: DataFrame) -> DataFrame:
+    """Progress and status of jobs (job_id, total, done, failed)."""
     status = (
         F.when(F.col("failed"), "error").when(F.col("done") >= F.col("total"), "complete")
         .when(F.col("done") == 0, "queued").otherwise("running")
     )
     share = F.when(F.col("total") > 0, render.progress_percent(F.least("done", "total"), F.col("total"))).otherwise(100)
-    return joined.select("job_id", "total", "done", share.cast("long").alias("progress"), status.alias("status"))
+    return jobs.select("job_id", "total", "done", share.cast("long").alias("progress"), status.alias("status"))
 
 
 def job_progress(steps: DataFrame, bucket: str = "minute") -> DataFrame:

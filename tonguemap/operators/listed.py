@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonguemap.config import DEFAULT, EngineConfig
 from tonguemap.functions import render
 from tonguemap.sources.crawl import seeds
 
@@ -24,9 +25,9 @@ def site_report_listed(domains: DataFrame, report: DataFrame) -> DataFrame:
     )
 
 
-def language_report_listed(domains: DataFrame, report: DataFrame) -> DataFrame:
+def language_report_listed(domains: DataFrame, report: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Scored report keyed by the listed ``domain``, by way of its registered domain."""
-    start = seeds(domains.select("domain").distinct(), "domain").select("domain", "registered_domain")
+    start = seeds(domains.select("domain").distinct(), "domain", cfg).select("domain", "registered_domain")
     joined = start.join(report.withColumnRenamed("domain", "registered_domain"), "registered_domain", "left")
     n, warned = (F.coalesce(c, F.lit(0).cast("long")) for c in ("language_count", "warning_count"))
     return joined.select(

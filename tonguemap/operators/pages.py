@@ -59,7 +59,7 @@ def alternate_codes(link_tags: Column) -> Column:
     return F.transform(kept, lambda t: urls.site_code(t["hreflang"]))
 
 
-def scored_fetches(crawl: DataFrame) -> DataFrame:
+def scored_fetches(crawl: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Fetches that count as pages: failed ones do, landed content that is not HTML does not.
 
     Adds canonical ``url``, registered ``domain``, ``page_url`` (where the fetch ended) and ``src``, the body
@@ -69,7 +69,7 @@ def scored_fetches(crawl: DataFrame) -> DataFrame:
     return (
         crawl.where(~ok | html.is_html(F.col("content_type"), F.col("body")))
         .withColumn("url", urls.normalize(F.col("requested_url")))
-        .withColumn("domain", urls.domain_of(F.col("requested_url")))
+        .withColumn("domain", urls.domain_of(F.col("requested_url"), cfg.suffixes))
         .withColumn("page_url", F.coalesce(urls.none_if_empty(F.col("final_url")), F.col("url")))
         .withColumn("src", F.when(ok, F.col("body")))
     )
@@ -86,9 +86,9 @@ def _scored_signals() -> list[Column]:
 
 
 @once
-def _scored_targets() -> list[Column]:
+def _scored_targets(rules: tuple[str, ...]) -> list[Column]:
     def on_domain(links: Column) -> Column:
-        return F.filter(urls.normalize_all(links, F.col("parts")), lambda u: urls.domain_of(u) == F.col("domain"))
+        return F.filter(urls.normalize_all(links, F.col("parts")), lambda u: urls.domain_of(u, rules) == F.col("domain"))
 
     values = F.transform("alternates", lambda t: urls.strip(t["hreflang"]))
     return [
@@ -104,7 +104,7 @@ def _scored_targets() -> list[Column]:
 def scored_pages(crawl: DataFrame, cfg: EngineConfig = DEFAULT, keep_text: bool = False) -> DataFrame:
     """Scored profile signals of every page, without bodies; the text only on demand."""
     raw = (
-        scored_fetches(crawl)
+        scored_fetches(crawl, cfg)
         .withColumn("tags", html.page_tags(F.col("src")))
         .withColumn("parts", urls.base_parts(F.col("page_url")))
         .withColumn("fetch_error", error_line("page"))
@@ -114,6 +114,6 @@ def scored_pages(crawl: DataFrame, cfg: EngineConfig = DEFAULT, keep_text: bool
         "visible_text",
     ]
     signals = html.with_visible_text(raw, "src", "visible_text").select(*own, "parts", *_scored_signals())
-    out = signals.select(*own, "html_lang", *_scored_targets())
+    out = signals.select(*own, "html_lang", *_scored_targets(cfg.suffixes))
     out = text.with_text_language(out, "visible_text", "text_code", cfg=cfg)
     return out if keep_text else out.drop("visible_text")

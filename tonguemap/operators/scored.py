@@ -7,6 +7,8 @@ another and none needs to fit in one row. ``seq`` is the crawl order of the page
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from tonguemap import dims
 from tonguemap.config import DEFAULT, EngineConfig
 from tonguemap.functions import render, urls
 from tonguemap.operators.skew import top_k
+from tonguemap.operators.stage import stage
+
+if TYPE_CHECKING:
+    from tonguemap.operators.discovery import Discovery
 
 
 def page_targets() -> Column:
@@ -26,16 +32,14 @@ def crawl_targets(cfg: EngineConfig = DEFAULT) -> Column:
     return F.concat("hreflang_urls", F.slice("internal_links", 1, cfg.max_links_per_page))
 
 
-def discovered_urls(pages: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """Distinct (domain, url, code): start URLs, page targets, and ``extra`` (domain, url), as of sitemaps.
+def discovered_urls(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Distinct (domain, url, code): page targets, and ``known`` (domain, url), as of start URLs and sitemaps.
 
     The distinct is keyed by the URL too, so a hot domain spreads over all tasks.
     """
-    # with the start URL in front of the targets, one scan of the pages gives both
-    start = F.concat(F.lit("https://"), F.col("domain"), F.lit("/"))
-    found = pages.select("domain", F.explode(F.concat(F.array(start), page_targets())).alias("url"))
-    if extra is not None:
-        found = found.unionByName(extra.select("domain", "url"))
+    found = pages.select("domain", F.explode(page_targets()).alias("url"))
+    if known is not None:
+        found = found.unionByName(known.select("domain", "url"))
     return found.distinct().withColumn("code", urls.scored_url_code(F.col("url")))
 
 
@@ -45,12 +49,8 @@ def candidate_paths(discovered: DataFrame) -> DataFrame:
     return p.where(F.col("path").isNotNull()).distinct()
 
 
-def trusted_evidence(pages: DataFrame, discovered: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Trusted points pre-aggregated to (domain, code, source, evidence).
-
-    ``n`` counts the single pieces of evidence and ``first_seq`` is the first page that gave one; 0 means
-    before any page. Each distinct hreflang value counts once for the domain and once more per page.
-    """
+def _marks() -> Column:
+    """Trusted (code, source, evidence) marks of a page; each distinct hreflang value once."""
     def mark(code: Column, source: str, evidence: Column) -> Column:
         return F.struct(code.alias("code"), F.lit(source).alias("source"), evidence.alias("evidence"))
 
@@ -64,15 +64,31 @@ def trusted_evidence(pages: DataFrame, discovered: DataFrame, cfg: EngineConfig
             lambda h: mark(urls.scored_code(h), "hreflang", F.concat(F.lit("hreflang="), h)),
         ),
     )
-    per_page = (
-        pages.select("domain", "seq", F.explode(F.filter(marks, lambda m: m["code"].isNotNull())).alias("m"))
-        .groupBy("domain", "m.code", "m.source", "m.evidence")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
-    )
+    return F.filter(marks, lambda m: m["code"].isNotNull())
+
+
+def page_marks(pages: DataFrame) -> DataFrame:
+    """Marks of the pages, pre-aggregated to (domain, code, source, evidence): their number and the first page with one."""
+    each = pages.select("domain", "seq", F.explode(_marks()).alias("m"))
+    return each.groupBy("domain", "m.code", "m.source", "m.evidence").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
+def trusted_evidence(pages: DataFrame, discovered: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Trusted points pre-aggregated to (domain, code, source, evidence)."""
+    return trusted_points(page_marks(pages), discovered, cfg)
+
+
+def trusted_points(marks: DataFrame, discovered: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Trusted points of the marks of pages and of discovered URLs.
+
+    ``n`` counts the single pieces of evidence and ``first_seq`` is the first page that gave one; 0 means
+    before any page. Each distinct hreflang value counts once for the domain and once more per page.
+    """
     # the domain-level set holds each of these values once more, ahead of all pages
     is_hreflang = F.col("source") == "hreflang"
-    per_page = per_page.withColumn("n", F.col("n") + is_hreflang.cast("long")).withColumn(
-        "first_seq", F.when(is_hreflang, F.lit(0).cast("long")).otherwise(F.col("first_seq"))
+    per_page = marks.select(
+        "domain", "code", "source", "evidence", (F.col("n") + is_hreflang.cast("long")).alias("n"),
+        F.when(is_hreflang, F.lit(0).cast("long")).otherwise(F.col("first_seq")).alias("first_seq"),
     )
     by_url = (
         discovered.where(F.col("code").isNotNull())
@@ -97,20 +113,72 @@ def trusted_evidence(pages: DataFrame, discovered: DataFrame, cfg: EngineConfig
     )
 
 
+def _conflict() -> Column:
+    """Does the text of a page say another language than its markup and its URL?"""
+    text = F.col("text_code")
+    return ~text.eqNullSafe(F.col("html_code")) & ~text.eqNullSafe(F.col("url_code"))
+
+
 def supplemental_gate(pages: DataFrame, trusted: DataFrame) -> DataFrame:
     """Pages with a text language, and whether its code was trusted by the time of the page."""
-    first = trusted.groupBy("domain", "code").agg(F.min("first_seq").alias("first_seq"))
     texts = pages.where(F.col("text_code").isNotNull()).select(
-        "domain", "seq", "page_url", F.col("text_code").alias("code"),
-        (~F.col("text_code").eqNullSafe(F.col("html_code")) & ~F.col("text_code").eqNullSafe(F.col("url_code"))).alias(
-            "conflict"
-        ),
-    )
+        "domain", "seq", "page_url", F.col("text_code").alias("code"), _conflict().alias("conflict"))
+    return gated_texts(texts, trusted)
+
+
+def gated_texts(texts: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``texts`` (domain, seq, page_url, code, conflict) with ``counts``: was the code trusted by then?"""
+    first = trusted.groupBy("domain", "code").agg(F.min("first_seq").alias("first_seq"))
     # one row per domain and code on the right, so Spark may split a hot domain on the left
     joined = texts.join(first, ["domain", "code"], "left")
     return joined.withColumn("counts", F.coalesce(F.col("first_seq") <= F.col("seq"), F.lit(False))).drop("first_seq")
 
 
+_FACT = ["domain", "kind", "code", "source", "evidence", "url", "at", "conflict"]
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """What the report needs of the pages, in one pass: marks, URLs they name, texts that speak, and the domain itself.
+
+    Facts of several batches merge by :func:`merged_facts`, in any order.
+    """
+    given = {"code": "string", "source": "string", "evidence": "string", "url": "string", "at": "long", "conflict": "boolean"}
+
+    def fact(kind: str, **values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), *[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in given.items()])
+
+    none = F.array().cast("array<string>")
+    spoken = F.when(
+        F.col("text_code").isNotNull(), F.array(fact("text", code=F.col("text_code"), url=F.col("page_url"), at=F.col("seq"), conflict=_conflict())))
+    facts = F.concat(
+        F.array(fact("page")),
+        F.transform(_marks(), lambda m: fact("mark", code=m["code"], source=m["source"], evidence=m["evidence"])),
+        F.transform(F.coalesce(page_targets(), none), lambda u: fact("url", url=u)),
+        F.coalesce(spoken, F.array().cast(f"array<struct<kind: string, {', '.join(f'{c}: {t}' for c, t in given.items())}>>")),
+    )
+    each = pages.select("domain", "seq", F.explode(facts).alias("f")).select("domain", "seq", "f.*")
+    return each.groupBy(*_FACT).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
+def merged_facts(facts: DataFrame) -> DataFrame:
+    return facts.groupBy(*_FACT).agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"), F.max("batch").alias("batch"))
+
+
+def report_of_facts(facts: DataFrame, known: Discovery | None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Report of merged facts, and of the URLs known ahead of all pages."""
+    facts = stage(facts, "scored-facts")
+    kind = lambda k: facts.where(F.col("kind") == k)
+    found = kind("url").select("domain", "url")
+    domains = kind("page").select("domain")
+    if known is not None:
+        found, domains = found.unionByName(known.urls), domains.unionByName(known.starts.select("domain"))
+    discovered = found.distinct().withColumn("code", urls.scored_url_code(F.col("url")))
+    trusted = stage(trusted_points(kind("mark"), discovered, cfg), "trusted")
+    gate = gated_texts(kind("text").select("domain", F.col("at").alias("seq"), F.col("url").alias("page_url"), "code", "conflict"), trusted)
+    scores = language_scores(evidence_points(trusted, gate, cfg))
+    return language_report(language_findings(scores, cfg), warnings(gate), domains.distinct())
+
+
 def evidence_points(trusted: DataFrame, gate: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Trusted points plus those of text that agrees with trusted evidence."""
     text = (
@@ -193,8 +261,10 @@ def warnings(gate: DataFrame) -> DataFrame:
     )
 
 
-def discovery_counts(pages: DataFrame, discovered: DataFrame, sitemaps: DataFrame | None = None) -> DataFrame:
-    """Seven counts per domain from distinct (domain, kind, value) rows."""
+def discovery_counts(
+    pages: DataFrame, discovered: DataFrame, errors: DataFrame, sitemaps: DataFrame | None = None
+) -> DataFrame:
+    """Seven counts per domain: distinct values, and numbers of pages and of failures of any kind."""
     none = F.array().cast("array<string>")
     items = pages.select(
         "domain",
@@ -204,25 +274,16 @@ def discovery_counts(pages: DataFrame, discovered: DataFrame, sitemaps: DataFram
     paths = candidate_paths(discovered).select(
         "domain", F.lit("candidate_language_paths").alias("kind"), F.col("path").alias("value")
     )
-    distinct = items.unionByName(hosts).distinct().unionByName(paths)
+    distinct = items.unionByName(hosts).distinct().unionByName(paths).select("domain", "kind")
+    plain = discovered.select("domain", F.lit("urls").alias("kind"))
+    plain = plain.unionByName(pages.select("domain", F.lit("pages").alias("kind")))
+    plain = plain.unionByName(errors.select("domain", F.lit("fetch_errors").alias("kind")))
     if sitemaps is not None:
-        distinct = distinct.unionByName(
-            sitemaps.select("domain", F.lit("sitemaps").alias("kind"), F.col("url").alias("value")).distinct()
-        )
-    per_kind = distinct.groupBy("domain", "kind").agg(F.count(F.lit(1)).alias("n"))
-    found = discovered.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("urls"))
-    plain = pages.groupBy("domain").agg(
-        F.count(F.lit(1)).alias("pages"), F.count("fetch_error").alias("fetch_errors")
-    )
-    plain = plain.unpivot("domain", ["pages", "fetch_errors"], "kind", "n")
+        plain = plain.unionByName(sitemaps.select("domain", F.lit("sitemaps").alias("kind")))
     kinds = [
         "subdomains", "sitemaps", "urls", "hreflang_targets", "candidate_language_paths", "pages", "fetch_errors",
     ]
-    return (
-        per_kind.unionByName(found).unionByName(plain)
-        .groupBy("domain")
-        .agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds])
-    )
+    return distinct.unionByName(plain).groupBy("domain").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
 
 
 def language_report(findings: DataFrame, warning_rows: DataFrame, domains: DataFrame) -> DataFrame:

@@ -61,6 +61,24 @@ def site_facts(pages: DataFrame) -> DataFrame:
     )
 
 
+def merged_facts(facts: DataFrame) -> DataFrame:
+    """Facts of several batches as those of one."""
+    return facts.groupBy("site", "code", "strategy").agg(
+        F.sum("marks").alias("marks"), F.bool_or("has_error").alias("has_error"), F.bool_or("has_hreflang").alias("has_hreflang"),
+        F.min_by("first_status", "status_seq").alias("first_status"), F.min("status_seq").alias("status_seq"),
+        F.min_by("first_spa", "spa_seq").alias("first_spa"), F.min("spa_seq").alias("spa_seq"), F.max("batch").alias("batch"))
+
+
+def visited_pages(pages: DataFrame, visits: DataFrame) -> DataFrame:
+    """The pages of a crawl as those of its domain: ``visits`` (domain, rank, url), in the order of the visits.
+
+    ``pages`` are those of the site profile; of several fetches of a URL the first counts.
+    """
+    first = pages.groupBy(F.col("requested_url").alias("url")).agg(F.min("seq").alias("seq"))
+    ranked = visits.select("domain", "rank", "url").join(first, "url").select("domain", "rank", "seq")
+    return pages.join(ranked, "seq").withColumn("site", F.col("domain")).withColumn("seq", F.col("rank").cast("long")).drop("domain", "rank")
+
+
 def site_evidence(facts: DataFrame) -> DataFrame:
     """Distinct (site, code, strategy) with the number of marks behind it."""
     return facts.where(F.col("strategy") != "page").select("site", "code", "strategy", "marks")

@@ -21,20 +21,6 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str], salts: int = DEFAULT.join_salts,
-    how: str = "left",
-) -> DataFrame:
-    """Join a side with hot keys to one with few rows per key.
-
-    ``big`` is spread over ``salts`` sub-keys by the columns of ``spread_by``, ``small`` is repeated
-    for each. ``how`` is any join that keeps the left side: inner, left, left_semi, left_anti.
-    """
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(s, [*on, "_salt"], how).drop("_salt")
-
-
 def small_enough(df: DataFrame, max_rows: int = DEFAULT.max_broadcast_rows) -> bool:
     """Does ``df`` have at most ``max_rows`` rows? Reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows

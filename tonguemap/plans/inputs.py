@@ -7,10 +7,24 @@ everywhere; ``{pages}`` and ``{events}`` are replaced by the relation to read.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tonguemap.config import DEFAULT
+
+# Some hosts move under suffixes of two labels: one that a rule names, one that a wildcard does, and an exception.
+SUFFIXES = ("co.uk", "*.ck", "!www.ck")
+CFG = replace(DEFAULT, suffixes=SUFFIXES)
+URL = """CASE WHEN url LIKE '%//blog.%.example.net/%' THEN replace(url, '.example.net/', '.example.co.uk/')
+  WHEN url LIKE '%//m.%.example.org/%' THEN replace(url, '.example.org/', '.example.ck/')
+  WHEN url LIKE '%//www.%.example.org/%' THEN replace(url, '.example.org/', '.www.ck/') ELSE url END"""
+
 _FAILED = "(url LIKE '%cheap-pills%' OR url LIKE '%casino-win%')"
-_DOMAIN = "regexp_extract(url, '^https?://(?:[^/]*[.])?([^./]+[.][^./]+)/', 1)"
+_DOMAIN = """CASE WHEN url LIKE '%.co.uk/%' THEN regexp_extract(url, '^https?://(?:[^/]*[.])?([^./]+[.]co[.]uk)/', 1)
+  WHEN url LIKE '%.www.ck/%' THEN 'www.ck'
+  WHEN url LIKE '%.ck/%' THEN regexp_extract(url, '^https?://(?:[^/]*[.])?([^./]+[.][^./]+[.]ck)/', 1)
+  ELSE regexp_extract(url, '^https?://(?:[^/]*[.])?([^./]+[.][^./]+)/', 1) END"""
 _HOST = "regexp_extract(url, '^https?://([^/]+)/', 1)"
 
 # A crawl snapshot. Covers failed fetches, error pages, redirects, pages that are HTML by type, by content or
@@ -105,6 +119,23 @@ SELECT domain, page_id AS seq, concat('https://', domain, '/sm/', CAST(page_id A
 FROM (SELECT page_id, url, {_DOMAIN} AS domain FROM {{pages}}) AS p
 """
 
+# Robots fetches of every host: those of the registered domains went well, others answer with an error page, or not.
+ROBOTS_FETCHES = f"""
+SELECT concat('https://', domain, '/robots.txt') AS requested_url, 200 AS status_code, body, NULL AS error
+FROM ({ROBOTS.strip()}) AS r
+UNION ALL
+SELECT concat('https://', host, '/robots.txt'), CASE WHEN host LIKE 'm.%' THEN NULL ELSE 404 END,
+  CASE WHEN host LIKE 'm.%' THEN NULL ELSE 'Sitemap: https://example.com/no.xml' END, CASE WHEN host LIKE 'm.%' THEN 'timeout' END
+FROM (SELECT DISTINCT {_HOST} AS host FROM {{pages}}) AS h
+"""
+
+# Sitemap fetches, some of which never answered.
+SITEMAP_FETCHES = f"""
+SELECT url AS requested_url, CASE WHEN seq_url LIKE '%cheap-pills%' OR seq_url LIKE '%//m.%page=2%' THEN NULL ELSE body END AS body,
+  CASE WHEN seq_url LIKE '%cheap-pills%' THEN 'timeout' WHEN seq_url LIKE '%//m.%page=2%' THEN 'too_many_redirects' END AS error
+FROM ({SITEMAPS.strip()}) AS s JOIN (SELECT page_id AS id, url AS seq_url FROM {{pages}}) AS p ON p.id = s.seq
+"""
+
 # Link graph between landed pages: three children and one parent per page, plus entries at the start URLs.
 EDGES = f"""
 SELECT s.url AS src, e.pos, d.url AS dst
@@ -160,7 +191,10 @@ FROM {events}
 def derive(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     """Run one of the SELECTs above over the tables of a folder."""
     name = "events" if "{events}" in sql else "pages"
-    return spark.sql(sql.format(**{name: "{given}"}), given=table(spark, sf, name))
+    given = table(spark, sf, name)
+    if name == "pages":
+        given = given.selectExpr("page_id", f"{URL} AS url", "html")
+    return spark.sql(sql.format(**{name: "{given}"}), given=given)
 
 
 # session setting that asks for :func:`spread`

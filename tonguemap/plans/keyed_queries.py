@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tonguemap.config import DEFAULT
 from tonguemap.operators import keyed
+from tonguemap.operators.stage import stage
 from tonguemap.plans import inputs
 from tonguemap.plans.inputs import derive
 from tonguemap.plans.registry import query
+from tonguemap.plans.scored_queries import discovered
 from tonguemap.streaming import jobs
 
 # a limit that binds on the given events
@@ -71,17 +73,43 @@ def job_progress(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def job_states(spark: SparkSession, sf: str) -> DataFrame:
     """Users as jobs of as many steps as they have purchases, or one more; some fail and some have not begun."""
-    events = inputs.table(spark, sf, "events")
+    return keyed.job_states(*_jobs(inputs.table(spark, sf, "events")))
+
+
+def _jobs(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Submissions and finished steps."""
     user = F.col("user_id").alias("job_id")
     submitted = events.groupBy(user).agg(
         (F.count_if(F.col("event_type").isin("purchase")) + F.max(F.col("user_id") % 2)).alias("total"),
-        F.bool_or(F.col("user_id") % 5 == 0).alias("failed"),
+        F.bool_or(F.col("user_id") % 5 == 0).alias("failed"), F.min(F.col("ts").cast("timestamp")).alias("ts"),
     )
-    return keyed.job_states(submitted, events.where("event_type = 'purchase' AND user_id % 4 <> 3").select(user))
+    steps = events.where("event_type = 'purchase' AND user_id % 4 <> 3").select(user, F.col("ts").cast("timestamp").alias("ts"))
+    return submitted, steps
+
+
+@query
+def job_states_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from two streams, of submissions and of steps."""
+    streams = []
+    for df, name in zip(_jobs(inputs.table(spark, sf, "events")), ("submissions", "steps")):
+        landed = stage(df, name)
+        streams.append(jobs.read_stream(spark, landed.inputFiles()[0].rsplit("/", 1)[0], landed.schema))
+    return jobs.job_states_stream(*streams)
 
 
 @query
 def site_report_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = inputs.table(spark, sf, "pages").schema
     stream = jobs.read_stream(spark, sf, schema, pattern="pages.parquet")
-    return jobs.site_report_stream(spark.sql(inputs.CRAWL.format(pages="{given}"), given=stream))
+    given = stream.selectExpr("page_id", f"{inputs.URL} AS url", "html")
+    return jobs.site_report_stream(spark.sql(inputs.CRAWL.format(pages="{given}"), given=given))
+
+
+@query
+def language_report_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored report over arriving fetches, with what discovery found before."""
+    schema = inputs.table(spark, sf, "pages").schema
+    given = jobs.read_stream(spark, sf, schema, pattern="pages.parquet").selectExpr("page_id", f"{inputs.URL} AS url", "html")
+    crawl = spark.sql(inputs.CRAWL.format(pages="{given}"), given=given)
+    out = jobs.language_report_stream(crawl, discovered(spark, sf), inputs.CFG)
+    return out.withColumn("languages", F.array_join("languages", "; "))

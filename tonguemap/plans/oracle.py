@@ -11,7 +11,7 @@ from tonguemap.plans import inputs
 
 # name -> (SELECT text, names it reads)
 CTES: dict[str, tuple[str, list[str]]] = {}
-SQL: dict[str, str] = {}
+CHECKS: dict[str, tuple[str, list[str]]] = {}
 
 
 def cte(name: str, sql: str, *needs: str) -> None:
@@ -19,7 +19,15 @@ def cte(name: str, sql: str, *needs: str) -> None:
 
 
 def check(name: str, sql: str, *needs: str) -> None:
-    """Register the SQL of one query with the expressions it reads."""
+    """Register the SQL of one query with the expressions it reads, which may be stated further below."""
+    CHECKS[name] = (sql.strip(), list(needs))
+
+
+def all_sql() -> dict[str, str]:
+    return {name: chained(*parts) for name, parts in CHECKS.items()}
+
+
+def chained(sql: str, needs: list[str]) -> str:
     order: list[str] = []
 
     def add(n: str) -> None:
@@ -31,24 +39,21 @@ def check(name: str, sql: str, *needs: str) -> None:
     for n in needs:
         add(n)
     chain = ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in order)
-    SQL[name] = (f"WITH {chain}\n" if order else "") + sql.strip()
-
-
-def all_sql() -> dict[str, str]:
-    return dict(SQL)
+    return (f"WITH {chain}\n" if order else "") + sql
 
 
 def given(sql: str) -> str:
-    return sql.format(pages="pages", events="events")
+    return sql.format(pages="given_pages", events="events")
 
 
 def values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
-for _n in ("CRAWL", "FAILURES", "DOMAIN_LINES", "DOMAIN_CELLS", "ROBOTS", "SITEMAPS", "EDGES", "START_EDGES",
-           "START_FETCHES", "PROBE_LOG", "JOBS", "STATUS_VALUES", "SUBMISSIONS"):
-    cte(_n.lower(), given(getattr(inputs, _n)))
+cte("given_pages", f"SELECT page_id, {inputs.URL} AS url, html FROM pages")
+for _n in ("CRAWL", "FAILURES", "DOMAIN_LINES", "DOMAIN_CELLS", "ROBOTS", "ROBOTS_FETCHES", "SITEMAPS", "SITEMAP_FETCHES", "EDGES",
+           "START_EDGES", "START_FETCHES", "PROBE_LOG", "JOBS", "STATUS_VALUES", "SUBMISSIONS"):
+    cte(_n.lower(), given(getattr(inputs, _n)), "given_pages")
 
 # ---------------------------------------------------------------- expressions
 ALT24 = "|".join(dims.SCORED_CODES)
@@ -63,7 +68,12 @@ def host(u):
 
 
 def domain(u):
-    return f"regexp_replace({host(u)}, '^(?:.*[.])?([^.]+[.][^.]+)$', '\\1')"
+    """Registered domain under the suffixes co.uk, *.ck and !www.ck."""
+    h = host(u)
+    return f"""CASE WHEN {h} LIKE '%.co.uk' THEN regexp_extract({h}, '([^.]+[.]co[.]uk)$', 1)
+      WHEN {h} = 'www.ck' OR {h} LIKE '%.www.ck' THEN 'www.ck'
+      WHEN {h} LIKE '%.%.ck' THEN regexp_extract({h}, '([^.]+[.][^.]+[.]ck)$', 1)
+      ELSE regexp_replace({h}, '^(?:.*[.])?([^.]+[.][^.]+)$', '\\1') END"""
 
 
 def path(u):
@@ -268,7 +278,7 @@ FROM status_values""", "status_values")
 # ---------------------------------------------------------------- probing, on the pages as given
 cte("raw_page", f"""
 SELECT page_id AS seq, {host('url')} AS site, url AS requested_url,
-  regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g') AS mk FROM pages""")
+  regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g') AS mk FROM given_pages""", "given_pages")
 cte("raw_link", f"""
 SELECT site, {host('u')} AS host, lower({path('u')}) AS path FROM (
   SELECT site, {resolve('requested_url', 'href')} AS u FROM (
@@ -319,10 +329,10 @@ SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<',
 FROM documents""")
 check("domain_slug", """
 SELECT page_id, regexp_replace(regexp_replace(trim(url), 'https?://', '', 'g'), '[/: ]', '_', 'g') AS slug FROM pages""")
-_SITES = f"(SELECT DISTINCT {host('url')} AS domain FROM pages)"
+_SITES = f"(SELECT DISTINCT {host('url')} AS domain FROM given_pages)"
 check("batch_manifest", f"""
-SELECT domain, replace(domain, ':', '_') || e AS file FROM {_SITES}, (VALUES ('.discovery.json'), ('.language_debug.json')) t(e)""")
-check("batch_manifest_totals", f"SELECT count(*) AS domain_count, 2 * count(*) AS file_count FROM {_SITES}")
+SELECT domain, replace(domain, ':', '_') || e AS file FROM {_SITES}, (VALUES ('.discovery.json'), ('.language_debug.json')) t(e)""", "given_pages")
+check("batch_manifest_totals", f"SELECT count(*) AS domain_count, 2 * count(*) AS file_count FROM {_SITES}", "given_pages")
 check("summary_alias_scan", """
 SELECT domain, CASE WHEN language_count = 0 AND (domain LIKE 'm.%' OR domain LIKE 'www.%') THEN '' ELSE CAST(language_count AS VARCHAR) END AS count,
   languages, CASE WHEN domain LIKE 'm.%' THEN 'No' ELSE review_recommended END AS review FROM report""", "report")
@@ -346,6 +356,29 @@ check("bfs_site", " UNION ALL ".join(
     *[f"v{r}" for r in range(1, 6)], "follow")
 
 
+cte("first_fetch", "SELECT requested_url, min(seq) AS seq FROM page GROUP BY requested_url", "page")
+cte("site_visit", " UNION ALL ".join(f"SELECT domain, {r} AS rank, url FROM v{r}" for r in range(1, 6)), *[f"v{r}" for r in range(1, 6)])
+cte("seen", "SELECT v.domain AS site, v.rank, f.seq FROM site_visit v JOIN first_fetch f ON f.requested_url = v.url", "site_visit", "first_fetch")
+cte("seen_link", "SELECT s.site, w.host, w.path FROM web w JOIN seen s ON s.seq = w.seq WHERE contains(w.host, s.site)", "web", "seen")
+cte("seen_mark", f"""
+SELECT s.site, lower(string_split(l.html_lang, '-')[1]) AS code FROM lang l JOIN seen s ON s.seq = l.seq WHERE l.html_lang <> ''
+UNION ALL SELECT s.site, lower(string_split(a.hreflang, '-')[1]) FROM alternate a JOIN seen s ON s.seq = a.seq
+UNION ALL SELECT site, regexp_extract(path, '^/([a-z][a-z])(?:[-_][a-z][a-z])?(?:/|$)', 1) FROM seen_link
+  WHERE regexp_matches(path, '^/({ALT19})(?:[-_][a-z][a-z])?(?:/|$)')
+UNION ALL SELECT site, site_names.cd FROM seen_link, {SITE_NAMES_T} WHERE contains(path, '/' || site_names.nm) OR contains(path, '-' || site_names.nm)
+UNION ALL SELECT site, string_split(host, '.')[1] FROM seen_link WHERE len(string_split(host, '.')) > 2 AND regexp_matches(host, '^({ALT19})[.]')""",
+    "lang", "alternate", "seen", "seen_link")
+cte("seen_status", f"""
+SELECT site, CASE WHEN has_error THEN 'Error' ELSE {status_text('coalesce(first_status, 200)')} END AS status, has_error, spa
+FROM (SELECT s.site, bool_or(p.error IS NOT NULL) AS has_error, arg_min(p.status_code, s.rank) FILTER (WHERE p.status_code IS NOT NULL) AS first_status,
+        arg_min(x.spa, s.rank) AS spa FROM seen s JOIN page p ON p.seq = s.seq JOIN spa_page x ON x.seq = s.seq GROUP BY s.site)""", "seen", "page", "spa_page")
+check("site_report_crawled", report_of("seen_status", "seen_mark"), "seen_status", "seen_mark")
+check("frontier_links", f"""
+SELECT requested_url AS url, row_number() OVER (PARTITION BY w.seq ORDER BY w.pos) - 1 AS pos, w.url AS target
+FROM web w JOIN first_fetch f ON f.seq = w.seq WHERE regexp_matches(path, '^/[a-z][a-z]([-_][a-z][a-z])?(/|$)|{NAMES}')
+  OR (len(string_split(host, '.')) > 2 AND list_contains(string_split('{ALT19}', '|'), string_split(host, '.')[1]))""", "web", "first_fetch")
+
+
 # ---------------------------------------------------------------- scored profile
 def canonical_links(name, source, href, base):
     """Canonical same-domain targets of tags, first of equals kept."""
@@ -396,28 +429,19 @@ FROM sp JOIN sp_lang l USING (seq) JOIN page_text t USING (seq)""", "sp", "sp_la
 cte("target", """
 SELECT seq, domain, url, 0 AS part, pos FROM alt_url
 UNION ALL SELECT seq, domain, url, 1, pos FROM inner_link""", "alt_url", "inner_link")
-cte("found_url", f"""
-SELECT domain, url, {scored_url('url')} AS code FROM (
-  SELECT domain, url FROM target UNION SELECT domain, 'https://' || domain || '/' FROM sp)""", "target", "sp")
-cte("lang_path", """
-SELECT DISTINCT domain, '/' || x || CASE WHEN y = '' THEN '' ELSE '-' || y END || '/' AS path, x FROM (
-  SELECT domain, regexp_extract(p, '^/([a-z][a-z])(?:[-_]([a-z][a-z]))?(?:/|$)', 1) AS x,
-    regexp_extract(p, '^/([a-z][a-z])(?:[-_]([a-z][a-z]))?(?:/|$)', 2) AS y
-  FROM (SELECT domain, lower(regexp_extract(url, '^https?://[^/]*(/.*)$', 1)) AS p FROM found_url)) WHERE x <> ''""", "found_url")
 
 
-def scored_chain(p, pages):
+def scored_chain(p, pages, target="target", hreflang="hreflang"):
     """Evidence to report over the pages of the expression ``pages``; names start with ``p``."""
     cte(f"{p}found", f"""
-SELECT DISTINCT domain, url, {scored_url('url')} AS code FROM (
-  SELECT t.domain, t.url FROM target t WHERE t.seq IN (SELECT seq FROM {pages})
-  UNION SELECT domain, 'https://' || domain || '/' FROM {pages})""", "target", pages)
+SELECT domain, url, {scored_url('url')} AS code FROM (
+  SELECT t.domain, t.url FROM {target} t WHERE t.seq IN (SELECT seq FROM {pages}) UNION SELECT domain, url FROM known)""", target, pages, "known")
     cte(f"{p}path", f"""
 SELECT DISTINCT domain, '/' || x || CASE WHEN y = '' THEN '' ELSE '-' || y END || '/' AS path, x FROM (
   SELECT domain, regexp_extract(p, '^/([a-z][a-z])(?:[-_]([a-z][a-z]))?(?:/|$)', 1) AS x,
     regexp_extract(p, '^/([a-z][a-z])(?:[-_]([a-z][a-z]))?(?:/|$)', 2) AS y
   FROM (SELECT domain, lower(regexp_extract(url, '^https?://[^/]*(/.*)$', 1)) AS p FROM {p}found)) WHERE x <> ''""", f"{p}found")
-    cte(f"{p}hl", f"SELECT * FROM hreflang WHERE seq IN (SELECT seq FROM {pages})", "hreflang", pages)
+    cte(f"{p}hl", f"SELECT * FROM {hreflang} WHERE seq IN (SELECT seq FROM {pages})", hreflang, pages)
     # one row per single piece of trusted evidence
     cte(f"{p}piece", f"""
 SELECT domain, {scored_code('hreflang')} AS code, 'hreflang' AS source, 'hreflang=' || hreflang AS evidence, 45 AS points, 0 AS seq, NULL AS url
@@ -455,16 +479,17 @@ SELECT domain, seq, 'text_signal_conflict' AS type, {name24('code')} AS language
 UNION ALL SELECT domain, seq, 'suppressed_text_only_language', {name24('code')}, code, page_url, '{dims.SUPPRESSED_MESSAGE}', 1 FROM {p}gate WHERE NOT counts""", f"{p}gate")
     cte(f"{p}report", f"""
 SELECT d.domain, coalesce(n, 0) AS language_count, coalesce(labels, '') AS languages, coalesce(w, 0) AS warning_count
-FROM (SELECT DISTINCT domain FROM {pages}) d
+FROM (SELECT domain FROM {pages} UNION SELECT domain FROM start) d
 LEFT JOIN (SELECT domain, count(*) AS n,
     string_agg(name || ' (' || confidence_label || ', ' || confidence_percent || '%)', '; ' ORDER BY confidence_percent DESC, name) AS labels
   FROM {p}finding GROUP BY domain) f ON f.domain = d.domain
-LEFT JOIN (SELECT domain, count(*) AS w FROM {p}warning GROUP BY domain) x ON x.domain = d.domain""", f"{p}finding", f"{p}warning", pages)
+LEFT JOIN (SELECT domain, count(*) AS w FROM {p}warning GROUP BY domain) x ON x.domain = d.domain""", f"{p}finding", f"{p}warning", pages, "start")
 
 
 scored_chain("s_", "codes")
 
 check("language_report", "SELECT * FROM s_report", "s_report")
+check("language_report_stream", "SELECT * FROM s_report", "s_report")
 check("evidence_points", """
 SELECT domain, code, source, evidence, count(*) AS n, CAST(sum(points) AS BIGINT) AS points FROM s_every GROUP BY ALL""", "s_every")
 check("language_scores", "SELECT * FROM s_score", "s_score")
@@ -474,25 +499,33 @@ check("text_conflicts", "SELECT domain, seq, code FROM s_gate WHERE conflict", "
 check("warnings", "SELECT domain, seq, type, language, code, url, message FROM s_warning", "s_warning")
 check("finding_sources", "SELECT domain, code, sources FROM s_source", "s_source")
 check("finding_sample_urls", "SELECT domain, code, url, rank FROM s_sample", "s_sample")
-_COUNTED = f"""
+cte("failed", """
+SELECT domain, 'page' AS kind, url, error FROM sp WHERE error IS NOT NULL
+UNION ALL SELECT m.domain, 'sitemap', f.requested_url, f.error FROM read_map m JOIN sitemap_fetches f ON f.requested_url = m.url WHERE f.error IS NOT NULL
+UNION ALL SELECT m.domain, 'sitemap_parse', d.url, 'ParseError' FROM read_map m JOIN doc d ON d.url = m.url JOIN sitemap_fetches f ON f.requested_url = m.url
+  WHERE d.bad AND f.error IS NULL
+UNION ALL SELECT s.domain, 'robots', s.robots_url, r.error FROM start s JOIN robots_fetches r ON r.requested_url = s.robots_url WHERE r.error IS NOT NULL""",
+    "sp", "read_map", "sitemap_fetches", "doc", "start", "robots_fetches")
+check("fetch_error_log", "SELECT *, kind || ': ' || url || ': ' || error AS line FROM failed", "failed")
+cte("counted", f"""
 SELECT d.domain,
-  (SELECT count(DISTINCT {host('f.url')}) FROM found_url f WHERE f.domain = d.domain) AS subdomains,
-  (SELECT count(DISTINCT s.url) FROM sitemaps s WHERE s.domain = d.domain) AS sitemaps,
-  (SELECT count(*) FROM found_url f WHERE f.domain = d.domain) AS urls,
+  (SELECT count(DISTINCT {host('f.url')}) FROM s_found f WHERE f.domain = d.domain) AS subdomains,
+  (SELECT count(*) FROM read_map s WHERE s.domain = d.domain) AS sitemaps,
+  (SELECT count(*) FROM s_found f WHERE f.domain = d.domain) AS urls,
   (SELECT count(DISTINCT h.hreflang) FROM hreflang h WHERE h.domain = d.domain) AS hreflang_targets,
-  (SELECT count(*) FROM lang_path p WHERE p.domain = d.domain) AS candidate_language_paths,
+  (SELECT count(*) FROM s_path p WHERE p.domain = d.domain) AS candidate_language_paths,
   (SELECT count(*) FROM sp WHERE sp.domain = d.domain) AS pages,
-  (SELECT count(sp.fetch_error) FROM sp WHERE sp.domain = d.domain) AS fetch_errors
-FROM (SELECT DISTINCT domain FROM sp) d"""
-check("discovery_counts", _COUNTED, "found_url", "hreflang", "lang_path", "sp", "sitemaps")
-cte("counted", _COUNTED, "found_url", "hreflang", "lang_path", "sp", "sitemaps")
+  (SELECT count(*) FROM failed e WHERE e.domain = d.domain) AS fetch_errors
+FROM (SELECT domain FROM sp UNION SELECT domain FROM start) d""", "s_found", "hreflang", "s_path", "sp", "start", "read_map", "failed")
+check("discovery_counts", "SELECT * FROM counted", "counted")
 check("discovery_csv", """
 SELECT domain, domain AS registered_domain, subdomains AS subdomain_count, urls AS url_count, sitemaps AS sitemap_count,
-  coalesce((SELECT string_agg(p.path, ';' ORDER BY p.path) FROM lang_path p WHERE p.domain = c.domain), '') AS candidate_language_paths,
-  coalesce((SELECT string_agg(DISTINCT h.hreflang, ';' ORDER BY h.hreflang) FROM hreflang h WHERE h.domain = c.domain), '') AS hreflang_targets
-FROM counted c""", "counted", "lang_path", "hreflang")
-check("record_urls", f"SELECT domain, url, {host('url')} AS host, code FROM found_url", "found_url")
-check("candidate_paths", "SELECT domain, path FROM lang_path", "lang_path")
+  coalesce((SELECT string_agg(p.path, ';' ORDER BY p.path) FROM s_path p WHERE p.domain = c.domain), '') AS candidate_language_paths,
+  hreflang_targets
+FROM counted c""", "counted", "s_path")
+check("hreflang_targets", "SELECT DISTINCT domain, hreflang FROM hreflang", "hreflang")
+check("record_urls", f"SELECT domain, url, {host('url')} AS host, code FROM s_found", "s_found")
+check("candidate_paths", "SELECT domain, path FROM s_path", "s_path")
 
 
 def summary(prefix, review):
@@ -512,8 +545,9 @@ check("summary_from_json", summary("s_", _WARNED), "s_report")
 check("summary_from_csv", summary("s_", _WARNED), "s_report")
 check("report_json_roundtrip", """
 SELECT f.domain, (SELECT count(*) FROM s_warning w WHERE w.domain = f.domain) AS warnings, f.code, f.name, f.confidence_percent, f.confidence_label,
-  s.sources, (SELECT string_agg(x.url, '; ' ORDER BY x.url) FROM s_sample x WHERE x.domain = f.domain AND x.code = f.code) AS sample_urls
-FROM s_finding f JOIN s_source s USING (domain, code)""", "s_finding", "s_warning", "s_source", "s_sample")
+  s.sources, (SELECT string_agg(x.url, '; ' ORDER BY x.url) FROM s_sample x WHERE x.domain = f.domain AND x.code = f.code) AS sample_urls,
+  c.subdomains, c.sitemaps, c.urls, c.hreflang_targets, c.candidate_language_paths, c.pages, c.fetch_errors
+FROM s_finding f JOIN s_source s USING (domain, code) JOIN counted c ON c.domain = f.domain""", "s_finding", "s_warning", "s_source", "s_sample", "counted")
 check("language_report_csv", """
 SELECT r.domain, r.language_count, replace(r.languages, '; ', ';') AS languages,
   coalesce((SELECT '[' || string_agg(to_json({'code': f.code, 'confidence_label': f.confidence_label, 'confidence_percent': f.confidence_percent, 'name': f.name,
@@ -524,9 +558,9 @@ SELECT r.domain, r.language_count, replace(r.languages, '; ', ';') AS languages,
 FROM s_report r""", "s_report", "s_finding", "s_source", "s_sample", "s_warning")
 check("debug_snapshot", """
 SELECT domain, 'discovered_url' AS kind, r AS position, url AS value
-FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url) AS r FROM found_url) WHERE r <= 50
+FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url) AS r FROM s_found) WHERE r <= 50
 UNION ALL SELECT domain, 'page', r, page_url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS r FROM sp) WHERE r <= 25""",
-      "found_url", "sp")
+      "s_found", "sp")
 check("page_evidence_no_text", """
 SELECT sp.seq, sp.domain, sp.url, sp.final_url, CAST(sp.status_code AS BIGINT) AS status_code, l.html_lang,
   coalesce((SELECT string_agg(h.hreflang, ';' ORDER BY h.hreflang) FROM hreflang h WHERE h.seq = sp.seq), CASE WHEN sp.readable THEN '' END) AS hreflang_targets,
@@ -564,17 +598,15 @@ SELECT doc_id, h_en AS hits_en, h_es AS hits_es, h_fr AS hits_fr, h_de AS hits_d
 FROM (SELECT *, {with_hits('toks')} FROM (SELECT *, {words('text')} AS toks FROM documents))""")
 
 # ---------------------------------------------------------------- crawl expansion, one block per level
-cte("listed", f"SELECT DISTINCT domain, {canonical('requested_url')} AS url FROM page WHERE requested_url LIKE '%/'", "page")
 cte("seed", """
 SELECT domain, url, min(pos) AS pos FROM (
-  SELECT domain, 'https://' || domain || '/' AS url, 0 AS pos FROM robots
-  UNION ALL SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY url)
-  FROM (SELECT domain, url FROM listed UNION SELECT domain, 'https://' || domain || '/' FROM robots)
-  QUALIFY row_number() OVER (PARTITION BY domain ORDER BY url) <= 100) GROUP BY domain, url""", "listed", "robots")
+  SELECT domain, url, 0 AS pos FROM start
+  UNION ALL SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY url) FROM known
+  QUALIFY row_number() OVER (PARTITION BY domain ORDER BY url) <= 100) GROUP BY domain, url""", "start", "known")
 check("crawl_seeds", "SELECT domain, url, CAST(pos AS BIGINT) AS pos FROM seed", "seed")
 cte("edge", f"SELECT {canonical('src')} AS src, pos, {canonical('dst')} AS dst FROM edges", "edges")
 cte("c0", """
-SELECT domain, url, 0 AS depth, row_number() OVER (PARTITION BY domain ORDER BY pos) AS rank
+SELECT domain, url, 0 AS depth, row_number() OVER (PARTITION BY domain ORDER BY pos, url) AS rank
 FROM seed WHERE url IN (SELECT url FROM sp)""", "seed", "sp")
 cte("l0", "SELECT * FROM c0 WHERE rank <= 100", "c0")
 for _d in (1, 2):
@@ -587,6 +619,14 @@ FROM (SELECT l.domain, e.dst AS url, min(row(l.rank, e.pos)) AS k FROM l{_d - 1}
     cte(f"l{_d}", f"SELECT * FROM l{_d - 1} UNION ALL SELECT * FROM c{_d} WHERE rank <= 100", f"l{_d - 1}", f"c{_d}")
 check("bfs_scored", "SELECT domain, url, CAST(depth AS BIGINT) AS depth, rank FROM l2", "l2")
 
+# the report over the visited pages, in the order of the visits; a page is the first fetch of its URL
+cte("visit", """
+SELECT l.domain, l.rank, min(sp.seq) AS seq FROM l2 l JOIN sp ON sp.domain = l.domain AND sp.url = l.url GROUP BY l.domain, l.rank""", "l2", "sp")
+for _n, _of in (("v_codes", "codes"), ("v_target", "target"), ("v_hreflang", "hreflang")):
+    cte(_n, f"SELECT c.* REPLACE (v.rank * 1000000 + c.seq AS seq) FROM {_of} c JOIN visit v ON v.seq = c.seq", _of, "visit")
+scored_chain("v_", "v_codes", "v_target", "v_hreflang")
+check("language_report_crawled", "SELECT * FROM v_report", "v_report")
+
 # ---------------------------------------------------------------- sources
 _BARE_LINE = "regexp_replace(trim(value), '^,+|,+$', '', 'g')"
 check("domains_file_scan", f"""
@@ -619,16 +659,25 @@ SELECT seq, pos, line FROM (
   SELECT doc_id AS seq, unnest(range(len(l))) AS pos, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE line <> ''""")
 cte("robot_line", """
-SELECT domain, min(i) AS i, v FROM (
-  SELECT domain, unnest(range(len(l))) AS i, trim(regexp_replace(unnest(l), chr(13), '', 'g')) AS raw, trim(substr(raw, 9)) AS v
-  FROM (SELECT domain, string_split(body, chr(10)) AS l FROM robots)) WHERE starts_with(lower(raw), 'sitemap:') AND v <> '' GROUP BY domain, v""", "robots")
-check("robots_sitemaps", "SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY i) - 1 AS pos, v AS sitemap FROM robot_line", "robot_line")
+SELECT requested_url, min(i) AS i, v FROM (
+  SELECT requested_url, unnest(range(len(l))) AS i, trim(regexp_replace(unnest(l), chr(13), '', 'g')) AS raw, trim(substr(raw, 9)) AS v
+  FROM (SELECT requested_url, string_split(body, chr(10)) AS l FROM robots_fetches WHERE status_code = 200))
+WHERE starts_with(lower(raw), 'sitemap:') AND v <> '' GROUP BY requested_url, v""", "robots_fetches")
+check("robots_sitemaps", """
+SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY i) - 1 AS pos, v AS sitemap FROM robot_line JOIN robots ON requested_url = 'https://' || domain || '/robots.txt'""",
+      "robot_line", "robots")
+_NAMED = f"""SELECT trim(string_split({_BARE_LINE}, ',')[1]) AS name FROM domain_lines
+  WHERE {_BARE_LINE} <> '' AND NOT starts_with(lower({_BARE_LINE}), 'domain') UNION SELECT domain FROM robots"""
+_URL_OF = "CASE WHEN regexp_matches(name, '^https?://') THEN name ELSE 'https://' || name END"
+cte("start", f"""
+SELECT DISTINCT {domain('url')} AS domain, url, regexp_extract(url, '^https?://[^/]*') || '/robots.txt' AS robots_url
+FROM (SELECT {canonical('u')} AS url FROM (SELECT {_URL_OF} AS u FROM ({_NAMED}))) WHERE url IS NOT NULL""", "domain_lines", "robots")
 cte("root", f"""
-SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY i) - 1 AS pos, url FROM (
-  SELECT domain, i, {canonical('v')} AS url FROM robot_line
-  UNION ALL SELECT domain, 1000, 'https://' || domain || '/sitemap.xml' FROM robots
-  UNION ALL SELECT domain, 1001, 'https://' || domain || '/sitemap_index.xml' FROM robots)
-WHERE url IS NOT NULL AND {domain('url')} = domain""", "robot_line", "robots")
+SELECT domain, start, row_number() OVER (PARTITION BY start ORDER BY i) - 1 AS pos, url FROM (
+  SELECT s.domain, s.url AS start, i, {canonical('v')} AS url FROM robot_line JOIN start s ON s.robots_url = requested_url
+  UNION ALL SELECT domain, url, 1000, replace(robots_url, 'robots.txt', 'sitemap.xml') FROM start
+  UNION ALL SELECT domain, url, 1001, replace(robots_url, 'robots.txt', 'sitemap_index.xml') FROM start)
+WHERE url IS NOT NULL AND {domain('url')} = domain""", "robot_line", "start")
 check("sitemap_candidates", "SELECT * FROM root", "root")
 
 cte("doc", """
@@ -647,24 +696,33 @@ cte("kept", f"""
 SELECT doc, domain, is_index, i, {canonical('loc')} AS url FROM loc WHERE {domain('loc')} = domain""", "loc")
 check("filter_domain_urls", "SELECT domain, url, count(*) AS n FROM kept GROUP BY domain, url", "kept")
 # levels of the sitemap tree: identifiers grow sixfold per level, so few levels hold all
-cte("t0", "SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY pos) AS rank, 0 AS lvl FROM root", "root")
+cte("answered", "SELECT k.* FROM kept k JOIN sitemap_fetches f ON f.requested_url = k.doc WHERE f.error IS NULL", "kept", "sitemap_fetches")
+cte("t0", """
+SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY pos, url) AS rank, 0 AS lvl
+FROM (SELECT domain, url, min(pos) AS pos FROM root GROUP BY domain, url)""", "root")
 cte("m0", "SELECT * FROM t0 WHERE rank <= 50", "t0")
 _LEVELS = 8
 for _d in range(1, _LEVELS + 1):
     cte(f"t{_d}", f"""
 SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY k) + (SELECT count(*) FROM m{_d - 1} v WHERE v.domain = x.domain) AS rank, {_d} AS lvl
-FROM (SELECT m.domain, c.url, min(row(m.rank, c.i)) AS k FROM m{_d - 1} m JOIN kept c ON c.doc = m.url AND c.is_index AND {domain('c.url')} = m.domain
+FROM (SELECT m.domain, c.url, min(row(m.rank, c.i)) AS k FROM m{_d - 1} m JOIN answered c ON c.doc = m.url AND c.is_index AND {domain('c.url')} = m.domain
       WHERE m.lvl = {_d - 1} AND NOT EXISTS (SELECT 1 FROM m{_d - 1} v WHERE v.domain = m.domain AND v.url = c.url) GROUP BY m.domain, c.url) x""",
-        f"m{_d - 1}", "kept")
+        f"m{_d - 1}", "answered")
     cte(f"m{_d}", f"SELECT * FROM m{_d - 1} UNION ALL SELECT * FROM t{_d} WHERE rank <= 50", f"m{_d - 1}", f"t{_d}")
 cte("new_url", f"""
 SELECT domain, rank, count(*) AS n FROM (
-  SELECT m.domain, k.url, min(m.rank) AS rank FROM m{_LEVELS} m JOIN kept k ON k.doc = m.url AND NOT k.is_index
-  WHERE {domain('k.url')} = m.domain AND k.url <> 'https://' || m.domain || '/' GROUP BY m.domain, k.url) GROUP BY domain, rank""", f"m{_LEVELS}", "kept")
-check("sitemap_expand", f"""
+  SELECT m.domain, k.url, min(m.rank) AS rank FROM m{_LEVELS} m JOIN answered k ON k.doc = m.url AND NOT k.is_index
+  WHERE {domain('k.url')} = m.domain AND NOT EXISTS (SELECT 1 FROM start s WHERE s.domain = m.domain AND s.url = k.url) GROUP BY m.domain, k.url)
+GROUP BY domain, rank""", f"m{_LEVELS}", "answered", "start")
+cte("read_map", f"""
 SELECT domain, rank, url, new_urls FROM (
-  SELECT m.domain, m.rank, m.url, coalesce(n.n, 0) AS new_urls, 1 + coalesce(sum(n.n) OVER (PARTITION BY m.domain ORDER BY m.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known
-  FROM m{_LEVELS} m LEFT JOIN new_url n ON n.domain = m.domain AND n.rank = m.rank) WHERE known < 5000""", f"m{_LEVELS}", "new_url")
+  SELECT m.domain, m.rank, m.url, coalesce(n.n, 0) AS new_urls, (SELECT count(*) FROM start s WHERE s.domain = m.domain)
+    + coalesce(sum(n.n) OVER (PARTITION BY m.domain ORDER BY m.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known
+  FROM m{_LEVELS} m LEFT JOIN new_url n ON n.domain = m.domain AND n.rank = m.rank) WHERE known < 5000""", f"m{_LEVELS}", "new_url", "start")
+check("sitemap_expand", "SELECT * FROM read_map", "read_map")
+cte("known", f"""
+SELECT m.domain, k.url FROM read_map m JOIN answered k ON k.doc = m.url AND NOT k.is_index WHERE {domain('k.url')} = m.domain
+UNION SELECT domain, url FROM start""", "read_map", "answered", "start")
 
 check("fetch_ok", "SELECT seq, error IS NULL AND status_code IS NOT NULL AND status_code >= 200 AND status_code < 400 AS ok FROM crawl", "crawl")
 check("fetch_redirected", "SELECT seq, coalesce(rtrim(final_url, '/') <> rtrim(requested_url, '/'), false) AS redirected FROM crawl", "crawl")
@@ -681,10 +739,7 @@ check("seed_build", f"""
 SELECT seq, input_domain, normalized_url, {host('normalized_url')} AS host, {domain('normalized_url')} AS registered_domain,
   CASE WHEN trim(input_domain) = '' THEN 'empty input' WHEN normalized_url IS NULL THEN 'not a usable URL' END AS error FROM seeded""", "seeded")
 check("registered_domain", f"""
-SELECT DISTINCT site AS host,
-  CASE WHEN site LIKE '%.net' AND regexp_matches(site, '[^.]+[.][^.]+[.]net$') THEN regexp_extract(site, '[^.]+[.][^.]+[.]net$')
-       ELSE regexp_extract(site, '[^.]+[.][^.]+$') END AS registered_domain,
-  regexp_extract(site, '[^.]+[.][^.]+$') AS last_two_labels
+SELECT DISTINCT site AS host, {domain("'http://' || site")} AS registered_domain, regexp_extract(site, '[^.]+[.][^.]+$') AS last_two_labels
 FROM page""", "page")
 
 # ---------------------------------------------------------------- keyed state
@@ -699,11 +754,13 @@ check("quota_windows", _QUOTA, "submissions")
 check("quota_windows_stream", _QUOTA, "submissions")
 check("latest_state_ttl", _LATEST)
 check("latest_state_ttl_stream", _LATEST)
-check("job_states", """
+_STATES = """
 SELECT job_id, total, done, CASE WHEN total > 0 THEN CAST(floor(100.0 * done / total + 0.5) AS BIGINT) ELSE 100 END AS progress,
   CASE WHEN failed THEN 'error' WHEN done >= total THEN 'complete' WHEN done = 0 THEN 'queued' ELSE 'running' END AS status
 FROM (SELECT user_id AS job_id, count(*) FILTER (event_type = 'purchase') + user_id % 2 AS total,
-    count(*) FILTER (event_type = 'purchase' AND user_id % 4 <> 3) AS done, user_id % 5 = 0 AS failed FROM events GROUP BY user_id)""")
+    count(*) FILTER (event_type = 'purchase' AND user_id % 4 <> 3) AS done, user_id % 5 = 0 AS failed FROM events GROUP BY user_id)"""
+check("job_states", _STATES)
+check("job_states_stream", _STATES)
 check("job_progress", """
 SELECT user_id AS job_id, event_id AS step_id, row_number() OVER w AS done, count(*) OVER (PARTITION BY user_id) AS total,
   CAST(floor(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY user_id) + 0.5) AS BIGINT) AS progress,

@@ -6,54 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemap import dims
-from tonguemap.config import DEFAULT
 from tonguemap.functions import html, text, urls
 from tonguemap.operators import graph, scored
+from tonguemap.operators.discovery import Discovery, discover, fetch_errors, start_urls
 from tonguemap.operators.listed import language_report_listed as language_reports_listed
 from tonguemap.operators.pages import scored_fetches, scored_pages, site_pages
-from tonguemap.operators.skew import top_k
+from tonguemap.operators.run import ScoredRun
 from tonguemap.operators.stage import new_path, stage
 from tonguemap.plans import inputs
 from tonguemap.plans.inputs import derive
 from tonguemap.plans.registry import query
 from tonguemap.sinks import reports as sinks
+from tonguemap.sources.domains import domains_from_lines
 
+COUNTS = ["subdomains", "sitemaps", "urls", "hreflang_targets", "candidate_language_paths", "pages", "fetch_errors"]
 
-def pages(spark: SparkSession, sf: str, keep_text: bool = False) -> DataFrame:
-    return scored_pages(derive(spark, sf, inputs.CRAWL), keep_text=keep_text)
 
+def pages(spark: SparkSession, sf: str, keep_text: bool = False) -> DataFrame:
+    return scored_pages(derive(spark, sf, inputs.CRAWL), inputs.CFG, keep_text)
 
-def domains_of(p: DataFrame) -> DataFrame:
-    return p.select("domain").distinct()
 
+def starts(spark: SparkSession, sf: str) -> DataFrame:
+    """Start URLs: of the domain list, and of each registered domain."""
+    roots = derive(spark, sf, inputs.ROBOTS).select(F.lit(0).cast("long").alias("seq"), F.col("domain").alias("value"))
+    lines = derive(spark, sf, inputs.DOMAIN_LINES).select("seq", "value")
+    return start_urls(domains_from_lines(lines, roots), inputs.CFG)
 
-class Scored:
-    """The tables of one scored run; those that several others read are staged."""
 
-    def __init__(self, p: DataFrame):
-        self.pages = stage(p, "scored-pages")
-        self.discovered = stage(scored.discovered_urls(self.pages), "discovered")
-        self.trusted = stage(scored.trusted_evidence(self.pages, self.discovered), "trusted")
-        self.gate = scored.supplemental_gate(self.pages, self.trusted)
-        self.points = scored.evidence_points(self.trusted, self.gate)
-        self.scores = scored.language_scores(self.points)
-        self.findings = scored.language_findings(self.scores)
-        self.warnings = scored.warnings(self.gate)
-        self.counts = scored.discovery_counts(self.pages, self.discovered)
-        self.report = scored.language_report(self.findings, self.warnings, domains_of(self.pages))
+def discovered(spark: SparkSession, sf: str) -> Discovery:
+    robots, sitemaps = derive(spark, sf, inputs.ROBOTS_FETCHES), derive(spark, sf, inputs.SITEMAP_FETCHES)
+    return discover(starts(spark, sf), robots, sitemaps, inputs.CFG)
 
 
-def run(spark: SparkSession, sf: str) -> Scored:
-    return Scored(pages(spark, sf))
+def run(spark: SparkSession, sf: str) -> ScoredRun:
+    return ScoredRun(pages(spark, sf), discovered(spark, sf), inputs.CFG)
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Nested reports."""
-    s = run(spark, sf)
-    samples = scored.finding_sample_urls(scored.finding_urls(s.pages, s.discovered, s.gate))
-    return scored.report_documents(
-        s.findings, scored.finding_sources(s.points, s.scores), samples, s.warnings, s.counts
-    )
+    return run(spark, sf).documents()
 
 
 @query
@@ -65,7 +56,7 @@ def language_report(spark: SparkSession, sf: str) -> DataFrame:
 def language_report_listed(spark: SparkSession, sf: str) -> DataFrame:
     from tonguemap.plans.site_queries import listed
 
-    out = language_reports_listed(listed(spark, sf), run(spark, sf).report)
+    out = language_reports_listed(listed(spark, sf), run(spark, sf).report, inputs.CFG)
     return out.withColumn("languages", F.array_join("languages", "; "))
 
 
@@ -112,32 +103,38 @@ def finding_sample_urls(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("domain", "code", "url", F.col("rank").cast("long").alias("rank"))
 
 
-def _sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
-    return derive(spark, sf, inputs.SITEMAPS).select("domain", "url")
-
-
 @query
 def discovery_counts(spark: SparkSession, sf: str) -> DataFrame:
-    p = stage(pages(spark, sf), "scored-pages")
-    return scored.discovery_counts(p, stage(scored.discovered_urls(p), "discovered"), _sitemap_urls(spark, sf))
+    return run(spark, sf).counts
 
 
 @query
 def discovery_csv(spark: SparkSession, sf: str) -> DataFrame:
     s = run(spark, sf)
-    counts = scored.discovery_counts(s.pages, s.discovered, _sitemap_urls(spark, sf))
-    return sinks.discovery_csv(counts, scored.candidate_paths(s.discovered), s.pages)
+    return sinks.discovery_csv(s.counts, scored.candidate_paths(s.discovered))
+
+
+@query
+def hreflang_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct hreflang values per domain, which the discovery CSV has the number of."""
+    return sinks.hreflang_targets(pages(spark, sf))
+
+
+@query
+def fetch_error_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures of robots files, sitemaps, their markup and pages."""
+    return fetch_errors(discovered(spark, sf), pages(spark, sf))
 
 
 @query
 def record_urls(spark: SparkSession, sf: str) -> DataFrame:
-    found = scored.discovered_urls(pages(spark, sf))
+    found = scored.discovered_urls(pages(spark, sf), discovered(spark, sf).urls)
     return found.select("domain", "url", urls.host(F.col("url")).alias("host"), "code")
 
 
 @query
 def candidate_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return scored.candidate_paths(scored.discovered_urls(pages(spark, sf)))
+    return scored.candidate_paths(scored.discovered_urls(pages(spark, sf), discovered(spark, sf).urls))
 
 
 @query
@@ -173,9 +170,10 @@ def report_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "reports-json")
     sinks.write_json(documents(spark, sf), path)
     back = read_reports(spark, path)
-    f = back.select("domain", F.col("warning_count").alias("warnings"), F.explode("findings").alias("f"))
+    counts = [F.col("discovery_counts")[c].cast("long").alias(c) for c in COUNTS]
+    f = back.select("domain", *counts, F.col("warning_count").alias("warnings"), F.explode("findings").alias("f"))
     return f.select(
-        "domain", "warnings", "f.code", "f.name", "f.confidence_percent", "f.confidence_label",
+        "domain", "warnings", "f.code", "f.name", "f.confidence_percent", "f.confidence_label", *COUNTS,
         F.array_join("f.sources", "; ").alias("sources"), F.array_join("f.sample_urls", "; ").alias("sample_urls"),
     )
 
@@ -183,7 +181,7 @@ def report_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def debug_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     p = stage(pages(spark, sf), "scored-pages")
-    return sinks.debug_snapshot(scored.discovered_urls(p), p)
+    return sinks.debug_snapshot(scored.discovered_urls(p, discovered(spark, sf).urls), p)
 
 
 @query
@@ -201,7 +199,8 @@ def isolation_check(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of two halves of the domains on their own against the whole batch: rows that differ, none."""
     batch = run(spark, sf)
     half = F.xxhash64("domain") < 0
-    alone = Scored(batch.pages.where(half)).findings.unionByName(Scored(batch.pages.where(~half)).findings)
+    alone = [ScoredRun(batch.pages.where(c), batch.discovery.only(c), inputs.CFG).findings for c in (half, ~half)]
+    alone = alone[0].unionByName(alone[1])
     both = batch.findings.withColumn("side", F.lit(1)).unionByName(alone.withColumn("side", F.lit(-1)))
     keys = [c for c in both.columns if c != "side"]
     differ = both.groupBy(*keys).agg(F.sum("side").alias("d"), F.count(F.lit(1)).alias("n"))
@@ -240,15 +239,15 @@ def link_cap(spark: SparkSession, sf: str) -> DataFrame:
     """Targets per page with a cap that binds: all hreflang targets and the first three links."""
     from dataclasses import replace
 
-    cfg = replace(DEFAULT, max_links_per_page=3)
+    cfg = replace(inputs.CFG, max_links_per_page=3)
     return graph.page_links(pages(spark, sf), cfg).select("src", F.col("pos").cast("long").alias("pos"), "dst")
 
 
 @query
 def same_registered_domain(spark: SparkSession, sf: str) -> DataFrame:
     p = site_pages(derive(spark, sf, inputs.CRAWL))
-    links = p.select(urls.registered_domain(F.col("site")).alias("domain"), F.explode("web_links.url").alias("url"))
-    links = links.withColumn("target", urls.domain_of(F.col("url")))
+    links = p.select(urls.registered_domain(F.col("site"), inputs.SUFFIXES).alias("domain"), F.explode("web_links.url").alias("url"))
+    links = links.withColumn("target", urls.domain_of(F.col("url"), inputs.SUFFIXES))
     return links.groupBy("domain", "target").agg(
         F.count(F.lit(1)).alias("links"), F.bool_or(F.col("domain") == F.col("target")).alias("same")
     )
@@ -305,29 +304,32 @@ def stopword_hits(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("doc_id", *[F.col(f"hits.{c}").cast("long").alias(f"hits_{c}") for c in dims.STOP_WORDS])
 
 
-def _crawl_starts(spark: SparkSession, sf: str) -> DataFrame:
-    return derive(spark, sf, inputs.ROBOTS).select("domain", F.concat(F.lit("https://"), "domain", F.lit("/")).alias("url"))
+@query
+def crawl_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    known = discovered(spark, sf)
+    return graph.crawl_seeds(known.starts, known.urls).select("domain", "url", F.col("pos").cast("long").alias("pos"))
 
 
-def _known_urls(spark: SparkSession, sf: str) -> DataFrame:
-    """URLs known before the crawl: pages whose address ends in a slash, as a site map would list them."""
-    u = urls.normalize(F.col("requested_url"))
-    listed = derive(spark, sf, inputs.CRAWL).where(F.col("requested_url").endswith("/"))
-    return listed.select(urls.domain_of(F.col("requested_url")).alias("domain"), u.alias("url")).distinct()
+def _visits(spark: SparkSession, sf: str, known: Discovery, pages_: DataFrame) -> DataFrame:
+    edges = derive(spark, sf, inputs.EDGES)
+    # each URL is on several edges, as their source and as their target
+    distinct = edges.select(F.explode(F.array("src", "dst")).alias("raw")).distinct()
+    clean = stage(distinct.select("raw", urls.normalize(F.col("raw")).alias("url")), "edge-urls")
+    ends = edges.join(clean.toDF("src", "from"), "src").join(clean.toDF("dst", "to"), "dst")
+    links = ends.select(F.col("from").alias("src"), "pos", F.col("to").alias("dst"))
+    return graph.bfs_scored(graph.crawl_seeds(known.starts, known.urls), links, pages_, inputs.CFG)
 
 
 @query
-def crawl_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = graph.crawl_seeds(_crawl_starts(spark, sf), _known_urls(spark, sf))
-    return seeds.select("domain", "url", F.col("pos").cast("long").alias("pos"))
+def bfs_scored(spark: SparkSession, sf: str) -> DataFrame:
+    landed = scored_fetches(derive(spark, sf, inputs.CRAWL), inputs.CFG).select("url")
+    out = _visits(spark, sf, discovered(spark, sf), landed)
+    return out.select("domain", "url", F.col("depth").cast("long").alias("depth"), "rank")
 
 
 @query
-def bfs_scored(spark: SparkSession, sf: str) -> DataFrame:
-    landed = scored_fetches(derive(spark, sf, inputs.CRAWL)).select("url")
-    edges = derive(spark, sf, inputs.EDGES).select(
-        urls.normalize(F.col("src")).alias("src"), "pos", urls.normalize(F.col("dst")).alias("dst")
-    )
-    seeds = graph.crawl_seeds(_crawl_starts(spark, sf), _known_urls(spark, sf))
-    out = graph.bfs_scored(seeds, edges, landed)
-    return out.select("domain", "url", F.col("depth").cast("long").alias("depth"), "rank")
+def language_report_crawled(spark: SparkSession, sf: str) -> DataFrame:
+    """The report over the pages that a crawl within its budgets visits, in the order of the visits."""
+    whole = run(spark, sf)
+    visits = stage(_visits(spark, sf, whole.discovery, whole.pages.select("url")), "visits")
+    return whole.visited(visits).report.withColumn("languages", F.array_join("languages", "; "))

@@ -173,7 +173,7 @@ def site_report_probed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _raw_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of the pages as given, which have no hreflang links, so that some sites pass the gate."""
-    raw = inputs.table(spark, sf, "pages").select(
+    raw = inputs.table(spark, sf, "pages").selectExpr("page_id", f"{inputs.URL} AS url", "html").select(
         F.col("page_id").alias("seq"), F.col("url").alias("requested_url"), F.lit(200).alias("status_code"),
         F.col("html").alias("body"), F.lit(None).cast("string").alias("error"),
     )
@@ -193,8 +193,8 @@ def http_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("status_code", F.col("status_code").cast("long"))
 
 
-@query
-def bfs_site(spark: SparkSession, sf: str) -> DataFrame:
+def _visits(spark: SparkSession, sf: str) -> DataFrame:
+    """A crawl of each registered domain over the given link graph."""
     edges = derive(spark, sf, inputs.EDGES).unionByName(derive(spark, sf, inputs.START_EDGES))
     link = F.struct("pos", F.col("dst").alias("url"), urls.hostname(F.col("dst")).alias("host"))
     worth = edges.where(urls.site_frontier(F.lower(urls.path(F.col("dst"))), urls.hostname(F.col("dst"))))
@@ -205,6 +205,25 @@ def bfs_site(spark: SparkSession, sf: str) -> DataFrame:
     return graph.bfs_site(starts, targets)
 
 
+@query
+def bfs_site(spark: SparkSession, sf: str) -> DataFrame:
+    return _visits(spark, sf)
+
+
+@query
+def site_report_crawled(spark: SparkSession, sf: str) -> DataFrame:
+    """The site report of each registered domain over the pages that its crawl visits, the first of them first."""
+    visits = stage(_visits(spark, sf), "site-visits")
+    return site.site_report(site.site_facts(site.visited_pages(stage(pages(spark, sf), "site-pages"), visits)))
+
+
+@query
+def frontier_links(spark: SparkSession, sf: str) -> DataFrame:
+    """What a crawl would follow from each landed page, in the order of the page."""
+    found = graph.frontier_links(pages(spark, sf)).select("url", F.posexplode("targets").alias("pos", "t"))
+    return found.select("url", F.col("pos").cast("long").alias("pos"), F.col("t.url").alias("target"))
+
+
 @query
 def site_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.site_csv(site_report(spark, sf))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonguemap.functions import urls
-from tonguemap.operators import graph
 from tonguemap.operators.stage import new_path
 from tonguemap.plans import inputs
 from tonguemap.plans.inputs import derive
@@ -47,8 +50,12 @@ def robots_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sitemap_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    out = sitemaps.sitemap_candidates(derive(spark, sf, inputs.ROBOTS))
-    return out.select("domain", F.col("pos").cast("long").alias("pos"), "url")
+    """Of each start URL: what its robots file lists, or the default places alone."""
+    from tonguemap.plans.scored_queries import starts
+
+    begun = sitemaps.with_robots(starts(spark, sf), derive(spark, sf, inputs.ROBOTS_FETCHES))
+    out = sitemaps.sitemap_candidates(begun, inputs.CFG)
+    return out.select("domain", "start", F.col("pos").cast("long").alias("pos"), "url")
 
 
 @query
@@ -62,26 +69,22 @@ def sitemap_locs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sitemap_gzip_decode(spark: SparkSession, sf: str) -> DataFrame:
-    """Sitemap bodies landed in packed files, which the reader unpacks by their names."""
-    docs, path = derive(spark, sf, inputs.SITEMAPS).select("url", "body"), new_path(spark, "sitemaps-gz")
-    docs.write.option("compression", "gzip").json(path)
-    return spark.read.schema(docs.schema).json(path)
+    """Sitemap payloads as they land, every other one packed, told apart by their first bytes."""
+    docs = derive(spark, sf, inputs.SITEMAPS).select("url", "seq", F.col("body").cast("binary").alias("payload"))
+    packed = F.when(F.col("seq") % 2 == 0, _packed("payload")).otherwise(F.col("payload"))
+    return sitemaps.payload_text(docs.withColumn("payload", packed), "payload").select("url", "body")
 
 
-def _sitemap_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Child sitemaps (parent, pos, url) and page URLs (sitemap, url) of the parsed documents."""
-    docs = derive(spark, sf, inputs.SITEMAPS)
-    parsed = sitemaps.parse_sitemaps(docs).withColumn("parts", urls.base_parts(F.col("url")))
-    kept = sitemaps.filter_domain_urls(F.col("locs"), F.col("domain"), F.col("parts"))
-    found = parsed.select(F.col("url").alias("doc"), "is_index", F.posexplode(kept).alias("pos", "url"))
-    children = found.where("is_index").select(F.col("doc").alias("parent"), "pos", "url")
-    return children, found.where(~F.col("is_index")).select(F.col("doc").alias("sitemap"), "url")
+@F.pandas_udf(T.BinaryType())
+def _packed(payloads: pd.Series) -> pd.Series:
+    return payloads.map(gzip.compress)
 
 
 @query
 def sitemap_expand(spark: SparkSession, sf: str) -> DataFrame:
-    children, locs = _sitemap_tables(spark, sf)
-    return graph.sitemap_expand(sitemaps.sitemap_candidates(derive(spark, sf, inputs.ROBOTS)), children, locs)
+    from tonguemap.plans.scored_queries import discovered
+
+    return discovered(spark, sf).sitemaps
 
 
 @query
@@ -91,7 +94,7 @@ def filter_domain_urls(spark: SparkSession, sf: str) -> DataFrame:
     listed = parsed.select("domain", F.explode("locs").alias("loc"))
     return (
         listed.withColumn("url", urls.normalize(F.col("loc")))
-        .withColumn("registered_domain", urls.domain_of(F.col("url")))
+        .withColumn("registered_domain", urls.domain_of(F.col("url"), inputs.SUFFIXES))
         .where(F.col("registered_domain") == F.col("domain"))
         .groupBy("domain", "url")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -117,21 +120,17 @@ def fetch_errors(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def seed_build(spark: SparkSession, sf: str) -> DataFrame:
     lines = derive(spark, sf, inputs.DOMAIN_LINES).withColumnRenamed("value", "input_domain")
-    return crawl.seeds(lines).select(
+    return crawl.seeds(lines, cfg=inputs.CFG).select(
         "seq", "input_domain", "normalized_url", "host", "registered_domain", "error"
     )
 
 
 @query
 def registered_domain(spark: SparkSession, sf: str) -> DataFrame:
-    """Hosts under a suffix table in which one registry sells names one level deeper."""
+    """Hosts under a table of suffix rules of all three kinds."""
     hosts = derive(spark, sf, inputs.CRAWL).select(urls.hostname(F.col("requested_url")).alias("host")).distinct()
-    last = F.regexp_extract("host", "[^.]+$", 0)
-    deeper = F.regexp_extract("host", "[^.]+[.][^.]+$", 0)
-    suffixes = hosts.select(F.explode(F.array(last, F.when(last == "net", deeper))).alias("suffix")).where(
-        F.col("suffix").isNotNull()
-    )
-    return crawl.registered_domain_by_suffix(hosts, suffixes, "host").select(
+    rules = spark.createDataFrame([(r,) for r in inputs.SUFFIXES], "rule string")
+    return crawl.registered_domain_by_suffix(hosts, rules, "host").select(
         "host", "registered_domain", urls.registered_domain(F.col("host")).alias("last_two_labels")
     )
 

@@ -27,22 +27,22 @@ def language_csv(documents: DataFrame) -> DataFrame:
     )
 
 
-def discovery_csv(counts: DataFrame, paths: DataFrame, pages: DataFrame) -> DataFrame:
-    """Seven flat columns per domain; the two lists are distinct before they are joined to text."""
-    def listed(rows: DataFrame, col: str, out: str) -> DataFrame:
-        return rows.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(col)), ";").alias(out))
-
-    targets = pages.select("domain", F.explode("hreflangs").alias("hreflang")).distinct()
-    out = counts.join(listed(paths, "path", "path_text"), "domain", "left")
-    out = out.join(listed(targets, "hreflang", "hreflang_text"), "domain", "left")
-    return out.select(
+def discovery_csv(counts: DataFrame, paths: DataFrame) -> DataFrame:
+    """Seven flat columns per domain. Folders ``/xx-yy/`` are few and joined to text; hreflang values, which page
+    authors may invent without end, are given as their number, and are rows of :func:`hreflang_targets`."""
+    listed = paths.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list("path")), ";").alias("path_text"))
+    return counts.join(listed, "domain", "left").select(
         "domain", F.col("domain").alias("registered_domain"), F.col("subdomains").alias("subdomain_count"),
         F.col("urls").alias("url_count"), F.col("sitemaps").alias("sitemap_count"),
-        F.coalesce("path_text", F.lit("")).alias("candidate_language_paths"),
-        F.coalesce("hreflang_text", F.lit("")).alias("hreflang_targets"),
+        F.coalesce("path_text", F.lit("")).alias("candidate_language_paths"), "hreflang_targets",
     )
 
 
+def hreflang_targets(pages: DataFrame) -> DataFrame:
+    """Distinct (domain, hreflang) of the pages."""
+    return pages.select("domain", F.explode("hreflangs").alias("hreflang")).distinct()
+
+
 def pages_without_text(pages: DataFrame) -> DataFrame:
     """Page evidence for publication: the text is replaced by its length."""
     return pages.drop("visible_text")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonguemap.config import DEFAULT, EngineConfig
 from tonguemap.functions import urls
+from tonguemap.operators.skew import small_enough
 
 FETCH_SCHEMA = T.StructType(
     [
@@ -53,11 +55,11 @@ def failure_label(exception: Column) -> Column:
     )
 
 
-def seeds(domains: DataFrame, domain_col: str = "input_domain") -> DataFrame:
+def seeds(domains: DataFrame, domain_col: str = "input_domain", cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Start URL, host and registered domain of each input domain; ``error`` where it is unusable."""
-    d = domains.withColumn("normalized_url", urls.normalize(urls.ensure_scheme(F.col(domain_col))))
+    d = domains.withColumn("normalized_url", urls.start_url(F.col(domain_col)))
     d = d.withColumn("host", urls.host(F.col("normalized_url")))
-    return d.withColumn("registered_domain", urls.registered_domain(F.col("host"))).withColumn(
+    return d.withColumn("registered_domain", urls.registered_domain(F.col("host"), cfg.suffixes)).withColumn(
         "error",
         F.when(urls.strip(F.col(domain_col)) == "", "empty input").when(
             F.col("normalized_url").isNull(), "not a usable URL"
@@ -65,23 +67,38 @@ def seeds(domains: DataFrame, domain_col: str = "input_domain") -> DataFrame:
     )
 
 
-def registered_domain_by_suffix(hosts: DataFrame, suffixes: DataFrame, host_col: str) -> DataFrame:
-    """Add ``registered_domain``: the longest known public suffix plus one label.
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(rule) of a public-suffix file: one rule per line, up to the first blank; ``//`` starts a remark."""
+    line = F.regexp_extract("value", r"^\s*(\S*)", 1)
+    return spark.read.text(path).select(F.lower(line).alias("rule")).where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
 
-    ``suffixes`` has one column ``suffix``. Each distinct host is looked up by all of its endings in one
-    join. Endings of one label are left out: with or without such a suffix, the domain is the last two
-    labels, so no join is on ``com``.
+
+def suffix_rules(rules: DataFrame, cfg: EngineConfig = DEFAULT) -> tuple[str, ...]:
+    """The rules as a setting. They are a reference list, whose size is checked, and not data."""
+    if not small_enough(rules, cfg.max_broadcast_rows):
+        raise ValueError(f"more than {cfg.max_broadcast_rows} suffix rules")
+    return tuple(sorted({r.rule for r in rules.select("rule").collect()}))
+
+
+def registered_domain_by_suffix(hosts: DataFrame, rules: DataFrame, host_col: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Add ``registered_domain`` by a table of public-suffix rules (column ``rule``), as :func:`urls.domain_of` reads them.
+
+    Each distinct host is looked up by all of its endings in one join: for rule tables too large for a setting.
     """
     labels = F.filter(F.split("_host", "[.]"), lambda x: x != "")
-    ending = lambda n: F.array_join(F.slice("_labels", -n, n), ".")
-    tails = F.transform(
-        F.sequence(F.lit(2), F.size("_labels") - 1),
-        lambda n: F.struct(n.alias("n"), ending(n).alias("suffix"), ending(n + 1).alias("domain")),
-    )
+    ending = lambda n: F.when(n <= F.size("_labels"), F.array_join(F.slice("_labels", -n, n), "."))
+    name = F.regexp_replace(F.lower("rule"), r"^!|^\*\.|^\.+", "")
+    kind = F.when(F.col("rule").startswith("!"), -1).when(F.col("rule").startswith("*."), 1).otherwise(0)
+    named = rules.select(name.alias("_ending"), kind.alias("_more")).distinct()
+    # a suffix of one label gives the last two labels, as no suffix does, so that nothing meets at ``com``
+    named = named.where((F.col("_more") != 0) | F.col("_ending").contains("."))
     distinct = hosts.select(F.lower(host_col).alias("_host")).distinct().withColumn("_labels", labels)
-    endings = distinct.where(F.size("_labels") > 2).select("_host", F.explode(tails).alias("t")).select("_host", "t.*")
-    known = endings.join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
-    found = known.groupBy("_host").agg(F.max_by("domain", "n").alias("_known"))
+    tails = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda n: F.struct(n.alias("n"), ending(n).alias("_ending")))
+    endings = distinct.where(F.size("_labels") > 0).select("_host", "_labels", F.explode(tails).alias("t")).select("_host", "_labels", "t.*")
+    known = endings.join(F.broadcast(named) if small_enough(named, cfg.max_broadcast_rows) else named, "_ending")
+    # exceptions win over any length; the domain is NULL where the host is the suffix
+    best = F.struct((F.col("_more") == -1).alias("e"), (F.col("n") + F.col("_more")).alias("n"), ending(F.col("n") + F.col("_more") + 1).alias("domain"))
+    found = known.groupBy("_host").agg(F.max(best).alias("_best"))
     out = hosts.withColumn("_host", F.lower(host_col)).join(found, "_host", "left")
-    domain = F.coalesce("_known", urls.registered_domain(F.col(host_col)))
+    domain = F.coalesce("_best.domain", urls.registered_domain(F.col(host_col)))
     return out.withColumn("registered_domain", domain).select(*hosts.columns, "registered_domain")

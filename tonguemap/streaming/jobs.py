@@ -1,50 +1,45 @@
-"""The keyed-state jobs and the site report as Structured Streaming queries.
+"""The keyed-state jobs and the reports as Structured Streaming queries.
 
-Each job reads what has arrived, keeps its progress in a checkpoint and writes micro-batches to a table
-folder by batch id. Writing a batch again replaces it, so a restart after a failure gives the same table.
-Give a job a ``path`` of its own to go on from where it stopped; without one it starts from nothing.
+Each job reads what has arrived, keeps its progress in a checkpoint, and reduces each micro-batch to facts that merge in
+any order. Facts are written by batch id to a table that is merged now and then (:mod:`tonguemap.operators.merged`),
+so state is a table, late rows simply add to it, and a batch that is written again after a failure replaces its
+first attempt. Give a job a ``path`` of its own to go on from where it stopped; without one it starts from nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tonguemap.config import DEFAULT, EngineConfig
-from tonguemap.operators import site
-from tonguemap.operators.keyed import quota_windows
-from tonguemap.operators.pages import site_pages
+from tonguemap.operators import keyed, scored, site
+from tonguemap.operators.discovery import Discovery
+from tonguemap.operators.merged import Merge, MergedTable
+from tonguemap.operators.pages import scored_pages, site_pages
 from tonguemap.operators.stage import new_path
 
-
-def batch_writer(path: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable:
-    """``foreachBatch`` function that writes each batch to its own folder, replacing an earlier attempt."""
-    def write(df: DataFrame, batch_id: int) -> None:
-        prepare(df).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
+MERGE_EVERY = 16  # batches
 
 
 def run_available(
-    stream: DataFrame, name: str, mode: str, prepare: Callable = lambda df: df, path: str | None = None
+    stream: DataFrame, name: str, mode: str, prepare: Callable = lambda df: df, merge: Merge | None = None,
+    path: str | None = None, every: int = MERGE_EVERY,
 ) -> DataFrame:
-    """Process what has arrived since the last run at ``path`` and return the table of all runs, with its ``batch`` column."""
+    """Process what has arrived since the last run at ``path`` and return the facts of all runs, with their ``batch``."""
     spark = stream.sparkSession
     path = path or new_path(spark, name)
-    out = f"{path}/table"
+    table = MergedTable(spark, f"{path}/table", merge, every)
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{path}/checkpoint")
-        .foreachBatch(batch_writer(out, prepare))
+        .foreachBatch(lambda df, batch: table.append(prepare(df), batch))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return table.read()
 
 
 def quota_windows_stream(
@@ -54,70 +49,73 @@ def quota_windows_stream(
 
     State ends with the watermark, so it stays as small as the open windows.
     """
-    changed = quota_windows(submissions.withWatermark("ts", late_by), cfg)
-    written = run_available(changed, "quota", "update", path=path)
-    return (
-        written.groupBy("window_start", "key")
-        .agg(F.max_by(F.struct("n", "rejected"), "batch").alias("v"))
-        .select("window_start", "key", "v.*")
-    )
+    def last(written: DataFrame) -> DataFrame:
+        newest = F.max_by(F.struct("n", "rejected"), "batch").alias("v")
+        return written.groupBy("window_start", "key").agg(newest, F.max("batch").alias("batch")).select("window_start", "key", "v.*", "batch")
 
+    changed = keyed.quota_windows(submissions.withWatermark("ts", late_by), cfg)
+    return last(run_available(changed, "quota", "update", merge=last, path=path)).drop("batch")
 
-_STATE = "ts timestamp, update_id long, state string"
 
+def latest_state_stream(updates: DataFrame, ttl_seconds: int = 3600, path: str | None = None) -> DataFrame:
+    """Streaming latest state per key, without the keys whose last update is ``ttl_seconds`` older than the newest of all.
 
-def latest_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep the last update per key of each Arrow batch: what a map-side combine does for an aggregate."""
-    for b in batches:
-        yield b.sort_values(["ts", "update_id"]).groupby("key", as_index=False, sort=False).tail(1)
+    A batch brings the last update of each key, pre-aggregated per task; merging keeps the last of them and drops what has
+    expired, so the table is as small as the live keys. No state store, and nothing in Python.
+    """
+    def live(written: DataFrame) -> DataFrame:
+        last = written.groupBy("key").agg(F.max(F.struct("ts", "update_id", "state", "batch")).alias("u")).select("key", "u.*")
+        return last.where(F.col("ts") >= written.agg(F.max("ts")).scalar() - F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
 
+    def reduced(df: DataFrame) -> DataFrame:
+        return df.groupBy("key").agg(F.max(F.struct("ts", "update_id", "state")).alias("u")).select("key", "u.*")
 
-def latest_state_stream(
-    updates: DataFrame, ttl_seconds: int = 3600, late_by: str = "0 seconds", path: str | None = None
+    return live(run_available(updates, "latest", "append", reduced, live, path)).drop("batch")
+
+
+def job_states_stream(
+    submissions: DataFrame, steps: DataFrame, timeout_seconds: int | None = None, path: str | None = None
 ) -> DataFrame:
-    """Streaming latest state per key; a key is reported as expired ``ttl_seconds`` after its last update.
+    """Where each submitted job stands, from a stream of submissions (job_id, total, failed, ts) and one of finished
+    steps (job_id, ts), which may come in any order.
 
-    Every batch reduces to the last update per key before the shuffle, so a hot key brings a few rows
-    to its state and not all of them.
+    With ``timeout_seconds``, a job that is not complete and of which nothing was heard for so long before the newest
+    event of all is an error.
     """
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            ts, update_id, value = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "ts": [ts], "update_id": [update_id], "state": [value], "expired": [True]})
-            return
-        old = last = state.get if state.exists else None
-        for b in batches:
-            row = b.sort_values(["ts", "update_id"]).iloc[-1]
-            new = (row.ts.to_pydatetime(), int(row.update_id), row.state)
-            last = new if last is None or new[:2] > (last[0], last[1]) else last
-        ends = int(pd.Timestamp(last[0]).timestamp() * 1000) + ttl_seconds * 1000
-        if ends < state.getCurrentWatermarkMs():
-            if old is not None:
-                state.remove()
-            yield pd.DataFrame({"key": [key[0]], "ts": [last[0]], "update_id": [last[1]], "state": [last[2]], "expired": [True]})
-            return
-        state.update(tuple(last))
-        state.setTimeoutTimestamp(ends)
-        yield pd.DataFrame({"key": [key[0]], "ts": [last[0]], "update_id": [last[1]], "state": [last[2]], "expired": [False]})
-
-    reduced = updates.mapInPandas(latest_per_batch, updates.schema).withWatermark("ts", late_by)
-    states = reduced.groupBy("key").applyInPandasWithState(
-        keep, f"key string, {_STATE}, expired boolean", _STATE, "update", GroupStateTimeout.EventTimeTimeout
-    )
-    written = run_available(states, "latest", "update", path=path)
-    last = written.groupBy("key").agg(F.max_by(F.struct("ts", "update_id", "state", "expired"), "batch").alias("v"))
-    return last.select("key", "v.*").where(~F.col("expired")).drop("expired")
+    none = F.lit(None)
+    events = submissions.select("job_id", F.col("total").cast("long").alias("total"), "failed", F.lit(0).cast("long").alias("done"), "ts").unionByName(
+        steps.select("job_id", none.cast("long").alias("total"), none.cast("boolean").alias("failed"), F.lit(1).cast("long").alias("done"), "ts"))
+
+    def summed(df: DataFrame) -> DataFrame:
+        batch = [F.max("batch").alias("batch")] if "batch" in df.columns else []
+        return df.groupBy("job_id").agg(
+            F.max("total").alias("total"), F.bool_or("failed").alias("failed"), F.sum("done").alias("done"), F.max("ts").alias("ts"), *batch)
+
+    facts = run_available(events, "job-states", "append", summed, summed, path)
+    jobs = summed(facts).where(F.col("total").isNotNull()).withColumn("failed", F.coalesce("failed", F.lit(False)))
+    if timeout_seconds is not None:
+        silent = F.col("ts") < facts.agg(F.max("ts")).scalar() - F.expr(f"INTERVAL {timeout_seconds} SECONDS")
+        jobs = jobs.withColumn("failed", F.col("failed") | (silent & (F.col("done") < F.col("total"))))
+    return keyed.counted_states(jobs)
 
 
 def site_report_stream(crawl: DataFrame, path: str | None = None) -> DataFrame:
-    """Site report over arriving fetches: each batch adds its few facts per site, the report sums them up.
+    """Site report over arriving fetches: each batch adds its few facts per site, the report sums them up."""
+    facts = run_available(site_pages(crawl), "site-facts", "append", site.site_facts, site.merged_facts, path)
+    return site.site_report(facts)
+
 
-    Facts merge in any order, so late pages simply add evidence.
+def language_report_stream(
+    crawl: DataFrame, known: Discovery | None = None, cfg: EngineConfig = DEFAULT, path: str | None = None
+) -> DataFrame:
+    """Scored report over arriving fetches.
+
+    Facts hold the number of marks and the first page with one, and the pages whose text speaks. What a text counts is
+    decided when the report is read, so a trusted page that comes late turns warnings of later pages into points.
     """
-    pages = site_pages(crawl)
-    facts = run_available(pages, "site-facts", "append", prepare=site.site_facts, path=path)
-    return site.site_report(facts)
+    pages = scored_pages(crawl, cfg)
+    facts = run_available(pages, "scored-facts", "append", scored.page_facts, scored.merged_facts, path)
+    return scored.report_of_facts(scored.merged_facts(facts), known, cfg)
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
