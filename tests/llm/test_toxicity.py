@@ -1,8 +1,11 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tonguemap.llm import toxicity
 
@@ -79,8 +82,47 @@ def test_nothing_to_learn_from(data):
 
 
 def test_gradient_finds_the_words():
-    model = toxicity.fit(["good day. bad thing.", "good day. fine thing.", "bad bad. good", "fine day"], [1, 0, 1, 0])
+    model = toxicity.fit(["good day. bad thing.", "good day. fine thing.", "bad bad. good", "fine day"], [1, 0, 1, 0], min_docs=1)
     scorer = toxicity.Scorer(model)
     score, spans = scorer.score("good fine day. bad thing. good")
     assert score > 0.5 and [(s, e) for s, e, _ in spans] == [(15, 24)]
     assert scorer.score("good fine day.")[0] < 0.5
+
+
+def plain_score(model, text):
+    """The noisy-or as it is defined: one minus the product of what each sentence leaves."""
+    left, spans, at = 1.0, [], 0
+    pieces = re.split(r"([.!?]+\s|\n)", text.lower())
+    for piece, end in zip(pieces[::2], [*pieces[1::2], ""]):
+        words = set(re.findall(r"\w+", piece))
+        if words:
+            z = model.bias + sum(float(model.weights[f]) for w in words for f in toxicity.features(w))
+            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+            left *= 1 - p
+            if p >= 0.5:
+                spans.append((at, at + len(piece)))
+        at += len(piece) + len(end)
+    return 1 - left, spans
+
+
+def test_scores_are_the_noisy_or(data, spark):
+    docs, labels, rows = data
+    model = toxicity.fit(*toxicity.training_sample(docs, labels))
+    got = {(r.doc_id, r.score): r for r in toxicity.score(docs, model).collect()}
+    found = 0
+    for i, text, _ in rows:
+        score, spans = plain_score(model, text or "")
+        near = [r for (d, s), r in got.items() if d == i and s == pytest.approx(score, rel=1e-6, abs=1e-9)]
+        assert near, (i, score)
+        assert any([(x.start, x.end) for x in r.toxic_sentences] == spans for r in near)
+        found += len(spans)
+    assert found > 100
+
+
+def test_a_repeated_labelled_id_is_one_training_row(data, spark):
+    docs, labels, _ = data
+    hot = docs.where("doc_id = 4").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(50_000)))).drop("n")
+    texts, y = toxicity.training_sample(docs.unionByName(hot), labels)
+    assert (texts, y) == toxicity.training_sample(docs, labels) and len(texts) <= 2 * toxicity.SAMPLE
+    other = spark.createDataFrame([(4, f"text {i}", "x") for i in range(100)], docs.schema)
+    assert len(toxicity.training_sample(docs.unionByName(other), labels)[0]) == len(texts)

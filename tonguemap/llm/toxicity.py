@@ -6,13 +6,14 @@ the document labels, so no sentence is ever labelled, yet the sentences that mak
 come out of it.
 
 Training takes at most ``SAMPLE`` documents of each class, those with the smallest hashes of their ids,
-none longer than ``SAMPLE_CHARS`` characters: the bound on what reaches the driver. Each word has three
+none longer than ``SAMPLE_CHARS`` characters, and one text of each id: the bound on what reaches the driver. Each word has three
 features, itself and its first four and five letters, hashed to ``BUCKETS`` weights, so the model that
 goes to the tasks is of fixed size. Scoring reads every whole text once, without a shuffle.
 
 Null and empty texts have no sentence and get the score 0 (the noisy-or of nothing), predicted 0. Repeated
 rows are scored alike. Labels that are null or of no document are passed over; of several labels of an
 id the highest holds. Where a class has no training document, every sentence has the score 0.
+An empty table gives an empty result. Further columns are ignored by scores and kept by :func:`clean`.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ ROUNDS = 200
 RATE = 0.15
 DECAY = 1e-4  # of squared weights
 SPARSE = 1e-4  # of absolute weights
-MIN_DOCS = 30  # training documents that a feature must be in; fewer in samples under 100 times that
+MIN_DOCS = 30  # training documents that a feature must be in
 TOXIC_SHARE = 0.1  # weight of the toxic class in the likelihood: about its share of a corpus
 START_BIAS = -5.0
 MAX_CACHED = 100_000
@@ -70,7 +71,7 @@ class Model:
     bias: float
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS) -> Model:
     """Full-batch Adam on the noisy-or likelihood. Features of few documents, which could only be learnt by heart, are left out."""
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2:
@@ -94,7 +95,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     doc_at, doc_of = np.concatenate([[0], np.cumsum(per_doc)[:-1]]), np.repeat(np.arange(len(per_doc)), per_doc)
     parts = np.array([features(w) for w in number], np.int64)
     in_docs = np.bincount(np.unique(np.stack([doc_of[sentence_of], token]), axis=1)[1], minlength=len(parts))
-    usual = sum(np.bincount(parts[:, i], in_docs, BUCKETS) for i in range(3)) >= min(MIN_DOCS, len(y) // 100)
+    usual = sum(np.bincount(parts[:, i], in_docs, BUCKETS) for i in range(3)) >= min_docs
     share = np.where(y == 1, TOXIC_SHARE / max(1, (y == 1).sum()), (1 - TOXIC_SHARE) / max(1, (y == 0).sum()))
     w, bias = np.zeros(BUCKETS), START_BIAS
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
@@ -121,13 +122,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE)
     """Texts and labels for training, a bounded number, the same on every run."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.where(fold(F.col("doc_id"), 5) != 0).where(F.char_length("text") <= SAMPLE_CHARS)
-    usable = own.select("doc_id").join(known, "doc_id")
+    usable = own.select("doc_id").join(known, "doc_id").distinct()
     order = F.xxhash64(F.lit(SEED), "doc_id")
     pick = [usable.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
-    chosen = pick[0].unionByName(pick[1]).dropDuplicates(["doc_id"])
-    # at most 2 * per_class ids, so sending them to every task is bounded
-    rows = own.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    chosen = pick[0].unionByName(pick[1])
+    # at most 2 * per_class ids, so sending them to every task is bounded; an id that many rows have is one of them
+    texts = own.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.first("toxic").alias("toxic"))
+    rows = sorted(one.select("doc_id", "t.text", "toxic").collect())
     return [r.text for r in rows], [int(r.toxic) for r in rows]
 
 
