@@ -1,7 +1,11 @@
 import random
 from collections import Counter
 
+import duckdb
+import pytest
+
 from tonguemap.llm import host_rules
+from tonguemap.llm.queries import ORACLE
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -50,3 +54,32 @@ def test_hosts(spark):
     rate = {r.source: r.host_rate for r in host_rules.host_verdicts(host_rules.judged(host_rules.measured(docs))).collect()}
     assert 0.3 < rate["tiny"] < 1 and abs(rate["spam"] - 280 / 300) < 0.02  # two documents say little
     assert host_rules.host_rules(docs.limit(0)).count() == 0
+
+
+GOOD = " ".join(f"w{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("hosts, rejected", [
+    # (documents, failing documents) of each host: one at several times the usual rate goes, with its good documents
+    ({"a": (200, 8), "b": (200, 12), "c": (200, 10), "d": (200, 9), "e": (200, 11), "f": (200, 10), "bad": (200, 90), "tiny": (3, 3)}, {"bad"}),
+    # a host of few documents is saved by the prior, also if all of them fail
+    ({"a": (300, 30), "b": (300, 20), "c": (300, 40), None: (300, 25), "tiny": (2, 2)}, set()),
+    # hosts that differ by chance only
+    ({"a": (500, 50), "b": (500, 51), "c": (500, 49)}, set()),
+    ({"all": (80, 80)}, set()),
+])
+def test_hosts_are_judged_against_the_prior(spark, hosts, rejected):
+    """The registered SQL gives the same on tables where hosts differ."""
+    rows = [(h, "bad" if i < bad else GOOD) for h, (n, bad) in hosts.items() for i in range(n)]
+    rows = [(i, t, h) for i, (h, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = host_rules.host_rules(docs).collect()
+    source = {i: h for i, _, h in rows}
+    assert {source[r.doc_id] for r in got if not r.kept and not r.base_failed} == rejected
+    assert any(r.kept == r.base_failed for r in got) == bool(rejected)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    columns = ["doc_id", *host_rules.MEASURES, "base_failed", "kept"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE['op2_host_rules']})").fetchall()
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(want)

@@ -4,11 +4,12 @@ Every text is measured in one projection next to the scan. Four rules mark faili
 are summed per host; a beta prior fitted to all hosts shrinks the failure rate of each host, so a host
 of three bad pages is not condemned by them; and the host's verdict is joined back to its documents.
 
-A host is rejected when even the lower bound of its shrunken rate (``z`` standard deviations down) is
-above ``max_rate``: when most of what it publishes fails.
+A host is judged against that prior: it is rejected when even the lower bound of its shrunken rate (``Z`` standard
+deviations down) is above the upper fifth of the prior, and far from its mean: above twice the mean, or halfway from
+the mean to one where that is less. Where hosts do not differ beyond chance none is rejected.
 
 Null and empty texts have no words and fail. A null host is a host of its own. Repeated rows count as
-often as they occur. Measures of very long texts take time in proportion to their length.
+often as they occur. An empty table gives an empty result. Measures of very long texts take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 MAX_SYMBOL_PCT = 10
 MAX_DUP_LINE_PCT = 30
-MAX_RATE = 0.5
-Z = 1.645
+Z = 1.645  # standard deviations of a host's rate
+PRIOR_Z = 0.84  # standard deviations of the prior: its upper fifth
+MULTIPLE = 2.0  # of the mean of the prior
 WEAKEST_PRIOR = 2.0
 STRONGEST_PRIOR = 1e6
 
@@ -89,7 +91,7 @@ def judged(measures: DataFrame) -> DataFrame:
     return measures.withColumn("base_failed", base).withColumn("failed", base | symbols | lines)
 
 
-def host_verdicts(judgements: DataFrame, host: str = "source", max_rate: float = MAX_RATE, z: float = Z) -> DataFrame:
+def host_verdicts(judgements: DataFrame, host: str = "source", z: float = Z, prior_z: float = PRIOR_Z, multiple: float = MULTIPLE) -> DataFrame:
     """Per host: documents, failures, shrunken rate and verdict.
 
     The prior has the mean of all documents. Its weight comes from how far host rates spread beyond
@@ -108,7 +110,8 @@ def host_verdicts(judgements: DataFrame, host: str = "source", max_rate: float =
     weight = min(max(chance / spread - 1, WEAKEST_PRIOR), STRONGEST_PRIOR) if spread > 0 else STRONGEST_PRIOR
     rate = (k + F.lit(weight * mean)) / (n + F.lit(weight))
     bound = F.col("host_rate") - F.lit(z) * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (n + F.lit(weight + 1)))
-    return hosts.withColumn("host_rate", rate).withColumn("host_rejected", bound > F.lit(max_rate))
+    usual = max(mean + prior_z * (chance / (weight + 1)) ** 0.5, min(multiple * mean, (1 + mean) / 2))
+    return hosts.withColumn("host_rate", rate).withColumn("host_rejected", bound > F.lit(usual))
 
 
 def host_rules(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ def op2_host_rules(spark: SparkSession, sf: str) -> DataFrame:
     return host_rules.host_rules(table(spark, sf, "documents"))
 
 
-# No host of the given tables fails by most of its documents; the SQL works out the prior all the same.
+# Hosts of the given tables do not differ beyond chance; tests/llm/test_host_rules.py runs this SQL on tables where they do.
 ORACLE["op2_host_rules"] = r"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
@@ -54,9 +54,10 @@ h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed
 s AS (SELECT sum(k) / sum(n) AS mean, sum(n) AS docs, sum(k * k / n) AS squares, count(*) AS hosts FROM h),
 p AS (SELECT mean, (squares - docs * mean * mean - mean * (1 - mean) * hosts) / docs AS spread FROM s),
 q AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 2), 1e6) ELSE 1e6 END AS weight FROM p),
-v AS (SELECT source, n, weight, (k + weight * mean) / (n + weight) AS rate FROM h, q)
+v AS (SELECT source, n, weight, greatest(mean + 0.84 * sqrt(mean * (1 - mean) / (weight + 1)), least(2 * mean, (1 + mean) / 2)) AS usual,
+    (k + weight * mean) / (n + weight) AS rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT rate - 1.645 * sqrt(rate * (1 - rate) / (n + weight + 1)) > 0.5 AS kept
+  NOT base_failed AND NOT rate - 1.645 * sqrt(rate * (1 - rate) / (n + weight + 1)) > usual AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
