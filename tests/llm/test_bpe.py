@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,14 +10,14 @@ from tonguemap.llm import bpe
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 TOKENS = bpe.read_ranks(RANKS)
-CODEC = bpe.Codec(bpe.model_proto(TOKENS), P.PATTERN)
+CODEC = bpe.Encoder(bpe.model_proto(TOKENS), P.PATTERN)
+BY_ID = pa.array(TOKENS, pa.large_binary())
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(TOKENS)}, special_tokens={})
 
 
 def test_every_token_encodes_to_itself():
     ids = CODEC.model.encode([bpe.letters(t) for t in TOKENS])
     assert ids == [[i + 1] for i in range(len(TOKENS))]
-    assert CODEC.bytes_of == TOKENS
 
 
 @settings(max_examples=300, deadline=None)
@@ -24,7 +25,18 @@ def test_every_token_encodes_to_itself():
 def test_same_ids_as_the_library(text):
     ids = CODEC.encode(text)
     assert ids == LIBRARY.encode_ordinary(text)
-    assert CODEC.decode(ids) == text.encode()
+    assert bpe.joined(BY_ID, pa.array([ids], pa.list_(pa.int32()))).to_pylist() == [text.encode()]
+
+
+def test_lists_of_a_run(spark):
+    lists = [[64], None, [], [0, 64, 300], [], [220] * 5, None]
+    want = [b"".join(TOKENS[i] for i in x or []) for x in lists]
+    whole = pa.array(lists, pa.list_(pa.int32()))
+    assert bpe.joined(BY_ID, whole).to_pylist() == want
+    assert bpe.joined(BY_ID, whole.slice(2, 4)).to_pylist() == want[2:6]
+    assert bpe.joined(BY_ID, whole.slice(1, 2)).to_pylist() == [b"", b""]
+    got = bpe.decode(spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, ids array<int>"), RANKS).orderBy("i").collect()
+    assert [bytes(r.decoded) for r in got] == want
 
 
 def test_query_on_odd_rows(spark, monkeypatch):
