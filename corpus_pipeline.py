@@ -7,12 +7,14 @@ empty tables and repeated rows are treated as the operators' docstrings say.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemap.llm import bpe, mixing, pii, simhash, toxicity
-from tonguemap.operators.stage import stage
+from tonguemap.operators.stage import stage_alone
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -62,8 +64,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder, each written before the next one reads it."""
+    """All stages over the documents of a folder, each written before the next one reads it; only these tables are left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
+        docs = stage_alone(spark, partial(function, spark, docs, sf_dir), name)
     return docs

@@ -79,6 +79,26 @@ def test_staged_tables_are_dropped_at_the_end_of_a_scope(spark):
     assert not os.path.exists(path.removeprefix("file://"))
 
 
+def test_a_table_staged_alone_leaves_nothing_else(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(stage.stage(spark.range(7), "on-the-way"))
+        return made[0].where("id > 2")
+
+    out = stage.stage_alone(spark, make, "result")
+    assert out.count() == 4
+    folder = os.path.join(stage.work_dir(spark), "tonguemap")
+    assert not [n for n in os.listdir(folder) if n.startswith("on-the-way")]
+
+
+def test_calls_run_together(spark):
+    a, b = stage.together(lambda: stage.stage(spark.range(3), "a").count(), lambda: spark.range(5).count())
+    assert (a, b) == (3, 5)
+    with pytest.raises(ZeroDivisionError):
+        stage.together(lambda: 1 / 0, lambda: 1)
+
+
 def as_rows(df):
     return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
 

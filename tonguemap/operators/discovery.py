@@ -15,7 +15,7 @@ from tonguemap.config import DEFAULT, EngineConfig
 from tonguemap.functions import urls
 from tonguemap.operators.graph import listed_urls, sitemap_expand
 from tonguemap.operators.skew import keep_first
-from tonguemap.operators.stage import stage
+from tonguemap.operators.stage import stage, together
 from tonguemap.sources import crawl, sitemaps
 
 
@@ -58,14 +58,14 @@ def discover(starts: DataFrame, robots: DataFrame, fetches: DataFrame, cfg: Engi
 
     Both fetch tables have requested_url, body and error, and may have a status_code. A file that never landed is no failure, it just gives nothing.
     """
-    begun = stage(sitemaps.with_robots(starts, robots), "starts")
-    children, locs, failed = sitemap_tables(fetches, cfg)
+    begun, (children, locs, failed) = together(
+        lambda: stage(sitemaps.with_robots(starts, robots), "starts"), lambda: sitemap_tables(fetches, cfg))
     roots = sitemaps.sitemap_candidates(begun, cfg).select("domain", "pos", "url")
     read = stage(sitemap_expand(roots, children, locs, begun, cfg), "sitemaps")
     known = listed_urls(read, locs, cfg).select("domain", "url").unionByName(begun.select("domain", "url")).distinct()
     no_robots = begun.where(F.col("error").isNotNull()).select("domain", F.lit("robots").alias("kind"), F.col("robots_url").alias("url"), "error")
     errors = read.select("domain", "url").join(failed, "url").select("domain", "kind", "url", "error").unionByName(no_robots)
-    return Discovery(begun.select("domain", "url"), read, stage(known, "known-urls"), errors)
+    return Discovery(begun.select("domain", "url"), read, known, errors)
 
 
 def fetch_errors(discovery: Discovery | None, pages: DataFrame) -> DataFrame:

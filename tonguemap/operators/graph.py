@@ -153,10 +153,9 @@ def sitemap_expand(
     known, the start URLs included. Stopping cuts the visiting order short but never changes it, so the
     URL limit is applied to the finished order.
 
-    There is a round per level of the tree. What was seen is one table, written anew in each round: at most
+    There is a round per level of the tree, each of which reads ``children``, best a staged table. What was seen is one table, written anew in each round: at most
     ``max_sitemaps`` rows of a domain, whatever the number of rounds.
     """
-    index = stage(children.select("parent", "pos", "url"), "sitemap-index")
     frontier = roots.select("domain", F.lit(0).cast("long").alias("p"), "pos", "url")
     seen, level = _nothing(roots, F.lit(0).alias("level")), 0
     while True:
@@ -179,7 +178,7 @@ def sitemap_expand(
         level += 1
         frontier = (
             new.select("domain", F.col("rank").alias("p"), F.col("url").alias("parent"))
-            .join(index, "parent")
+            .join(children.select("parent", "pos", "url"), "parent")
             .where(urls.domain_of(F.col("url"), cfg.suffixes) == F.col("domain"))
             .select("domain", "p", "pos", "url")
         )

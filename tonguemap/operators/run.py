@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonguemap.config import DEFAULT, EngineConfig
 from tonguemap.operators import scored
 from tonguemap.operators.discovery import Discovery, fetch_errors
-from tonguemap.operators.stage import stage
+from tonguemap.operators.stage import stage, together
 
 
 class ScoredRun:
     """The tables of one run; those that several others read are staged.
 
-    ``pages`` is the output of :func:`tonguemap.operators.pages.scored_pages`. What ``discovery`` found, start URLs
+    ``discovery`` may be a function that runs it. ``pages`` is the output of :func:`tonguemap.operators.pages.scored_pages`. What ``discovery`` found, start URLs
     and sitemap URLs, is evidence ahead of all pages, and its failures are counted with those of the pages.
     Without it a run knows of no URLs but those that its pages name.
     """
 
-    def __init__(self, pages: DataFrame, discovery: Discovery | None = None, cfg: EngineConfig = DEFAULT):
+    def __init__(
+        self, pages: DataFrame, discovery: Discovery | Callable[[], Discovery] | None = None, cfg: EngineConfig = DEFAULT
+    ):
         self.cfg = cfg
-        self.pages = stage(pages, "scored-pages")
+        # discovery does not read pages, so both may run at the same time
+        self.pages, discovery = together(lambda: stage(pages, "scored-pages"), lambda: discovery() if callable(discovery) else discovery)
         self.discovery = discovery
         known = discovery.urls if discovery else None
         self.discovered = stage(scored.discovered_urls(self.pages, known), "discovered")

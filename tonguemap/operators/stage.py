@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,3 +58,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stage the table that ``make`` gives, and drop all that it staged on the way."""
+    path = new_path(spark, name)
+    with dropping_staged(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*calls: Callable) -> list:
+    """Results of calls that do not depend on each other, such as tables to stage; their jobs run side by side."""
+    same_session = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(same_session(c)) for c in calls]]

@@ -556,11 +556,22 @@ SELECT r.domain, r.language_count, replace(r.languages, '; ', ';') AS languages,
     FROM s_finding f JOIN s_source s USING (domain, code) WHERE f.domain = r.domain), '[]') AS confidence_details,
   CAST((SELECT count(*) FROM s_warning w WHERE w.domain = r.domain) AS VARCHAR) AS warnings
 FROM s_report r""", "s_report", "s_finding", "s_source", "s_sample", "s_warning")
-check("debug_snapshot", """
+cte("snapshot", """
 SELECT domain, 'discovered_url' AS kind, r AS position, url AS value
 FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url) AS r FROM s_found) WHERE r <= 50
 UNION ALL SELECT domain, 'page', r, page_url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS r FROM sp) WHERE r <= 25""",
-      "s_found", "sp")
+    "s_found", "sp")
+check("debug_snapshot", "SELECT * FROM snapshot", "snapshot")
+check("debug_payload", "SELECT * FROM snapshot" + "".join(f"""
+UNION ALL SELECT domain, 'count', NULL, '{c}=' || {c} FROM counted""" for c in (
+    "subdomains", "sitemaps", "urls", "hreflang_targets", "candidate_language_paths", "pages", "fetch_errors")) + f"""
+UNION ALL SELECT domain, 'finding', row_number() OVER (PARTITION BY domain ORDER BY confidence_percent DESC, name),
+  CAST(to_json({{'code': code, 'confidence_label': confidence_label, 'confidence_percent': confidence_percent, 'name': name}}) AS VARCHAR) FROM s_finding
+UNION ALL SELECT domain, 'warning', seq, CAST(to_json({{'code': code, 'language': language, 'message': message, 'type': type, 'url': url}}) AS VARCHAR) FROM s_warning
+UNION ALL SELECT DISTINCT domain, 'hreflang_target', CAST(NULL AS BIGINT), hreflang FROM hreflang
+UNION ALL SELECT domain, 'candidate_language_path', NULL, path FROM s_path
+UNION ALL SELECT DISTINCT domain, 'subdomain', CAST(NULL AS BIGINT), {host('url')} FROM s_found""",
+      "snapshot", "counted", "s_finding", "s_warning", "hreflang", "s_path", "s_found")
 check("page_evidence_no_text", """
 SELECT sp.seq, sp.domain, sp.url, sp.final_url, CAST(sp.status_code AS BIGINT) AS status_code, l.html_lang,
   coalesce((SELECT string_agg(h.hreflang, ';' ORDER BY h.hreflang) FROM hreflang h WHERE h.seq = sp.seq), CASE WHEN sp.readable THEN '' END) AS hreflang_targets,

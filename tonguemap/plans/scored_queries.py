@@ -39,7 +39,7 @@ def discovered(spark: SparkSession, sf: str) -> Discovery:
 
 
 def run(spark: SparkSession, sf: str) -> ScoredRun:
-    return ScoredRun(pages(spark, sf), discovered(spark, sf), inputs.CFG)
+    return ScoredRun(pages(spark, sf), lambda: discovered(spark, sf), inputs.CFG)
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,6 +184,11 @@ def debug_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.debug_snapshot(scored.discovered_urls(p, discovered(spark, sf).urls), p)
 
 
+@query
+def debug_payload(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.debug_payload(run(spark, sf))
+
+
 @query
 def page_evidence_no_text(spark: SparkSession, sf: str) -> DataFrame:
     p = sinks.pages_without_text(pages(spark, sf, keep_text=True))

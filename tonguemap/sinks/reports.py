@@ -6,11 +6,14 @@ the ``write_*`` functions only add the format. Spark writes one file per task; n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonguemap import dims
 from tonguemap.config import DEFAULT, EngineConfig
-from tonguemap.functions import render
+from tonguemap.functions import render, urls
+from tonguemap.operators import scored
+from tonguemap.operators.run import ScoredRun
 from tonguemap.operators.skew import top_k
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
@@ -100,6 +103,30 @@ def debug_snapshot(discovered: DataFrame, pages: DataFrame, cfg: EngineConfig =
     )
 
 
+def debug_payload(run: ScoredRun) -> DataFrame:
+    """All that explains a report, as (domain, kind, position, value) rows: the snapshot, findings in their order, warnings by
+    page, counts by name, and the trusted evidence. Findings and warnings are JSON with sorted keys."""
+    def rows(df: DataFrame, kind: str, value: Column, position: Column | None = None) -> DataFrame:
+        at = F.lit(None) if position is None else position
+        return df.select("domain", F.lit(kind).alias("kind"), at.cast("long").alias("position"), value.alias("value"))
+
+    ordered = top_k(run.findings, ["domain"], [F.desc("confidence_percent"), F.col("name")], len(dims.SCORED_CODES))
+    finding = F.to_json(F.struct("code", "confidence_label", "confidence_percent", "name"))
+    warning = F.to_json(F.struct("code", "language", "message", "type", "url"))
+    counts = run.counts.unpivot("domain", [c for c in run.counts.columns if c != "domain"], "name", "n")
+    hosts = run.discovered.select("domain", urls.host(F.col("url")).alias("host")).distinct()
+    parts = [
+        rows(ordered, "finding", finding, F.col("rank")), rows(run.warnings, "warning", warning, F.col("seq")),
+        rows(counts, "count", F.concat("name", F.lit("="), F.col("n").cast("string"))),
+        rows(hreflang_targets(run.pages), "hreflang_target", F.col("hreflang")),
+        rows(scored.candidate_paths(run.discovered), "candidate_language_path", F.col("path")), rows(hosts, "subdomain", F.col("host")),
+    ]
+    out = debug_snapshot(run.discovered, run.pages, run.cfg)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def batch_manifest(domains: DataFrame) -> DataFrame:
     """(domain, file) rows of a debug run and, by :func:`manifest_totals`, the number of domains and files."""
     slug = render.domain_slug(F.col("domain"))
