@@ -66,3 +66,4 @@ def test_tables():
     n = embeddings.tables_for(16, 0.9, 0.95)
     meet = (1 - np.arccos(0.9) / np.pi) ** 16
     assert 1 - (1 - meet) ** n >= 0.95 > 1 - (1 - meet) ** (n - 1)
+    assert [embeddings.bits_for(n) for n in (0, 1, 1 << 16, (1 << 16) + 1, 10**9)] == [16, 16, 16, 17, 30]

@@ -3,8 +3,8 @@
 The signs of a vector against ``bits`` random hyperplanes are its key in a table; two vectors of cosine
 c agree in one sign with probability 1 - acos(c) / pi, and so meet in at least one of ``tables`` tables
 with a known probability. ``tables_for`` gives the number of tables for a recall at the threshold itself;
-closer pairs are found more surely. More vectors call for more bits (about log2 of their number), so
-that buckets stay short, and then for more tables.
+closer pairs are found more surely. More distinct vectors than 2^16 get more bits (log2 of their number), so
+that buckets of unlike vectors stay short, and with them more tables.
 
 Equal vectors are one node that counts how often it occurs. Buckets are cut into blocks of about
 ``BLOCK`` vectors; each pair of blocks of a bucket is compared as one matrix product, so a bucket that
@@ -32,7 +32,7 @@ from tonguemap.llm.components import components
 from tonguemap.operators.stage import stage
 
 COSINE = 0.9
-BITS = 16
+BITS = 16  # at least
 RECALL = 0.95
 BLOCK = 512
 SEED = 3
@@ -44,6 +44,11 @@ def tables_for(bits: int = BITS, cosine: float = COSINE, recall: float = RECALL)
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def bits_for(vectors: int) -> int:
+    """Bits of a key for so many distinct vectors."""
+    return max(BITS, math.ceil(math.log2(max(vectors, 1))))
+
+
 def planes(dims: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dims]).standard_normal((dims, bits * tables))
 
@@ -151,10 +156,9 @@ def _compare_sorted(cosine: float):
 
 def near_duplicates(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE,
-    bits: int = BITS, recall: float = RECALL, block: int = BLOCK,
+    bits: int | None = None, recall: float = RECALL, block: int = BLOCK,
 ) -> DataFrame:
     """Per vector: vec_id, n_links, component_id (smallest id reachable) and kept."""
-    tables = tables_for(bits, cosine, recall)
     v = F.col(embedding).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     # 0.0 + x makes -0.0 equal to 0.0
@@ -162,6 +166,8 @@ def near_duplicates(
     given = stage(given, "vectors")
     nodes = given.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bits = bits_for(nodes.count()) if bits is None else bits
+    tables = tables_for(bits, cosine, recall)
     keyed = stage(_with_keys(nodes.select("node", "n", "v"), bits, tables), "keys")
 
     dims = F.size("v").alias("dims")
