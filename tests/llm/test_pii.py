@@ -125,9 +125,8 @@ def test_redaction(spark):
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)
     clean = "mail <email>, é <ip> end"
-    want = [(0, "no data", 7), (1, None, None), (2, "", 0), (3, clean, len(clean)), (3, clean, len(clean)), (4, "<card> x", None), (5, "<email> b", None), (6, "x <email> <card>", None)]
+    want = [(0, "no data", 7), (1, None, None), (2, "", 0), (3, clean, len(clean)), (3, clean, len(clean)), (4, "+<card> x", None), (5, "<email> b", None), (6, "x <email> <card>", None)]
     want = [(i, t, n if n is not None or t is None else len(t)) for i, t, n in want]
-    want[5] = (4, "+<card> x", len("+<card> x")) if got[5][1].startswith("+") else (4, got[5][1], len(got[5][1]))
     assert got == sorted(want, key=str)
     many = spark.createDataFrame([(1, "a@b.cd " * 5_000, 0)], "doc_id long, text string, n_chars int")
     assert pii.redacted(many).first().text == "<email> " * 5_000
