@@ -69,6 +69,11 @@ def merged_facts(facts: DataFrame) -> DataFrame:
         F.min_by("first_spa", "spa_seq").alias("first_spa"), F.min("spa_seq").alias("spa_seq"), F.max("batch").alias("batch"))
 
 
+def by_registered_domain(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Pages of the site profile with the registered domain as their site, in place of the host that was asked for."""
+    return pages.withColumn("site", urls.registered_domain(F.col("site"), cfg.suffixes))
+
+
 def visited_pages(pages: DataFrame, visits: DataFrame) -> DataFrame:
     """The pages of a crawl as those of its domain: ``visits`` (domain, rank, url), in the order of the visits.
 

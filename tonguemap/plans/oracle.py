@@ -359,20 +359,29 @@ check("bfs_site", " UNION ALL ".join(
 cte("first_fetch", "SELECT requested_url, min(seq) AS seq FROM page GROUP BY requested_url", "page")
 cte("site_visit", " UNION ALL ".join(f"SELECT domain, {r} AS rank, url FROM v{r}" for r in range(1, 6)), *[f"v{r}" for r in range(1, 6)])
 cte("seen", "SELECT v.domain AS site, v.rank, f.seq FROM site_visit v JOIN first_fetch f ON f.requested_url = v.url", "site_visit", "first_fetch")
-cte("seen_link", "SELECT s.site, w.host, w.path FROM web w JOIN seen s ON s.seq = w.seq WHERE contains(w.host, s.site)", "web", "seen")
-cte("seen_mark", f"""
-SELECT s.site, lower(string_split(l.html_lang, '-')[1]) AS code FROM lang l JOIN seen s ON s.seq = l.seq WHERE l.html_lang <> ''
-UNION ALL SELECT s.site, lower(string_split(a.hreflang, '-')[1]) FROM alternate a JOIN seen s ON s.seq = a.seq
-UNION ALL SELECT site, regexp_extract(path, '^/([a-z][a-z])(?:[-_][a-z][a-z])?(?:/|$)', 1) FROM seen_link
+cte("domain_page", "SELECT domain AS site, seq AS rank, seq FROM page", "page")
+
+
+def report_over(name, of):
+    """Site report over the pages of ``of`` (site, rank, seq)."""
+    cte(f"{of}_link", f"SELECT s.site, w.host, w.path FROM web w JOIN {of} s ON s.seq = w.seq WHERE contains(w.host, s.site)", "web", of)
+    cte(f"{of}_mark", f"""
+SELECT s.site, lower(string_split(l.html_lang, '-')[1]) AS code FROM lang l JOIN {of} s ON s.seq = l.seq WHERE l.html_lang <> ''
+UNION ALL SELECT s.site, lower(string_split(a.hreflang, '-')[1]) FROM alternate a JOIN {of} s ON s.seq = a.seq
+UNION ALL SELECT site, regexp_extract(path, '^/([a-z][a-z])(?:[-_][a-z][a-z])?(?:/|$)', 1) FROM {of}_link
   WHERE regexp_matches(path, '^/({ALT19})(?:[-_][a-z][a-z])?(?:/|$)')
-UNION ALL SELECT site, site_names.cd FROM seen_link, {SITE_NAMES_T} WHERE contains(path, '/' || site_names.nm) OR contains(path, '-' || site_names.nm)
-UNION ALL SELECT site, string_split(host, '.')[1] FROM seen_link WHERE len(string_split(host, '.')) > 2 AND regexp_matches(host, '^({ALT19})[.]')""",
-    "lang", "alternate", "seen", "seen_link")
-cte("seen_status", f"""
+UNION ALL SELECT site, site_names.cd FROM {of}_link, {SITE_NAMES_T} WHERE contains(path, '/' || site_names.nm) OR contains(path, '-' || site_names.nm)
+UNION ALL SELECT site, string_split(host, '.')[1] FROM {of}_link WHERE len(string_split(host, '.')) > 2 AND regexp_matches(host, '^({ALT19})[.]')""",
+        "lang", "alternate", of, f"{of}_link")
+    cte(f"{of}_status", f"""
 SELECT site, CASE WHEN has_error THEN 'Error' ELSE {status_text('coalesce(first_status, 200)')} END AS status, has_error, spa
 FROM (SELECT s.site, bool_or(p.error IS NOT NULL) AS has_error, arg_min(p.status_code, s.rank) FILTER (WHERE p.status_code IS NOT NULL) AS first_status,
-        arg_min(x.spa, s.rank) AS spa FROM seen s JOIN page p ON p.seq = s.seq JOIN spa_page x ON x.seq = s.seq GROUP BY s.site)""", "seen", "page", "spa_page")
-check("site_report_crawled", report_of("seen_status", "seen_mark"), "seen_status", "seen_mark")
+        arg_min(x.spa, s.rank) AS spa FROM {of} s JOIN page p ON p.seq = s.seq JOIN spa_page x ON x.seq = s.seq GROUP BY s.site)""", of, "page", "spa_page")
+    check(name, report_of(f"{of}_status", f"{of}_mark"), f"{of}_status", f"{of}_mark")
+
+
+report_over("site_report_crawled", "seen")
+report_over("site_report_by_domain", "domain_page")
 check("frontier_links", f"""
 SELECT requested_url AS url, row_number() OVER (PARTITION BY w.seq ORDER BY w.pos) - 1 AS pos, w.url AS target
 FROM web w JOIN first_fetch f ON f.seq = w.seq WHERE regexp_matches(path, '^/[a-z][a-z]([-_][a-z][a-z])?(/|$)|{NAMES}')

@@ -217,6 +217,12 @@ def site_report_crawled(spark: SparkSession, sf: str) -> DataFrame:
     return site.site_report(site.site_facts(site.visited_pages(stage(pages(spark, sf), "site-pages"), visits)))
 
 
+@query
+def site_report_by_domain(spark: SparkSession, sf: str) -> DataFrame:
+    """The site report with a row for each registered domain."""
+    return site.site_report(site.site_facts(site.by_registered_domain(pages(spark, sf), inputs.CFG)))
+
+
 @query
 def frontier_links(spark: SparkSession, sf: str) -> DataFrame:
     """What a crawl would follow from each landed page, in the order of the page."""
