@@ -91,3 +91,27 @@ def test_texts(spark, rows):
             at = [places[w] for w in t]
             assert at == sorted(set(at))
     assert mixing.mixed_texts(docs.limit(0)).count() == 0
+
+
+def test_equal_rows_are_split(spark, monkeypatch):
+    """A third of all rows has no id and one size: no bucket holds them, and each is mixed for itself."""
+    same = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'hot' AS source", "7L AS size")
+    other = spark.range(200_000).selectExpr("id AS doc_id", "concat('s', id % 5) AS source", "1 + id % 9 AS size")
+    sized = same.unionByName(other)
+    largest = []
+    running_sum = mixing.running_sum
+
+    def noted(df, key, bucket, *more):
+        if "_mixed" in df.columns:
+            largest.append(df.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0])
+        return running_sum(df, key, bucket, *more)
+
+    monkeypatch.setattr(mixing, "running_sum", noted)
+    parts = mixing.pieces(sized, mixing.source_targets(sized))
+    per_row = parts.groupBy("rank", "first", "doc_id", "size").agg(F.sum("n").alias("n"))
+    assert per_row.where("doc_id IS NULL").count() == 100_000
+    assert per_row.where("n <> size").count() == 0 and per_row.count() == 300_000
+    assert largest == [max(largest)] and largest[0] < mixing.BUCKET_ROWS
+    # places of a source are its words from 0 on, without gaps
+    ends = per_row.groupBy("rank").agg(F.min("first").alias("a"), F.max(F.col("first") + F.col("size")).alias("b"), F.sum("size").alias("n"), F.countDistinct("first").alias("d"), F.count(F.lit(1)).alias("c"))
+    assert all(r.a == 0 and r.b == r.n and r.d == r.c for r in ends.collect())

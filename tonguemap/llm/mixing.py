@@ -10,10 +10,11 @@ pseudorandom permutation of block numbers, one per pass over the source; and blo
 * A permutation is a swap-or-not shuffle: a fixed number of rounds that each swap a number with its
   mirror image or not, a bijection for any number of blocks, computed per slot without a table.
 * Running sums are taken in two levels, inside buckets of bounded size and over bucket totals, so no
-  task holds a whole source. What is drawn depends on hashes only, so reruns agree.
+  task holds a whole source. Equal rows, as all rows of one size without an id may be, are counted and dealt as runs of
+  ``COPIES`` at most, which lie one behind the other. What is drawn depends on hashes only, so reruns agree.
 
 Null texts have size 0; documents of size 0 are never taken. A null source is the last source. Repeated
-rows are mixed each for itself. An empty table gives an empty result.
+rows are mixed each for itself. Texts of any length are measured whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SHARD_SLOTS = 4096
 MAX_PASSES = 3
 WEIGHTS = 3  # sources weigh 1, 2, …, WEIGHTS, repeating
 BUCKET_ROWS = 2_000
+COPIES = 1_000
 ROUNDS = 16
 SEED = 20_081
 
@@ -131,12 +133,20 @@ def pieces(sized: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS,
     word of the part in the document), n (its words) and uses.
     """
     buckets = sized.count() // BUCKET_ROWS + 1
-    keyed = sized.where(F.col("size") > 0).join(
+    # equal rows are counted next to the scan, so that a hot row is one row of each task
+    equal = sized.where(F.col("size") > 0).groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_n"))
+    runs = equal.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES))))
+    runs = runs.withColumn("_copies", F.least(F.lit(COPIES), F.col("_n") - F.col("_run") * COPIES))
+    keyed = runs.join(
         targets.select(F.col("source").alias("_of"), "rank"), F.col("source").eqNullSafe(F.col("_of"))
     ).drop("_of")
-    mixed = F.xxhash64(F.lit(SEED), "doc_id", "size")
+    mixed = F.xxhash64(F.lit(SEED), "doc_id", "size", "_run")
     keyed = keyed.withColumn("_mixed", mixed).withColumn("_bucket", F.pmod("_mixed", F.lit(buckets)))
-    placed = running_sum(keyed, "rank", "_bucket", ["_mixed", "doc_id", "size"], "size", "first").drop("_mixed", "_bucket")
+    keyed = keyed.withColumn("_words", F.col("size") * F.col("_copies"))
+    placed = running_sum(keyed, "rank", "_bucket", ["_mixed", "doc_id", "size", "_run"], "_words", "_at")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))
+    placed = placed.withColumn("_copy", copy).withColumn("first", F.col("_at") + F.col("_copy") * F.col("size"))
+    placed = placed.drop("_mixed", "_bucket", "_words", "_at", "_copy", "_copies", "_run", "_n")
     span = F.sequence(F.floor(F.col("first") / block_words), F.floor((F.col("first") + F.col("size") - 1) / block_words))
     cut = placed.withColumn("block", F.explode(span))
     start = F.greatest(F.col("first"), F.col("block") * block_words)
