@@ -11,6 +11,7 @@ import corpus_pipeline as cp
 from tests.llm.test_pii import brute as brute_pii
 from tests.llm.test_simhash import brute_fingerprint, brute_groups
 from tonguemap.llm import bpe, mixing, toxicity
+from tonguemap.operators.stage import stage
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,7 +26,7 @@ def steps(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = [("given", docs)]
     for name, function in cp.STAGES:
-        docs = cp.stage(function(spark, docs, SF), name)
+        docs = stage(function(spark, docs, SF), name)
         out.append((name, docs))
     return dict(out)
 
@@ -33,7 +34,7 @@ def steps(spark):
 def test_columns(steps):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "simhash", "pii", "mixing", "bpe"]
     assert all(steps[n].columns == COLUMNS and steps[n].schema == steps["given"].schema for n in ("toxicity", "simhash", "pii", "mixing"))
-    assert {"op%d" % n for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
+    assert {"op%d" % n for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
     assert "pipeline" in entry.queries()
 
 
@@ -88,10 +89,10 @@ def test_run_and_odd_rows(spark, steps, tmp_path):
     odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "x y", "en", None, 3), (None, "x y", "en", None, 3), (4, "é " * 60_000, "en", "a", 5), (5, "call a@b.cd now", "en", "b", 15), (5, "call a@b.cd now", "en", "b", 15)]
     docs = spark.createDataFrame(odd, steps["given"].schema).withColumn("rank", F.lit(1))
     for name, function in cp.STAGES:
-        docs = cp.stage(function(spark, docs, SF), name)
+        docs = stage(function(spark, docs, SF), name)
     texts = {r.doc_id for r in docs.collect()}
     assert texts <= {None, 4, 5}
     nothing = steps["given"].limit(0)
     for name, function in cp.STAGES:
-        nothing = cp.stage(function(spark, nothing, SF), name)
+        nothing = stage(function(spark, nothing, SF), name)
     assert nothing.count() == 0
