@@ -16,9 +16,9 @@ from tonguemap.operators.stage import stage, together
 class ScoredRun:
     """The tables of one run; those that several others read are staged.
 
-    ``discovery`` may be a function that runs it. ``pages`` is the output of :func:`tonguemap.operators.pages.scored_pages`. What ``discovery`` found, start URLs
-    and sitemap URLs, is evidence ahead of all pages, and its failures are counted with those of the pages.
-    Without it a run knows of no URLs but those that its pages name.
+    ``pages`` is the output of :func:`tonguemap.operators.pages.scored_pages`. What ``discovery`` found (it may be a
+    function that runs it), start URLs and sitemap URLs, is evidence ahead of all pages, and its failures are counted
+    with those of the pages. Without it a run knows of no URLs but those that its pages name.
     """
 
     def __init__(
