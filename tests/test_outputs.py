@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tonguemap.config import DEFAULT
 from tonguemap.operators import keyed, site, stage
 from tonguemap.operators.merged import MergedTable
@@ -265,3 +266,11 @@ def test_a_repeated_batch_replaces_the_first_attempt(spark, tmp_path):
     for n, batch in ((5, 0), (3, 0), (2, 1)):
         table.append(spark.range(n), batch)
     assert table.read().groupBy("batch").count().orderBy("batch").collect() == [(0, 3), (1, 2)]
+
+
+@pytest.mark.parametrize("name", ["language_report_stream", "quota_windows_stream"])
+def test_streams_read_tables_that_are_folders(spark, tmp_path, name):
+    for table in ("pages", "events"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    query, whole = entry.queries()[name], entry.queries()[name.removesuffix("_stream")]
+    assert as_rows(query(spark, str(tmp_path))) == as_rows(query(spark, SF)) == as_rows(whole(spark, SF))

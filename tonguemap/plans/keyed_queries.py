@@ -33,9 +33,9 @@ def _updates(events: DataFrame) -> DataFrame:
     )
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = inputs.table(spark, sf, "events").schema
-    return jobs.read_stream(spark, sf, schema, pattern="events.parquet")
+def _crawl_stream(spark: SparkSession, sf: str) -> DataFrame:
+    given = inputs.table_stream(spark, sf, "pages").selectExpr("page_id", f"{inputs.URL} AS url", "html")
+    return spark.sql(inputs.CRAWL.format(pages="{given}"), given=given)
 
 
 @query
@@ -45,7 +45,7 @@ def quota_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def quota_windows_stream(spark: SparkSession, sf: str) -> DataFrame:
-    stream = spark.sql(inputs.SUBMISSIONS.format(events="{given}"), given=_event_stream(spark, sf))
+    stream = spark.sql(inputs.SUBMISSIONS.format(events="{given}"), given=inputs.table_stream(spark, sf, "events"))
     return jobs.quota_windows_stream(_keyed(stream), cfg=QUOTA)
 
 
@@ -56,7 +56,7 @@ def latest_state_ttl(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def latest_state_ttl_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(jobs.latest_state_stream(_updates(_event_stream(spark, sf))))
+    return _shown(jobs.latest_state_stream(_updates(inputs.table_stream(spark, sf, "events"))))
 
 
 def _shown(states: DataFrame) -> DataFrame:
@@ -108,8 +108,5 @@ def site_report_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def language_report_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The scored report over arriving fetches, with what discovery found before."""
-    schema = inputs.table(spark, sf, "pages").schema
-    given = jobs.read_stream(spark, sf, schema, pattern="pages.parquet").selectExpr("page_id", f"{inputs.URL} AS url", "html")
-    crawl = spark.sql(inputs.CRAWL.format(pages="{given}"), given=given)
-    out = jobs.language_report_stream(crawl, discovered(spark, sf), inputs.CFG)
+    out = jobs.language_report_stream(_crawl_stream(spark, sf), discovered(spark, sf), inputs.CFG)
     return out.withColumn("languages", F.array_join("languages", "; "))
