@@ -268,7 +268,7 @@ def test_a_repeated_batch_replaces_the_first_attempt(spark, tmp_path):
     assert table.read().groupBy("batch").count().orderBy("batch").collect() == [(0, 3), (1, 2)]
 
 
-@pytest.mark.parametrize("name", ["language_report_stream", "quota_windows_stream"])
+@pytest.mark.parametrize("name", ["site_report_stream", "language_report_stream", "quota_windows_stream"])
 def test_streams_read_tables_that_are_folders(spark, tmp_path, name):
     for table in ("pages", "events"):
         spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))

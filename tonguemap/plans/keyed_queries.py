@@ -99,10 +99,7 @@ def job_states_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def site_report_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = inputs.table(spark, sf, "pages").schema
-    stream = jobs.read_stream(spark, sf, schema, pattern="pages.parquet")
-    given = stream.selectExpr("page_id", f"{inputs.URL} AS url", "html")
-    return jobs.site_report_stream(spark.sql(inputs.CRAWL.format(pages="{given}"), given=given))
+    return jobs.site_report_stream(_crawl_stream(spark, sf))
 
 
 @query
