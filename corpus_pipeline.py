@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemap.llm import bpe, mixing, pii, simhash, toxicity
-from tonguemap.operators.stage import stage_alone
+from tonguemap.llm.common import utf8
+from tonguemap.operators.stage import stage, stage_alone
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -41,13 +42,19 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with their number, digests, and whether they decode to the text."""
+    """Token ids of each text, with their number, digests, and whether they decode to the text.
+
+    Ids are written before they are decoded, so that the two kinds of tasks don't take their memory at the same time. The
+    digests of both texts are compared, so a text goes to the tasks that encode it and no further.
+    """
     path = public_tokenizers.path(RANKS)
-    kept = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    coded = bpe.decode(bpe.encode(kept, path, public_tokenizers.PATTERN), path)
+    # the ids take the place of the text
+    kept = docs.select("doc_id", "source", F.sha2(utf8(F.col("text")), 256).alias("text_sha256"), F.col("text").alias("ids"))
+    coded = bpe.decode(stage(bpe.encode(kept, path, public_tokenizers.PATTERN, text="ids"), "ids"), path)
+    decoded_sha256 = F.sha2("decoded", 256)
     return coded.select(
         "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"),
+        decoded_sha256.alias("decoded_sha256"), (decoded_sha256 == F.col("text_sha256")).alias("round_trip"),
     )
 
 

@@ -51,3 +51,13 @@ def test_query_on_odd_rows(spark, monkeypatch):
     assert bpe.digests(docs.limit(0), RANKS, P.PATTERN).count() == 0
     kept = bpe.encode(docs, RANKS, P.PATTERN)
     assert kept.columns == ["doc_id", "text", "ids"]
+
+
+def test_texts_and_ids_go_to_python_once(spark):
+    docs = spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")
+    coded = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS)
+    got = [(r.text, list(r.ids), bytes(r.decoded)) for r in coded.orderBy("doc_id").collect()]
+    assert got == [(None, [], b""), ("a b", LIBRARY.encode_ordinary("a b"), b"a b")]
+    decoding = coded._jdf.queryExecution().analyzed()
+    given = decoding.children().apply(0)
+    assert [given.output().size(), given.children().apply(0).children().apply(0).output().size()] == [3, 2]

@@ -118,9 +118,16 @@ def _codec(proto: bytes, pattern: str) -> Encoder:
     return Encoder(proto, pattern)
 
 
-def _with_column(batch: pa.RecordBatch, column: pa.Array) -> pa.RecordBatch:
-    """The batch with its last column replaced."""
-    return pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=batch.schema.names)
+def _with_column(batch: pa.RecordBatch, kept: list[str], name: str, column: pa.Array) -> pa.RecordBatch:
+    """The kept columns, which come first in the batch, and one more."""
+    return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], column], names=[*kept, name])
+
+
+def _given(docs: DataFrame, kept: list[str], name: str, kind: T.DataType) -> tuple[DataFrame, int]:
+    """The kept columns with the one to work on, and its place: texts and ids fill most of a batch, so a kept one goes once."""
+    if name in kept and docs.schema[name].dataType == kind:
+        return docs.select(*kept), kept.index(name)
+    return docs.select(*kept, F.col(name).cast(kind).alias("given")), len(kept)
 
 
 def _lists(values: list[list[int]]) -> pa.Array:
@@ -134,14 +141,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     """``docs`` with the token ids of each text as array<int>."""
     model = docs.sparkSession.sparkContext.broadcast(model_proto(read_ranks(ranks_path)))
 
+    kept = [c for c in docs.columns if c != ids]
+    given, at = _given(docs, kept, text, T.StringType())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value, pattern)
         for batch in slices(batches, 64):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            yield _with_column(batch, _lists(codec.encode_all(texts)))
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield _with_column(batch, kept, ids, _lists(codec.encode_all(texts)))
 
-    kept = [c for c in docs.columns if c != ids]
-    given = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(ids))
     return given.mapInArrow(run, _schema(docs, kept, ids, T.ArrayType(T.IntegerType())))
 
 
@@ -150,13 +158,15 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "d
     for a run of rows at once."""
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
+    kept = [c for c in docs.columns if c != decoded]
+    given, at = _given(docs, kept, ids, T.ArrayType(T.IntegerType()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = pa.array(tokens.value, pa.large_binary())
         for batch in slices(batches):
-            yield _with_column(batch, joined(by_id, batch.column(batch.num_columns - 1)))
+            yield _with_column(batch, kept, decoded, joined(by_id, batch.column(at)))
 
-    kept = [c for c in docs.columns if c != decoded]
-    return docs.select(*kept, F.col(ids).alias(decoded)).mapInArrow(run, _schema(docs, kept, decoded, T.BinaryType()))
+    return given.mapInArrow(run, _schema(docs, kept, decoded, T.BinaryType()))
 
 
 def joined(by_id: pa.Array, lists: pa.ListArray) -> pa.Array:
