@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tonguemap.llm import lm
@@ -130,3 +131,12 @@ def test_texts_are_not_moved(spark, rows):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("n, distinct", [(0, 1), (1, 1), (1000, 1), (5000, 70), (5000, 1 << 62)])
+def test_distinct_keys(n, distinct):
+    keys = np.random.default_rng(n).integers(0, distinct, n).astype(np.uint64) << np.uint64(2)
+    values, one, inverse = lm._distinct(keys)
+    want, places = np.unique(keys, return_inverse=True)
+    assert (values == want).all() and (keys[one] == want).all() and (inverse == places).all()
+    assert len(values) == len(one) == len(want) and len(inverse) == n
