@@ -93,6 +93,18 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
         assert [got.get(signed(v), signed(v)) for v in values] == [signed(values[i]) for i in want]
 
 
+def test_no_rows_are_broadcast_for_their_files_size(spark, monkeypatch):
+    """Spark takes exploded rows for as many bytes as they come from, and written rows for the bytes of their files."""
+    staged = {}
+    monkeypatch.setattr(simhash, "stage", lambda df, name: staged.setdefault(name, df))
+    monkeypatch.setattr(simhash, "components", lambda edges: edges.selectExpr("a AS node", "b AS component"))
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('some words of text ', id % 9, ' and more') AS text")
+    found = simhash.groups(docs)
+    for df in (staged["buckets"], found):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert next(line for line in plan.splitlines() if "Join" in line).lstrip(" +-:").startswith("SortMergeJoin")
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 400)] + [(7, 7), (None, 3), (500, 501), (501, 500), (502, 501)]
     df = spark.createDataFrame(edges, "a long, b long")

@@ -102,7 +102,8 @@ def links(fps: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in enumerate(masks(radius))])
     keyed = fps.withColumn("x", F.explode(tables)).select("fp", "x.t", F.col("fp").bitwiseAND(F.col("x.m")).alias("key"))
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(keyed.join(sizes, ["t", "key"]), "buckets")
+    # Spark takes the exploded rows for as small as the table they come from, and would broadcast them
+    members = stage(keyed.hint("merge").join(sizes, ["t", "key"]), "buckets")
     group = members.where(F.col("n") <= small).groupBy("t", "key").agg(F.sort_array(F.collect_list("fp")).alias("g"))
 
     def close(x: Column, i: Column) -> Column:
@@ -129,7 +130,8 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     labels = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
     labels = stage(labels.select("fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
     roots = labels.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(labels.select("fp", "root").join(roots, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
+    # equal rows compress to next to nothing, so the size of the written table says little about their number
+    return rows.hint("merge").join(labels.select("fp", "root").join(roots, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def digests(docs: DataFrame) -> DataFrame:
