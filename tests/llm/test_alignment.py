@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.dataset
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -83,6 +86,37 @@ def test_alignment(spark, coders, monkeypatch):
     assert [tuple(r)[1:] for r in none] == [(0, 0, 0, 0, 0, 0, "")] * 3
 
 
+def test_chunks_are_written_in_small_parts(spark, coders, monkeypatch):
+    """Rows of a chunk are large, so Parquet's hundred rows a page and row group would take the memory of an executor."""
+    staged = {}
+    stage = alignment.stage
+
+    def noted(df, name, *options):
+        staged[name] = stage(df, name, *options)
+        return staged[name]
+
+    monkeypatch.setattr(alignment, "stage", noted)
+    monkeypatch.setattr(alignment, "CHUNK", 500)  # so each run of 64 texts is a chunk
+    monkeypatch.setitem(alignment.IN_PARTS, "parquet.block.size", 20_000)
+    rows = [(i, f"text {i} of some words, " * 8) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in alignment.align(docs, A, B, public_tokenizers.PATTERN).collect()), key=str) == brute(coders, rows)
+    chunks = staged["aligned"]
+    n = chunks.count()
+    assert n == 25
+    groups = [g.num_rows for f in chunks.inputFiles() for x in pa.dataset.dataset(f.removeprefix("file:")).get_fragments() for g in x.row_groups]
+    assert sum(groups) == n and max(groups) < n / 2
+    assert chunks.selectExpr("max(abs(length(which) - 2 * aggregate(n_links, 0L, (a, x) -> a + x)))").first()[0] == 0
+
+
+def test_numbers_of_pairs_come_back():
+    for distinct in (1, 1 << 16, (1 << 16) + 1):
+        which = np.array([0, distinct - 1, distinct // 2], np.int32)
+        packed = alignment._packed(which, distinct)
+        assert len(packed) == 3 * (2 if distinct <= 1 << 16 else 4)
+        assert alignment._unpacked(pa.scalar(packed, pa.binary()), distinct).tolist() == which.tolist()
+
+
 def test_given_documents(spark, coders):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     rows = [r for r in rows if len(r[1]) < 3000]  # the brute force looks at all pairs of tokens

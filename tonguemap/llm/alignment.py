@@ -47,6 +47,9 @@ from tonguemap.operators.stage import stage
 
 CHUNK = 500_000  # links
 TOKENS = 200_000  # aligned in one go, unless one text has more
+# A chunk is a row of some megabytes, and Parquet looks at the size of pages and row groups every hundred rows only. What a task
+# has in memory to write and read them would grow with its input.
+IN_PARTS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1}
 SPACE = "▁"  # how B writes a space
 _OTHER_SCRIPT = re.compile("[^\x00-\u024F]")
 
@@ -197,6 +200,15 @@ def _align(vocabularies: Vocabularies, texts: list[str]) -> Iterator[tuple[Align
         yield one, [hashlib.sha256(t).hexdigest() if t else "" for t in one.spelled(*sizes)]
 
 
+def _packed(which: np.ndarray, distinct: int) -> bytes:
+    """Numbers below ``distinct``, two bytes each where that is enough, else four."""
+    return which.astype("<u2" if distinct <= 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(which: pa.Scalar, distinct: int) -> np.ndarray:
+    return np.frombuffer(which.as_buffer(), "<u2" if distinct <= 1 << 16 else "<u4")
+
+
 class _Chunk:
     """Documents until they have ``CHUNK`` links."""
 
@@ -223,7 +235,7 @@ class _Chunk:
         one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
         columns = [pa.array([self.number]), pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of)]
         columns += [one(np.concatenate(x), pa.int64()) for x in numbers] + [one(list(chain.from_iterable(digests)), pa.string())]
-        columns += [one(distinct, pa.int64()), one(counts, pa.int64()), one(which, pa.int32())]
+        columns += [one(distinct, pa.int64()), one(counts, pa.int64()), pa.array([_packed(which, len(distinct))], pa.binary())]
         assert int(n_links.sum()) == len(which)
         return pa.RecordBatch.from_arrays(columns, names=CHUNKS)
 
@@ -234,8 +246,8 @@ DOC = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "gr
 
 def _looked_up(chunk: pa.Table, totals: pa.Table) -> pa.Table:
     """The documents of a chunk with the sums over their links of what the corpus says about the pairs."""
-    row = {c: chunk.column(c)[0].values for c in chunk.column_names if c != "chunk"}
-    which, n_links = row["which"].to_numpy(), row["n_links"].to_numpy()
+    row = {c: chunk.column(c)[0].values for c in chunk.column_names if c not in ("chunk", "which")}
+    which, n_links = _unpacked(chunk.column("which")[0], totals.num_rows), row["n_links"].to_numpy()
     order = np.argsort(totals.column("pair").to_numpy())
     bounds = np.append(0, np.cumsum(n_links))
     sums = []
@@ -272,12 +284,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, pattern: str, text: str = "
     numbers = ", ".join(f"{c} array<long>" for c in ("n_a", "n_b", "n_groups", "n_links"))
     given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     chunks = stage(given.mapInArrow(
-        run, f"chunk long, ids array<{kind}>, {numbers}, digests array<string>, pairs array<long>, counts array<long>, which array<int>"), "aligned")
+        run, f"chunk long, ids array<{kind}>, {numbers}, digests array<string>, pairs array<long>, counts array<long>, which binary"), "aligned", IN_PARTS)
     sent = chunks.select("chunk", F.explode(F.arrays_zip("pairs", "counts")).alias("r")).select("chunk", F.col("r.pairs").alias("pair"), "r.counts")
     counts = stage(sent.groupBy("pair").agg(F.sum("counts").alias("count")), "pair-counts")
     b = (F.col("pair") % n_pieces).alias("b")
     highest = counts.groupBy(b).agg(F.max("count").alias("highest"))  # at most a row for each id of B
     known = counts.withColumn("b", b).join(highest, "b").select("pair", "count", (F.col("count") == F.col("highest")).cast("int").alias("best"))
-    back = sent.select(F.col("chunk").alias("of"), "pair").join(known, "pair")
+    # each pair is known; a left join never broadcasts the exploded rows, which Spark takes for few
+    back = sent.select(F.col("chunk").alias("of"), "pair").join(known, "pair", "left")
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in DOC[1:-1]) + ", groups_sha256 string"
-    return chunks.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_looked_up, schema)
+    return chunks.drop("pairs", "counts").groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_looked_up, schema)
