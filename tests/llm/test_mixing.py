@@ -115,3 +115,10 @@ def test_equal_rows_are_split(spark, monkeypatch):
     # places of a source are its words from 0 on, without gaps
     ends = per_row.groupBy("rank").agg(F.min("first").alias("a"), F.max(F.col("first") + F.col("size")).alias("b"), F.sum("size").alias("n"), F.countDistinct("first").alias("d"), F.count(F.lit(1)).alias("c"))
     assert all(r.a == 0 and r.b == r.n and r.d == r.c for r in ends.collect())
+
+
+def test_blocks_are_not_broadcast(spark, rows):
+    """A block takes some bytes where it is written, and a hundred in a broadcast: two millions of them were sent as small."""
+    sized = corpus(spark, rows).select("doc_id", "source", F.lit(50).cast("long").alias("size"))
+    plan = mixing.pieces(sized, mixing.source_targets(sized))._jdf.queryExecution().sparkPlan().toString()
+    assert next(line for line in plan.splitlines() if "Join" in line).lstrip(" +-:").startswith("SortMergeJoin")

@@ -130,3 +130,22 @@ def test_redaction(spark):
     assert got == sorted(want, key=str)
     many = spark.createDataFrame([(1, "a@b.cd " * 5_000, 0)], "doc_id long, text string, n_chars int")
     assert pii.redacted(many).first().text == "<email> " * 5_000
+
+
+def test_instances_and_edges_are_not_broadcast(spark, monkeypatch):
+    """Exploded instances look as small as the rows that hold them, and pairs of few patterns and values as small as their files."""
+    plans = []
+    stage = pii.stage
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(pii, "stage", noted)
+    docs = spark.createDataFrame([(i, f"mail a{i}@b.org key abcdefgh{i} call +49 30 1234567{i}") for i in range(9)], "doc_id long, text string")
+    plans.append(pii.spans(docs)._jdf.queryExecution().sparkPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "HashJoin" in line]
+    assert joins and not any("BuildLeft" in line for line in joins)
+    assert "LeftSemi" in plans[-1]
+    rounds = [plan for plan in plans[:-1] if "Join" in plan]
+    assert len(rounds) == pii.ROUNDS and all(plan.count("SortMergeJoin") == 2 for plan in rounds)

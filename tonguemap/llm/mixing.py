@@ -152,9 +152,9 @@ def pieces(sized: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS,
     start = F.greatest(F.col("first"), F.col("block") * block_words)
     end = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block_words)
     cut = cut.withColumn("at", start - F.col("first")).withColumn("n", end - start)
-    # written, so that its true size is known where Spark chooses the kind of join
+    # a row per block, which takes some bytes where it is written and a hundred in a broadcast
     uses = stage(block_uses(slot_counts(targets, block_words, shard_slots)), "uses")
-    return cut.join(uses, ["rank", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0).cast("long")))
+    return cut.join(uses.hint("merge"), ["rank", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0).cast("long")))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:

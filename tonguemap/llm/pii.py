@@ -188,11 +188,12 @@ def identifier_scores(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = stage(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
     scores = stage(edges.groupBy("value").agg(F.max("seed").cast("double").alias("score")), "scores")
     for _ in range(rounds):
-        confidence = edges.join(scores, "value").groupBy("pattern").agg(
+        # pairs of few patterns and values compress so well that Spark would broadcast too many of them
+        confidence = edges.hint("merge").join(scores, "value").groupBy("pattern").agg(
             (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("sure"), F.count(F.lit(1)).alias("n")
         ).where(F.col("n") >= MIN_PATTERN)
         doubt = F.sum(F.log1p(-F.least(F.col("sure"), F.lit(1 - 1e-9))))
-        found = edges.join(confidence, "pattern").groupBy("value").agg((-F.expm1(doubt)).alias("found"))
+        found = edges.hint("merge").join(confidence, "pattern").groupBy("value").agg((-F.expm1(doubt)).alias("found"))
         seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
         # rounded, so that the order in which Spark sums can't matter at the threshold
         new = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.round(F.coalesce("found", F.lit(0.0)), 9))
@@ -205,7 +206,8 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_score
     rows = stage(extracted(docs, text, doc_id), "extracted")
     each = rows.select("doc_id", "h", F.explode("found").alias("f")).select("doc_id", "h", "f.*")
     sure = identifier_scores(each).where(F.col("score") >= min_score).select("value")
-    hits = each.where(~F.col("seed")).join(sure, "value").select(
+    # a value is in one row of sure; a semi join never broadcasts the exploded rows, which Spark takes for few
+    hits = each.where(~F.col("seed")).join(sure, "value", "left_semi").select(
         F.col("doc_id").alias("_id"), F.col("h").alias("_h"),
         F.struct(F.lit(KINDS.index("id")).alias("kind"), "start", "end").alias("span"))
     more = hits.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("span")).alias("more"))
